@@ -157,3 +157,23 @@ def nation_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("c_nationkey").cast("bigint").alias("entity"), F.year("o_orderdate").alias("year"))
         .agg(F.count(F.lit(1)).cast("double").alias("n_papers"), F.avg("o_totalprice").alias("mean_patent_cit"))
     )
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place dimension (nations): place, name, lat, lon, region (TPC-H region name),
+    quadrant (hemisphere cell, the fixture's second administrative grouping)."""
+    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    lat = ((F.col("n_nationkey") * 37) % 120 - 60).cast("double")
+    lon = ((F.col("n_nationkey") * 73) % 360 - 180).cast("double")
+    quad = F.concat(F.when(lat >= 0, F.lit("N")).otherwise(F.lit("S")), F.when(lon >= 0, F.lit("E")).otherwise(F.lit("W")))
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("n_nationkey").cast("bigint").alias("place"), F.col("n_name").alias("name"), lat.alias("lat"), lon.alias("lon"),
+        F.col("r_name").alias("region"), quad.alias("quadrant"),
+    )
+
+
+def entity_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity -> place (supplier -> nation)."""
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    return s.select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").cast("bigint").alias("place"))
