@@ -68,5 +68,5 @@ def meta(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prep(spark: SparkSession, sf: str) -> DataFrame:
-    """Prepared panel (lazy over the materialised panel and entity table)."""
-    return P.prepare(fixtures.panel(spark, sf), fixtures.entity_meta(spark, sf), P.FIXTURE)
+    """Prepared panel, materialised once per session (many analyses read it)."""
+    return fixtures._memo(spark, sf, "prep", lambda: P.prepare(fixtures.panel(spark, sf), fixtures.entity_meta(spark, sf), P.FIXTURE))

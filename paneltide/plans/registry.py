@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_base, queries_spatial, queries_transitions  # noqa: F401
+    from . import queries_base, queries_models, queries_spatial, queries_transitions  # noqa: F401
