@@ -138,8 +138,8 @@ def prefix_variances(bal: DataFrame, entity: str = "entity", year: str = "year",
     """V(size, t) of every prefix of the entities ranked by last-period value
     (descending, ties by entity), from running sums of per-year centred values."""
     last_year = bal.agg(F.max(year)).scalar()
-    last = bal.where(F.col(year) == last_year).select(entity, F.col("y").alias("_last"), (-F.col(entity)).alias("_tb"))
-    ranked = row_number_rank(last, "_last", "_tb", "r", descending=True).select(entity, "r")
+    last = bal.where(F.col(year) == last_year).select(entity, F.col("y").alias("_last"))
+    ranked = row_number_rank(last, "_last", entity, "r", descending=True).select(entity, "r")
     centre = bal.groupBy(year).agg(F.avg("y").alias("_c"))
     cy = bal.join(ranked, entity).join(centre, year).select(entity, year, "r", "_c", (F.col("y") - F.col("_c")).alias("_d"))
     cy = cy.withColumn("_d2", F.col("_d") * F.col("_d"))

@@ -49,8 +49,8 @@ def value_positions(
     """Distinct values with multiplicity ``c``, number of rows ordered before them
     (``before``) and group size ``n``.
 
-    With ``tiebreak`` the order key is ``(value, tiebreak)`` so every row is its own
-    position (row_number semantics); without it, ties share one row.
+    With ``tiebreak`` the order key is ``(value, tiebreak ascending)`` so every row is
+    its own position (row_number semantics); without it, ties share one row.
     """
     by = list(by)
     sign = -1.0 if descending else 1.0
@@ -65,7 +65,7 @@ def value_positions(
     vals = vals.withColumn("_b", _bucket(F.col("_k"), bounds))
     order = [F.col("_k")]
     if tiebreak:
-        order.append(F.col(tiebreak).desc() if descending else F.col(tiebreak).asc())
+        order.append(F.col(tiebreak).asc())  # ties always broken by the key ascending
     w = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     vals = vals.withColumn("_cum", F.sum("_c").over(w))
     tot = vals.groupBy(*by, "_b").agg(F.sum("_c").alias("_bt"))

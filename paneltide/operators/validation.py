@@ -77,14 +77,20 @@ def _attach_global(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ metrics
+def safe_corr(x: str, y: str) -> Column:
+    """Pearson correlation, null when either side is constant (ANSI-mode ``corr``
+    raises on a zero variance, e.g. a lasso that predicts one value)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def fit_metrics(df: DataFrame, y: str, pred: str, by: list[str] | None = None) -> DataFrame:
     """Squared Pearson (reported as R2), Spearman (average ranks), MAE."""
     by = list(by or [])
     r = average_rank(average_rank(df, y, "_ry", by), pred, "_rp", by)
     return r.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.pow(F.corr(y, pred), 2).alias("R2"),
-        F.corr("_ry", "_rp").alias("SpearmanRho"),
+        F.pow(safe_corr(y, pred), 2).alias("R2"),
+        safe_corr("_ry", "_rp").alias("SpearmanRho"),
         F.avg(F.abs(F.col(y) - F.col(pred))).alias("MAE"),
     )
 

@@ -6,28 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import SIG_DIGITS, round_sig, sql_round_sig  # noqa: F401
 from ..operators import panel as P
 from . import fixtures
 
 
-SIG_DIGITS = 10
-
-
-def round_sig(c, digits: int = SIG_DIGITS):
-    """Round to ``digits`` significant digits with the arithmetic DuckDB uses
-    (``round(x * 10^s) / 10^s``, half away from zero). Values computed by
-    different summation orders agree to ~1e-13 relative, so after this step both
-    engines hold the very same double and any later rounding cannot split them;
-    decimal rounding at a fixed place would hit exact .5 ties of averages."""
-    # absolute 1e-12 grid first: exact zeros computed as +-1e-17 noise become 0
-    x = F.round(c.cast("double") * F.lit(1e12)) / F.lit(1e12)
-    e = F.floor(F.log10(F.abs(x)))
-    s = F.lit(digits - 1) - e
-    up = F.round(x * F.pow(F.lit(10.0), s)) / F.pow(F.lit(10.0), s)
-    down = F.round(x / F.pow(F.lit(10.0), -s)) * F.pow(F.lit(10.0), -s)
-    return F.when(x.isNull() | (x == 0) | F.isnan(x) | (F.abs(x) == float("inf")), x).when(s >= 0, up).otherwise(down)
-
-
 def finish(df: DataFrame) -> DataFrame:
     """Round every floating column to SIG_DIGITS significant digits."""
     cols = []
@@ -39,17 +22,6 @@ def finish(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def sql_round_sig(c: str, digits: int = SIG_DIGITS) -> str:
-    x = f"(round(CAST({c} AS DOUBLE) * 1e12) / 1e12)"
-    e = f"floor(log10(abs({x})))"
-    s = f"({digits - 1} - {e})"
-    return (
-        f"CASE WHEN {x} IS NULL OR {x} = 0 OR isnan({x}) OR isinf({x}) THEN {x} "
-        f"WHEN {s} >= 0 THEN round({x} * pow(10.0, {s})) / pow(10.0, {s}) "
-        f"ELSE round({x} / pow(10.0, -{s})) * pow(10.0, -{s}) END"
-    )
-
-
 def R(body: str, doubles: str) -> str:
     """Oracle twin of :func:`finish`: round the listed double columns."""
     cols = doubles.split()

@@ -156,14 +156,21 @@ def walkforward(spark, sf, features: list[str], demean_scale: bool):
     plan = folds.collect()
     sizes = {(r["fold"], r["role"]): r["n"] for r in tagged.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def run(f):
-        fid = f["fold"]
-        if sizes.get((fid, "train"), 0) < 15 or sizes.get((fid, "test"), 0) < 5:
-            return None
-        part = tagged.where(F.col("fold") == fid)
-        return V.gbt_predict(part.where(F.col("role") == "train"), part.where(F.col("role") == "test"), features, TARGET).checkpoint(eager=True)
-
-    preds = [p for p in V.parallel([lambda f=f: run(f) for f in plan]) if p is not None]
+    # folds with the same (train_end, test window) share one fit: identical inputs,
+    # identical seeded model, so the result is reused instead of retrained
+    windows: dict[tuple, list[int]] = {}
+    for f in plan:
+        if sizes.get((f["fold"], "train"), 0) < 15 or sizes.get((f["fold"], "test"), 0) < 5:
+            continue
+        windows.setdefault((f["train_end"], f["test_start"], f["test_end"]), []).append(f["fold"])
+
+    def run(folds_same):
+        part = tagged.where(F.col("fold") == folds_same[0])
+        pred = V.gbt_predict(part.where(F.col("role") == "train"), part.where(F.col("role") == "test"), features, TARGET)
+        pred = pred.drop("fold").checkpoint(eager=True)
+        return pred.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in folds_same])))
+
+    preds = V.parallel([lambda w=w: run(w) for w in windows.values()])
     out = preds[0]
     for p in preds[1:]:
         out = out.unionByName(p)
