@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_base, queries_convergence, queries_models, queries_spatial, queries_text, queries_transitions, queries_validation  # noqa: F401
+    from . import queries_base, queries_convergence, queries_models, queries_spatial, queries_misc, queries_text, queries_transitions, queries_validation  # noqa: F401
