@@ -21,8 +21,10 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stats import Z975, normal_two_sided, t_two_sided
 
@@ -115,48 +117,132 @@ def _sym(vals: dict[tuple[int, int], float], k: int) -> np.ndarray:
     return m
 
 
-def _design(xs: list[str]) -> list[Column]:
-    return [F.lit(1.0)] + [F.col(f"_xc{i}") for i in range(len(xs))]
-
-
 def prepare_design(df: DataFrame, y: str, xs: list[str], by: list[str], extra: list[str] | None = None) -> tuple[DataFrame, DataFrame | None, dict]:
     """Complete cases of the model columns and x centred by group means."""
     extra = extra or []
-    base = df.select(*by, *extra, F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)])
+    q = lambda c: f"`{c}`"
+    base = df.selectExpr(*[q(c) for c in by + extra], f"CAST({q(y)} AS DOUBLE) AS _y", *[f"CAST({q(x)} AS DOUBLE) AS _x{i}" for i, x in enumerate(xs)])
     base = base.na.drop(subset=["_y"] + [f"_x{i}" for i in range(len(xs))] + extra)
-    mean_cols = [F.avg(f"_x{i}").alias(f"_m{i}") for i in range(len(xs))]
+    mean_exprs = [f"_x{i} AS _m{i}" for i in range(len(xs))]
     if by:
-        means = base.groupBy(*by).agg(*mean_cols)
+        sums = _sum_frame(base, by, ["1L AS _cnt"] + mean_exprs)
+        means = sums.selectExpr(*[q(b) for b in by], *[f"_m{i} / _cnt AS _m{i}" for i in range(len(xs))])
         cen = base.join(means, by)
         const_means = None
     else:
-        row = base.agg(*mean_cols).first() if xs else None
+        row = base.selectExpr(*[f"avg(_x{i}) AS _m{i}" for i in range(len(xs))]).first() if xs else None
         const_means = {i: float(row[f"_m{i}"]) if row is not None and row[f"_m{i}"] is not None else 0.0 for i in range(len(xs))}
         means = None
-        cen = base.select("*", *[F.lit(const_means[i]).alias(f"_m{i}") for i in range(len(xs))])
-    cen = cen.select(*by, *extra, "_y", *[f"_m{i}" for i in range(len(xs))], *[(F.col(f"_x{i}") - F.col(f"_m{i}")).alias(f"_xc{i}") for i in range(len(xs))])
+        cen = base.selectExpr("*", *[f"{_lit(const_means[i])} AS _m{i}" for i in range(len(xs))])
+    cen = cen.selectExpr(*[q(c) for c in by + extra], "_y", *[f"_m{i}" for i in range(len(xs))], *[f"_x{i} - _m{i} AS _xc{i}" for i in range(len(xs))])
     return cen, means, const_means or {}
 
 
-def _gram_aggs(k: int, weight: Column | None = None) -> list[Column]:
-    cols = _design_cols(k)
-    w = weight if weight is not None else F.lit(1.0)
-    aggs = [F.count(F.lit(1)).alias("_n"), F.sum(F.col("_y") * F.col("_y")).alias("_yy"), F.sum("_y").alias("_sy")]
-    aggs += [F.sum(cols[i] * F.col("_y")).alias(f"_xy{i}") for i in range(k)]
-    aggs += [F.sum(cols[i] * cols[j] * w).alias(f"_g{i}_{j}") for i, j in _pairs(k)]
-    return aggs
+def _lit(v: float) -> str:
+    """Exact SQL double literal (shortest round-trip repr, D suffix)."""
+    v = float(v)
+    if math.isnan(v) or math.isinf(v):
+        return "CAST(NULL AS DOUBLE)"
+    return f"{v!r}D"
+
+
+def _design_sql(k: int) -> list[str]:
+    return ["1.0D"] + [f"_xc{i}" for i in range(k - 1)]
+
+
+def _sum_frame(df: DataFrame, by: list[str], exprs: list[str]) -> DataFrame:
+    """Per-row products as SQL strings (one ``selectExpr`` call) summed by
+    ``groupBy().sum()`` (one call): planning cost stays flat for hundreds of sums,
+    unlike building each aggregate Column through py4j."""
+    prods = df.selectExpr(*[f"`{b}`" for b in by], *exprs)
+    names = [n for n in prods.columns if n not in by]
+    return prods.groupBy(*by).sum(*names).toDF(*by, *names)
+
+
+def _gram_frame(cen: DataFrame, k: int, by: list[str], weight: str | None = None) -> DataFrame:
+    c = _design_sql(k)
+    w = f" * {weight}" if weight else ""
+    exprs = ["1L AS _n", "_y * _y AS _yy", "_y AS _sy"]
+    exprs += [f"{c[i]} * _y AS _xy{i}" for i in range(k)]
+    exprs += [f"{c[i]} * {c[j]}{w} AS _g{i}_{j}" for i, j in _pairs(k)]
+    return _sum_frame(cen, by, exprs)
+
+
+def _key(values) -> tuple:
+    return tuple(v.item() if hasattr(v, "item") else v for v in values)
+
+
+def _batches(pdf: pd.DataFrame, by: list[str]):
+    if not by:
+        yield (), pdf
+        return
+    for key, g in pdf.groupby(by, sort=False, dropna=False):
+        yield _key(key if isinstance(key, tuple) else (key,)), g
+
+
+def _design_np(g: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    x = np.empty((len(g), k))
+    x[:, 0] = 1.0
+    for i in range(k - 1):
+        x[:, i + 1] = g[f"_xc{i}"].to_numpy(dtype=float)
+    return x, g["_y"].to_numpy(dtype=float)
+
 
+def _partials(df: DataFrame, by: list[str], fn, schema_extra: list[T.StructField] | None = None, extra_keys: list[str] | None = None) -> DataFrame:
+    """Per-partition numpy partial sums emitted as (keys..., idx, v) rows and
+    reduced on Spark with groupBy(keys, idx).sum: BLAS does the k x k work per
+    Arrow batch, Spark does the distributed reduction; only k^2 numbers per group
+    and partition cross the shuffle."""
+    keys = by + (extra_keys or [])
+    fields = [f for f in df.schema.fields if f.name in keys]
+    fields = sorted(fields, key=lambda f: keys.index(f.name))
+    schema = T.StructType(fields + [T.StructField("idx", T.LongType()), T.StructField("v", T.DoubleType())])
 
-def _design_cols(k: int) -> list[Column]:
-    return [F.lit(1.0)] + [F.col(f"_xc{i}") for i in range(k - 1)]
+    def run(it):
+        acc: dict[tuple, np.ndarray] = {}
+        for pdf in it:
+            for key, g in _batches(pdf, keys):
+                v = fn(key, g)
+                acc[key] = v if key not in acc else acc[key] + v
+        for key, v in acc.items():
+            out = {kname: [kv] * len(v) for kname, kv in zip(keys, key)}
+            out["idx"] = np.arange(len(v), dtype=np.int64)
+            out["v"] = v
+            yield pd.DataFrame(out)
 
+    return df.mapInPandas(run, schema).groupBy(*keys, "idx").agg(F.sum("v").alias("v"))
 
-def _solve(row, k: int, xs: list[str], means: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float, int, int]:
-    n = int(row["_n"])
-    xtx = _sym({(i, j): float(row[f"_g{i}_{j}"]) for i, j in _pairs(k)}, k)
-    xty = np.array([float(row[f"_xy{i}"]) for i in range(k)])
-    yy = float(row["_yy"])
-    sy = float(row["_sy"])
+
+def _collect_vectors(part: DataFrame, keys: list[str], size: int) -> dict[tuple, np.ndarray]:
+    out: dict[tuple, np.ndarray] = {}
+    for r in part.collect():  # k^2 numbers per group: bounded
+        key = tuple(r[c] for c in keys)
+        vec = out.setdefault(key, np.zeros(size))
+        vec[int(r["idx"])] = float(r["v"])
+    return out
+
+
+def gram_partials(cen: DataFrame, k: int, by: list[str]) -> dict[tuple, dict]:
+    iu = np.triu_indices(k)
+    m = len(iu[0])
+
+    def fn(key, g):
+        x, y = _design_np(g, k)
+        return np.concatenate([(x.T @ x)[iu], x.T @ y, [y @ y, y.sum(), float(len(y))]])
+
+    vecs = _collect_vectors(_partials(cen, by, fn), by, m + k + 3)
+    out = {}
+    for key, v in vecs.items():
+        xtx = np.zeros((k, k))
+        xtx[iu] = v[:m]
+        xtx = xtx + np.triu(xtx, 1).T
+        out[key] = {"xtx": xtx, "xty": v[m : m + k], "yy": v[m + k], "sy": v[m + k + 1], "n": int(round(v[m + k + 2]))}
+    return out
+
+
+def _solve(gram: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float, int, int]:
+    n = int(gram["n"])
+    xtx, xty, yy, sy = gram["xtx"], gram["xty"], float(gram["yy"]), float(gram["sy"])
     scale = np.sqrt(np.clip(np.diag(xtx), 1e-300, None))
     a_scaled = np.linalg.pinv(xtx / np.outer(scale, scale), rcond=1e-12)
     a = a_scaled / np.outer(scale, scale)
@@ -205,53 +291,65 @@ def ols(
     k = len(xs) + 1
     extra = [cluster] if cov == "cluster" and cluster else []
     cen, means_df, const_means = prepare_design(df, y, xs, by, extra)
+    grams = gram_partials(cen, k, by)
     if by:
-        grams = cen.groupBy(*by).agg(*_gram_aggs(k)).join(means_df, by).collect()
-    else:
-        grams = cen.agg(*_gram_aggs(k)).collect()
-        grams = [g for g in grams if g["_n"]]
+        mean_rows = {tuple(r[c] for c in by): [float(r[f"_m{i}"]) for i in range(len(xs))] for r in means_df.collect()}  # one row per group
     states: list[_GroupState] = []
-    for row in grams:
-        n = int(row["_n"] or 0)
+    for key, gram in grams.items():
+        n = int(gram["n"])
         if n < max(min_rows, 1):
             continue
-        means = [float(row[f"_m{i}"]) for i in range(len(xs))] if by else [const_means[i] for i in range(len(xs))]
-        a, b, xtx, rss, tss, rank, n = _solve(row, k, xs, means)
-        states.append(_GroupState(_group_key(row, by), a, b, rss, tss, rank, n, means))
+        means = mean_rows[key] if by else [const_means[i] for i in range(len(xs))]
+        a, b, xtx, rss, tss, rank, n = _solve(gram, k)
+        states.append(_GroupState(key, a, b, rss, tss, rank, n, means))
     if not states:
         return []
     meats: dict[tuple, np.ndarray] = {}
     n_clusters: dict[tuple, int] = {}
     if cov in ("HC3", "cluster"):
         spark = df.sparkSession
-        dc = _design_cols(k)
-        if by:
-            # per-group coefficients: a driver-built table with one row per group
-            withc = cen.join(F.broadcast(_coef_frame(spark, states, by, k)), by)
-            bcol = lambda i: F.col(f"_b{i}")
-            acol = lambda i, j: F.col(f"_a{i}_{j}")
-        else:
-            withc = cen
-            st0 = states[0]
-            bcol = lambda i: F.lit(float(st0.b[i]))
-            acol = lambda i, j: F.lit(float(st0.a[i, j]))
-        fitted = sum((bcol(i) * dc[i] for i in range(k)), F.lit(0.0))
-        e = F.col("_y") - fitted
+        params = {st.key: (st.a, st.b) for st in states}
+        iu = np.triu_indices(k)
+        m = len(iu[0])
         if cov == "HC3":
-            h = sum((acol(i, j) * dc[i] * dc[j] * (1.0 if i == j else 2.0) for i, j in _pairs(k)), F.lit(0.0))
-            w = (e * e) / F.pow(F.lit(1.0) - h, 2)
-            aggs = [F.sum(dc[i] * dc[j] * w).alias(f"_m{i}_{j}") for i, j in _pairs(k)]
-            rows = (withc.groupBy(*by).agg(*aggs) if by else withc.agg(*aggs)).collect()
-            for r in rows:
-                meats[_group_key(r, by)] = _sym({(i, j): float(r[f"_m{i}_{j}"] or 0.0) for i, j in _pairs(k)}, k)
+
+            def hc3(key, g):
+                if key not in params:
+                    return np.zeros(m)
+                a, b = params[key]
+                x, y = _design_np(g, k)
+                e = y - x @ b
+                h = np.einsum("ij,jk,ik->i", x, a, x)
+                w = e * e / (1.0 - h) ** 2
+                return (x.T @ (x * w[:, None]))[iu]
+
+            for key, v in _collect_vectors(_partials(cen, by, hc3), by, m).items():
+                mt = np.zeros((k, k))
+                mt[iu] = v
+                meats[key] = mt + np.triu(mt, 1).T
         else:
-            scores = withc.groupBy(*by, cluster).agg(*[F.sum(dc[i] * e).alias(f"_s{i}") for i in range(k)])
-            aggs = [F.count(F.lit(1)).alias("_G")] + [F.sum(F.col(f"_s{i}") * F.col(f"_s{j}")).alias(f"_m{i}_{j}") for i, j in _pairs(k)]
-            rows = (scores.groupBy(*by).agg(*aggs) if by else scores.agg(*aggs)).collect()
-            for r in rows:
-                key = _group_key(r, by)
-                meats[key] = _sym({(i, j): float(r[f"_m{i}_{j}"] or 0.0) for i, j in _pairs(k)}, k)
-                n_clusters[key] = int(r["_G"])
+            kb = by + [cluster]
+
+            def scores(key, g):
+                a, b = params.get(key[: len(by)], (None, None))
+                if b is None:
+                    return np.zeros(k)
+                x, y = _design_np(g, k)
+                return (x * (y - x @ b)[:, None]).sum(axis=0)
+
+            sc = _partials(cen, by, scores, extra_keys=[cluster])
+            wide = sc.groupBy(*kb).pivot("idx", list(range(k))).agg(F.first("v")).na.fill(0.0)
+            wide = wide.toDF(*kb, *[f"_s{i}" for i in range(k)])
+
+            def outer(key, g):
+                s_ = np.column_stack([g[f"_s{i}"].to_numpy(dtype=float) for i in range(k)])
+                return np.concatenate([(s_.T @ s_)[iu], [float(len(g))]])
+
+            for key, v in _collect_vectors(_partials(wide, by, outer), by, m + 1).items():
+                mt = np.zeros((k, k))
+                mt[iu] = v[:m]
+                meats[key] = mt + np.triu(mt, 1).T
+                n_clusters[key] = int(round(v[m]))
     names = [CONST] + list(xs)
     fits = []
     for s in states:
@@ -326,12 +424,9 @@ def gram_by(df: DataFrame, y: str, xs: list[str], by: list[str], shift: dict[str
     k = len(xs) + 1
     base = df.select(*by, F.col(y).cast("double").alias("_y"), *[(F.col(x).cast("double") - F.lit(shift.get(x, 0.0))).alias(f"_xc{i}") for i, x in enumerate(xs)])
     base = base.na.drop()
-    rows = base.groupBy(*by).agg(*_gram_aggs(k)).collect()
     out = {}
-    for r in rows:
-        xtx = _sym({(i, j): float(r[f"_g{i}_{j}"]) for i, j in _pairs(k)}, k)
-        xty = np.array([float(r[f"_xy{i}"]) for i in range(k)])
-        out[_group_key(r, by)] = (xtx, xty, float(r["_yy"]), int(r["_n"]))
+    for key, g in gram_partials(base, k, by).items():
+        out[key] = (g["xtx"], g["xty"], g["yy"], g["n"])
     return out
 
 
