@@ -418,12 +418,18 @@ def _f(x) -> float | None:
 
 
 def gram_by(df: DataFrame, y: str, xs: list[str], by: list[str], shift: dict[str, float] | None = None) -> dict[tuple, tuple[np.ndarray, np.ndarray, float, int]]:
-    """Raw (uncentred, optionally shifted) Gram pieces per group, for callers that
-    sum Grams over groups (Chow: every break is a sum of year Grams)."""
-    shift = shift or {}
+    """Gram pieces per group, for callers that sum Grams over groups (Chow: every
+    break is a sum of year Grams). All columns are shifted by their pooled
+    complete-case means first (one small aggregate; ``shift`` overrides), so sums
+    over any subset stay well conditioned; RSS and slopes do not depend on it."""
     k = len(xs) + 1
-    base = df.select(*by, F.col(y).cast("double").alias("_y"), *[(F.col(x).cast("double") - F.lit(shift.get(x, 0.0))).alias(f"_xc{i}") for i, x in enumerate(xs)])
-    base = base.na.drop()
+    base = df.select(*by, F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)]).na.drop()
+    means = base.agg(F.avg("_y").alias("_y"), *[F.avg(f"_x{i}").alias(f"_x{i}") for i in range(len(xs))]).first()
+    sh = {"_y": float(means["_y"] or 0.0), **{f"_x{i}": float(means[f"_x{i}"] or 0.0) for i in range(len(xs))}}
+    for i, x in enumerate(xs):
+        if shift and x in shift:
+            sh[f"_x{i}"] = float(shift[x])
+    base = base.select(*by, (F.col("_y") - F.lit(sh["_y"])).alias("_y"), *[(F.col(f"_x{i}") - F.lit(sh[f"_x{i}"])).alias(f"_xc{i}") for i in range(len(xs))])
     out = {}
     for key, g in gram_partials(base, k, by).items():
         out[key] = (g["xtx"], g["xty"], g["yy"], g["n"])

@@ -133,7 +133,7 @@ CHOW_X = ["year", "log_n_papers"]
 
 def chow_frame(spark, sf):
     df = prep(spark, sf).select("log_mean_pat", "tech_prox", "research_novelty", "log_n_papers", "year", "entity").na.drop()
-    rows = INF.chow_tests(df, S.events, "log_mean_pat", CHOW_X, shift={"year": float(S.year_start)})
+    rows = INF.chow_tests(df, S.events, "log_mean_pat", CHOW_X)
     sdf = _rows(spark, rows, "event string, break_year int, n bigint, n_pre bigint, n_post bigint, f_stat double, p_value double")
     return sdf.withColumn("stars", F.when(F.col("p_value").isNull(), "").otherwise(sig_stars(F.col("p_value"))))
 
