@@ -9,7 +9,7 @@ from ..functions.columns import sig_stars
 from ..operators import describe as D
 from ..operators import panel as P
 from ..sources.tables import read_table
-from .common import R, finish, meta, panel, prep
+from .common import R, finish, meta, panel, prep, round_sig, sql_round_sig
 from .oracle import META_CTES, PANEL_CTES, PREP_CTES, with_ctes
 from .registry import query
 
@@ -449,3 +449,20 @@ def q_sigma_slope(spark, sf):
             F.count(F.lit(1)).alias("n_years"),
         )
     )
+
+
+# ---------------------------------------------------------------- 46 average ranks (ties share the mean rank)
+@query(
+    "avg_rank",
+    sql=_sql(
+        "SELECT entity, year, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS avg_rank FROM ("
+        "SELECT entity, year, " + sql_round_sig("mean_patent_cit") + " AS v FROM panel)",
+        "avg_rank",
+        PANEL_CTES,
+    ),
+)
+def q_avg_rank(spark, sf):
+    from ..operators.ranking import average_rank
+
+    p = panel(spark, sf).select("entity", "year", round_sig(F.col("mean_patent_cit")).alias("v"))
+    return finish(average_rank(p, "v", "avg_rank").select("entity", "year", "avg_rank"))
