@@ -46,6 +46,7 @@ from pyspark.sql import Window  # noqa: E402
 
 from ..functions.stats import normal_two_sided  # noqa: E402
 from .ranking import row_number_rank  # noqa: E402
+from ..session import materialise  # noqa: E402
 
 V_FLOOR = 1e-12
 
@@ -186,8 +187,8 @@ def form_clubs(bal: DataFrame, t_crit: float = -1.65, max_iter: int = 10, entity
         members = ranked.where(F.col("r") <= best["size"]).select(
             entity, F.lit(club_id).alias("club"), F.lit(best["b_coef"]).alias("b_coef"), F.lit(best["t_stat"]).alias("t_stat"), F.lit(True).alias("converging")
         )
-        clubs = (members if clubs is None else clubs.unionByName(members)).checkpoint(eager=True)
-        remaining = remaining.join(members.select(entity), entity, "left_anti").checkpoint(eager=True)
+        clubs = materialise(members if clubs is None else clubs.unionByName(members), "clubs")
+        remaining = materialise(remaining.join(members.select(entity), entity, "left_anti"), "club_rest")
     if clubs is None:
         return spark.createDataFrame([], CLUB_SCHEMA)
     return clubs.select(F.col(entity).cast("long").alias("entity"), F.col("club").cast("int"), "b_coef", "t_stat", "converging")

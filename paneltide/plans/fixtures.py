@@ -6,8 +6,8 @@ papers       documents: topic = lang, entity = source, imputed = doc_id % 10 = 0
 second panel orders x customer -> nation x order-year cells
 
 Every view is a lazy plan over the given tables. ``panel()`` additionally
-materialises the cell table once per session with ``checkpoint()`` (written to
-the session's ``spark.checkpoint.dir``), because every analysis reads it and
+materialises the cell table once per session as a Parquet table in the
+session's ``spark.checkpoint.dir`` (see ``session.materialise``), because every analysis reads it and
 it is tiny compared with lineitem; lineage to the 100 TB scan is cut there.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import percentile_row, row_number_rank
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialise
 from ..sources.tables import read_table
 
 ACTIVE_MIN_ITEMS = 60  # cells with fewer line items are inactive (state -1)
@@ -26,14 +26,13 @@ STATE_CUTS = {"q1": 1.0 / 3.0, "q2": 2.0 / 3.0}
 _MEMO: dict[tuple, DataFrame] = {}
 
 
-def _memo(spark: SparkSession, sf_dir: str, name: str, build, materialise: bool = True) -> DataFrame:
+def _memo(spark: SparkSession, sf_dir: str, name: str, build, as_table: bool = True) -> DataFrame:
     key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
     df = _MEMO.get(key)
     if df is None:
         df = build()
-        if materialise:
-            ensure_checkpoint_dir(spark)
-            df = df.checkpoint(eager=True)
+        if as_table:
+            df = materialise(df, name)
         _MEMO[key] = df
     return df
 

@@ -73,12 +73,13 @@ def mundlak_results(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key in _MUNDLAK_MEMO:
         return _MUNDLAK_MEMO[key]
+    from ..operators.validation import parallel
+
     df = prep(spark, sf)
-    out = {}
-    for name, tv in INF.mundlak_specs(list(S.events)):
-        fit = INF.mundlak_fit(df, tv)
-        if fit is not None:
-            out[name] = fit
+    specs = INF.mundlak_specs(list(S.events))
+    # the six specifications are independent: fitted as concurrent Spark jobs
+    fits = parallel([lambda tv=tv: INF.mundlak_fit(df, tv) for _, tv in specs])
+    out = {name: fit for (name, _), fit in zip(specs, fits) if fit is not None}
     _MUNDLAK_MEMO[key] = out
     return out
 

@@ -57,9 +57,15 @@ def _tokens(spark, sf):
     return fixtures._memo(spark, sf, "doc_tokens", lambda: TP.doc_tokens(_docs(spark, sf), "doc_id", "text", ["topic", "entity", "imputed"]))
 
 
+def _dt(spark, sf):
+    """Document 1-3-gram counts: computed once per session and checkpointed; every
+    text aggregate (relevance, c-TF-IDF, PMI, UMass, entity profiles) reads it."""
+    return fixtures._memo(spark, sf, "doc_ngrams", lambda: TP.doc_ngrams(_tokens(spark, sf), "doc_id", ["topic", "entity", "imputed"], 3))
+
+
 def _vocab(spark, sf):
     """The N_VOCAB most frequent cleaned terms of English documents, by a query."""
-    en = TP.doc_term_counts(_tokens(spark, sf).where(F.col("topic") == "en"), ["doc_id"]).groupBy("term").agg(F.sum("n").alias("total"))
+    en = _dt(spark, sf).where((F.col("topic") == "en") & (F.col("ng") == 1)).groupBy("term").agg(F.sum("n").alias("total"))
     from ..operators.ranking import row_number_rank
 
     r = row_number_rank(en, "total", "term", "_r", descending=True).where(F.col("_r") <= N_VOCAB)
@@ -135,7 +141,7 @@ def q_short_labels(spark, sf):
     ),
 )
 def q_vocab_relevance(spark, sf):
-    return finish(TP.vocab_relevance(_tokens(spark, sf), _vocab(spark, sf)))
+    return finish(TP.vocab_relevance(_tokens(spark, sf), _vocab(spark, sf), dt=_dt(spark, sf)))
 
 
 # ------------------------------------------------------------------ 59 c-TF-IDF, 60 PMI
@@ -166,11 +172,11 @@ PMI_CTES = [
 
 
 def _ct(spark, sf):
-    return fixtures._memo(spark, sf, "ctfidf", lambda: TP.ctfidf(_tokens(spark, sf)))
+    return fixtures._memo(spark, sf, "ctfidf", lambda: TP.ctfidf(_dt(spark, sf)))
 
 
 def _pm(spark, sf):
-    return fixtures._memo(spark, sf, "pmi", lambda: TP.topic_pmi(_tokens(spark, sf)))
+    return fixtures._memo(spark, sf, "pmi", lambda: TP.topic_pmi(_tokens(spark, sf), _dt(spark, sf)))
 
 
 @query("ctfidf", sql=_sql("SELECT topic, rank, term, score FROM ct", "score", *CT_CTES))
@@ -221,7 +227,7 @@ UMASS_CTES = [
 )
 def q_umass(spark, sf):
     u = TP.ordered_union(_ct(spark, sf), _pm(spark, sf), "topic", 6)
-    return finish(TP.umass(u, _tokens(spark, sf), "topic"))
+    return finish(TP.umass(u, _dt(spark, sf), "topic"))
 
 
 DM_CTES = [
@@ -271,7 +277,7 @@ def q_domain_match(spark, sf):
 def q_topic_profile(spark, sf):
     ct, pm = _ct(spark, sf), _pm(spark, sf)
     u6 = TP.ordered_union(ct, pm, "topic", 6)
-    coh = TP.umass(u6, _tokens(spark, sf), "topic")
+    coh = TP.umass(u6, _dt(spark, sf), "topic")
     dm = _dm(spark, sf)
     best = dm.where(F.col("rank") == 1).select("topic", "domain")
     top5 = dm.where(F.col("rank") <= 5).groupBy("topic").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("domain", "score")))).alias("domain_scores"))
@@ -316,7 +322,7 @@ WT_CTES = [
 
 
 def _wtext(spark, sf):
-    return fixtures._memo(spark, sf, "w_text", lambda: TP.entity_text_similarity(_docs(spark, sf), _entity_types(spark, sf), MIN_CONFIRMED))
+    return fixtures._memo(spark, sf, "w_text", lambda: TP.entity_text_similarity(_docs(spark, sf), _entity_types(spark, sf), _dt(spark, sf), MIN_CONFIRMED))
 
 
 @query("w_text", sql=_sql("SELECT i, j, sim, sim / sum(sim) OVER (PARTITION BY i) AS w FROM sim", "sim w", *WT_CTES))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import panel as P
 from ..operators import validation as V
+from ..session import materialise
 from .common import R, finish, fixtures, prep, round_sig, sql_round_sig
 from .oracle import META_CTES, PANEL_CTES, PREP_CTES, with_ctes
 from .registry import query
@@ -167,7 +168,7 @@ def walkforward(spark, sf, features: list[str], demean_scale: bool):
     def run(folds_same):
         part = tagged.where(F.col("fold") == folds_same[0])
         pred = V.gbt_predict(part.where(F.col("role") == "train"), part.where(F.col("role") == "test"), features, TARGET)
-        pred = pred.drop("fold").checkpoint(eager=True)
+        pred = materialise(pred.drop("fold"), "gbt_pred")
         return pred.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in folds_same])))
 
     preds = V.parallel([lambda w=w: run(w) for w in windows.values()])

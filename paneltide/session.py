@@ -67,3 +67,23 @@ def apply_runtime_defaults(spark: SparkSession) -> None:
     for k, v in _RUNTIME_DEFAULTS.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
+
+
+_MAT_COUNTER = [0]
+
+
+def materialise(df, name: str = "table"):
+    """Cut lineage by writing ``df`` as Parquet under the session's checkpoint
+    folder (a shared folder on a cluster) and reading it back.
+
+    Unlike ``Dataset.checkpoint`` on an unpersisted plan, the plan is computed once;
+    the re-read table carries file statistics, so later joins can be broadcast
+    from measured sizes, and a lost executor only costs a re-read."""
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    _MAT_COUNTER[0] += 1
+    path = f"{root}/paneltide-{name}-{_MAT_COUNTER[0]}-{uuid.uuid4().hex[:8]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
