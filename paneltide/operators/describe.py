@@ -84,6 +84,5 @@ def arg_max(df: DataFrame, label: str, value: str, by: list[str] | None = None)
     """Row with the largest value (ties: smallest label) via ``max_by`` on a struct key."""
     by = list(by or [])
     clean = df.where(F.col(value).isNotNull())
-    key = F.struct(F.col(value), (-F.hash(label)).alias("_h"))
     aggs = [F.max(value).alias(f"max_{value}"), F.min_by(label, F.struct(-F.col(value), F.col(label))).alias(label)]
     return clean.groupBy(*by).agg(*aggs) if by else clean.agg(*aggs)

@@ -159,15 +159,6 @@ def _sum_frame(df: DataFrame, by: list[str], exprs: list[str]) -> DataFrame:
     return prods.groupBy(*by).sum(*names).toDF(*by, *names)
 
 
-def _gram_frame(cen: DataFrame, k: int, by: list[str], weight: str | None = None) -> DataFrame:
-    c = _design_sql(k)
-    w = f" * {weight}" if weight else ""
-    exprs = ["1L AS _n", "_y * _y AS _yy", "_y AS _sy"]
-    exprs += [f"{c[i]} * _y AS _xy{i}" for i in range(k)]
-    exprs += [f"{c[i]} * {c[j]}{w} AS _g{i}_{j}" for i, j in _pairs(k)]
-    return _sum_frame(cen, by, exprs)
-
-
 def _key(values) -> tuple:
     return tuple(v.item() if hasattr(v, "item") else v for v in values)
 
