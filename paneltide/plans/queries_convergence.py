@@ -96,3 +96,33 @@ def q_clubs(spark, sf):
     clubs = CV.form_clubs(_bal(spark, sf))
     m = meta(spark, sf).select("entity", F.col("type").alias("inst_type"), F.col("region").alias("inst_region"))
     return finish(clubs.join(m, "entity", "left").select("entity", "club", "inst_type", "inst_region", "b_coef", "t_stat", "converging"))
+
+
+@query(
+    "logt_slope",
+    sql=_sql(
+        "SELECT regr_slope(yv, xv) AS b_coef, regr_intercept(yv, xv) AS intercept, count(*) AS n_points FROM lt_r",
+        "b_coef intercept",
+        *_BASE,
+        BAL_CTES,
+        "lt_v AS (SELECT year, greatest(var_pop(y) / pow(avg(y) + 1e-12, 2), 1e-12) AS V FROM bal GROUP BY year)",
+        "lt_vi AS (SELECT year, V, row_number() OVER (ORDER BY year) - 1 AS t, count(*) OVER () AS T FROM lt_v)",
+        "lt_t0 AS (SELECT greatest(1, CAST(floor(0.2 * max(T)) AS BIGINT)) AS t0 FROM lt_vi)",
+        """lt_r AS (SELECT ln(lt_vi.V / (SELECT a.V FROM lt_vi a, lt_t0 b WHERE a.t = b.t0)) - 2 * ln(ln(lt_vi.t + 2)) AS yv, ln(lt_vi.t + 1) AS xv
+      FROM lt_vi, lt_t0 WHERE lt_vi.t >= lt_t0.t0)""",
+    ),
+)
+def q_logt_slope(spark, sf):
+    """OLS part of the log-t regression (slope b and intercept) on the year
+    variances; the HAC t statistic is in ``logt_global``."""
+    from ..operators.ranking import row_number_rank
+
+    v = CV.year_variance(_bal(spark, sf))
+    vi = row_number_rank(v.withColumn("_k", F.col("year").cast("double")), "_k", "year", "_pos").select("year", "V", (F.col("_pos") - 1).alias("t"))
+    n_years = vi.agg(F.count(F.lit(1))).scalar()
+    t0 = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(0.2) * n_years).cast("bigint"))
+    v0 = vi.where(F.col("t") == t0).select("V").scalar()
+    r = vi.where(F.col("t") >= t0).select(
+        (F.log(F.col("V") / v0) - F.lit(2.0) * F.log(F.log(F.col("t") + 2))).alias("yv"), F.log(F.col("t") + 1).alias("xv")
+    )
+    return finish(r.agg(F.regr_slope("yv", "xv").alias("b_coef"), F.regr_intercept("yv", "xv").alias("intercept"), F.count(F.lit(1)).alias("n_points")))
