@@ -450,3 +450,37 @@ def q_did(spark, sf):
     cell = lambda t, post: F.avg(F.when((F.col("is_east") == t) & ((F.col("year") >= ev) == post), F.col("log_mean_pat")))
     g = df.agg(cell(1, False).alias("t0"), cell(1, True).alias("t1"), cell(0, False).alias("c0"), cell(0, True).alias("c1"))
     return finish(g.select(((F.col("t1") - F.col("t0")) - (F.col("c1") - F.col("c0"))).alias("did"), "t0", "t1", "c0", "c1"))
+
+
+def _rss_sql(cond: str) -> str:
+    """RSS of y on (1, year, log_n_papers) over the rows matching ``cond``, from
+    centred second moments (closed form of the 2 x 2 solve)."""
+    m = lambda a, b: f"covar_pop({a}, {b}) * count(*)"
+    s11, s22, s12 = m("year", "year"), m("log_n_papers", "log_n_papers"), m("year", "log_n_papers")
+    s1y, s2y, syy = m("year", "log_mean_pat"), m("log_n_papers", "log_mean_pat"), m("log_mean_pat", "log_mean_pat")
+    return (
+        f"(SELECT {syy} - ({s22} * pow({s1y}, 2) - 2 * {s12} * {s1y} * {s2y} + {s11} * pow({s2y}, 2)) / ({s11} * {s22} - pow({s12}, 2)) "
+        f"FROM cb WHERE {cond})"
+    )
+
+
+_EVENTS_SQL = ", ".join(f"('{e}', {y})" for e, y in S.events.items())
+
+
+@query(
+    "chow_f",
+    sql=_sql(
+        f"""SELECT e.event, CAST(e.b AS INTEGER) AS break_year,
+  CASE WHEN (SELECT count(*) FROM cb WHERE year < e.b) >= 5 AND (SELECT count(*) FROM cb WHERE year >= e.b) >= 5 THEN
+    (({_rss_sql('true')} - {_rss_sql('year < e.b')} - {_rss_sql('year >= e.b')}) / 3.0)
+    / (({_rss_sql('year < e.b')} + {_rss_sql('year >= e.b')}) / ((SELECT count(*) FROM cb) - 6)) END AS f_stat
+FROM (VALUES {_EVENTS_SQL}) e(event, b)""",
+        "f_stat",
+        *_BASE,
+        "cb AS (SELECT CAST(year AS DOUBLE) AS year, log_n_papers, log_mean_pat FROM prep WHERE log_mean_pat IS NOT NULL "
+        "AND tech_prox IS NOT NULL AND research_novelty IS NOT NULL AND log_n_papers IS NOT NULL AND entity IS NOT NULL)",
+    ),
+)
+def q_chow_f(spark, sf):
+    """The Chow F statistics of ``chow_breaks`` (year-Gram sums), SQL-checked."""
+    return finish(chow_frame(spark, sf).select("event", "break_year", "f_stat"))
