@@ -14,7 +14,7 @@ from ..operators.regression import fits_frame, ols
 from .common import R, finish, prep
 from .oracle import META_CTES, PANEL_CTES, PREP_CTES, with_ctes
 from .queries_base import THRESHOLDS, tech_share
-from .registry import query
+from .registry import ORACLES, query
 
 S = P.FIXTURE
 _BASE = (PANEL_CTES, META_CTES, PREP_CTES)
@@ -467,20 +467,27 @@ def _rss_sql(cond: str) -> str:
 _EVENTS_SQL = ", ".join(f"('{e}', {y})" for e, y in S.events.items())
 
 
-@query(
-    "chow_f",
-    sql=_sql(
-        f"""SELECT e.event, CAST(e.b AS INTEGER) AS break_year,
+_CB_CTE = (
+    "cb AS (SELECT CAST(year AS DOUBLE) AS year, log_n_papers, log_mean_pat FROM prep WHERE log_mean_pat IS NOT NULL "
+    "AND tech_prox IS NOT NULL AND research_novelty IS NOT NULL AND log_n_papers IS NOT NULL AND entity IS NOT NULL)"
+)
+_CHOW_BODY = f"""SELECT e.event, CAST(e.b AS INTEGER) AS break_year,
   CASE WHEN (SELECT count(*) FROM cb WHERE year < e.b) >= 5 AND (SELECT count(*) FROM cb WHERE year >= e.b) >= 5 THEN
     (({_rss_sql('true')} - {_rss_sql('year < e.b')} - {_rss_sql('year >= e.b')}) / 3.0)
     / (({_rss_sql('year < e.b')} + {_rss_sql('year >= e.b')}) / ((SELECT count(*) FROM cb) - 6)) END AS f_stat
-FROM (VALUES {_EVENTS_SQL}) e(event, b)""",
-        "f_stat",
-        *_BASE,
-        "cb AS (SELECT CAST(year AS DOUBLE) AS year, log_n_papers, log_mean_pat FROM prep WHERE log_mean_pat IS NOT NULL "
-        "AND tech_prox IS NOT NULL AND research_novelty IS NOT NULL AND log_n_papers IS NOT NULL AND entity IS NOT NULL)",
-    ),
-)
+FROM (VALUES {_EVENTS_SQL}) e(event, b)"""
+
+
+@query("chow_f", sql=_sql(_CHOW_BODY, "f_stat", *_BASE, _CB_CTE))
 def q_chow_f(spark, sf):
     """The Chow F statistics of ``chow_breaks`` (year-Gram sums), SQL-checked."""
     return finish(chow_frame(spark, sf).select("event", "break_year", "f_stat"))
+
+
+# the strongest break is an arg-max over the same F statistics: SQL-checkable too
+ORACLES["strongest_break"] = _sql(
+    f"SELECT arg_max(event, struct_pack(f := f_stat, b := -break_year)) AS event, max(f_stat) AS f_stat FROM ({_CHOW_BODY}) WHERE f_stat IS NOT NULL",
+    "f_stat",
+    *_BASE,
+    _CB_CTE,
+)
