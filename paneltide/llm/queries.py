@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join
+from . import jaccard_join, language_id, pseudonyms, substring_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,57 @@ def _query(name: str, sql: str | None = None):
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return jaccard_join.jaccard_components(docs, width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@_query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = language_id.fold("doc_id")
+    model = language_id.fit(docs, remainder != 1)
+    marked = language_id.predict(docs.select("doc_id", "text"), model)
+    return marked.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+OP7_SQL = """
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
+units AS (SELECT doc_id, unnest(p) AS unit, unnest(range(1, len(p) + 1)) AS idx, len(p) AS n FROM parts),
+normed AS (
+  SELECT *, trim(regexp_replace(lower(unit), '[ \t\n\r\f\v]+', ' ', 'g')) AS norm,
+         length(unit) + CASE WHEN idx < n THEN 1 ELSE 0 END AS width FROM units),
+ranked AS (
+  SELECT *, len(string_split(norm, ' ')) >= 6 AS eligible,
+         row_number() OVER (PARTITION BY norm ORDER BY doc_id, idx) AS rk FROM normed),
+marked AS (SELECT *, eligible AND rk > 1 AS gone FROM ranked),
+kept AS (
+  SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(sum(width) FILTER (WHERE gone), 0)::BIGINT AS chars_removed,
+         coalesce(string_agg(unit || CASE WHEN idx < n THEN chr(10) ELSE '' END, '' ORDER BY idx) FILTER (WHERE NOT gone), '') AS kept
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(chars_removed, 0) AS chars_removed, sha256(kept) AS kept_sha256
+FROM (SELECT doc_id FROM documents) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@_query("op7_substring_dedup", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_units(table(spark, sf_dir, "documents"))
+    spans = F.coalesce("removed", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
+    return out.select(
+        "doc_id", "n_units", F.size(spans).cast("bigint").alias("n_removed"),
+        F.aggregate(spans, F.lit(0).cast("bigint"), lambda t, s: t + s["stop"] - s["start"]).alias("chars_removed"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
+#: The key of the registered query; a user passes a secret of their own.
+PSEUDONYM_KEY = "paneltide-example-key"
+
+
+@_query("op9_pseudonyms")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return out.select(
+        "doc_id", F.size("found").cast("bigint").alias("n_found"),
+        F.size(F.filter("found", lambda f: f["valid"])).cast("bigint").alias("n_replaced"), "text", "found",
+    )
