@@ -21,10 +21,12 @@ gives each document the smallest doc_id it can reach.
    distances of all members to a pivot decide its links; members whose size or whose
    distance to an earlier pivot differs too much are skipped (triangle inequality);
    pivots are taken until every untested pair is already connected.
-4. **Recursion.** A larger region is split: distances to 16 document pivots give each
-   member a Voronoi cell (its nearest pivot); members not yet connected with the
-   region's main component are compared, block by block, with the cells whose distance
-   windows can hold a partner.
+4. **Recursion.** A larger region is split: each member's distances to 16 document pivots
+   are taken; members linked to pivots are connected through them. The members that are
+   not yet connected with the region's main component form Voronoi cells (nearest pivot,
+   cut again while too large for a task); every other member is copied into the cells
+   whose windows of pivot distances, widened by r, it falls in, and each cell is joined
+   block by block.
 
 Defined cases: null or empty text, or text without words: empty set, linked with
 nothing, its own component. Fewer words than the shingle width: one shingle. Rows that
@@ -48,7 +50,7 @@ from .common import connected_components
 
 SKETCH_BITS = 20
 SKETCH_PART = 1 << 16
-REGION_SHINGLES = 1_000_000  # largest region (in shingles) that one task joins
+REGION_SHINGLES = 2_000_000  # largest region (in shingles) that one task joins
 PIVOTS = 16
 
 _SUMMARY = "doc_id bigint, n bigint, class bigint, part int, counts binary"
@@ -256,7 +258,7 @@ def _to_pivots(percent: int):
         own = np.flatnonzero(~piv)
         pivots = np.flatnonzero(piv)
         pivots = pivots[np.argsort(cls[pivots])]
-        dist, link = np.zeros((len(own), len(pivots))), cls[own].copy()
+        dist = np.zeros((len(own), len(pivots)))
         src, dst = [cls[own]], [cls[own]]
         for k, p in enumerate(pivots):
             inter = _overlaps(flat, starts, n, p, own, mark)
@@ -266,7 +268,6 @@ def _to_pivots(percent: int):
             src.append(cls[own][hit])
             dst.append(np.full(hit.sum(), cls[p]))
         region = group.column("region")[0].as_py()
-        del link
         s, t = np.concatenate(src), np.concatenate(dst)
         e = np.unique(np.stack([s, t], axis=1), axis=0)
         d = {int(c): row.tolist() for c, row in zip(cls[own], dist)}
@@ -316,27 +317,25 @@ def _large_regions(members: DataFrame, percent: int, limit: int) -> DataFrame:
     linked = connected_components(near.select("src", "dst"))
     comp = near.where("dist is not null").join(linked, F.col("src") == F.col("node")).select("region", F.col("src").alias("class"), "dist", "root")
     main = comp.groupBy("region", "root").count().groupBy("region").agg(F.max(F.struct("count", "root")).getField("root").alias("main"))
-    comp = comp.join(main, "region").select(
-        "region", "class", "dist", (F.col("root") != F.col("main")).alias("open"),
-        F.expr("array_position(dist, array_min(dist))").cast("int").alias("cell"),
-    )
-    comp = members.select("region", "class", "block", "set").join(comp, ["region", "class"])
-    comp = materialise(comp, "jj-cells")
-    # blocks within Voronoi cells, with the window of distances to every pivot
-    keys = ["region", "cell", "block"]
-    low_high = lambda c: [F.expr(f"array({', '.join(f'{f}(coalesce(dist[{i}], 2))' for i in range(PIVOTS))})").alias(f"{c}{f}") for f in ("min", "max")]
-    win = comp.groupBy(*keys).agg(*low_high("w"))
-    open_win = comp.where("open").groupBy(*keys).agg(*low_high("w"))
-    left = open_win.select("region", *[F.col(c).alias(f"l_{c}") for c in ("cell", "block", "wmin", "wmax")])
+    comp = comp.join(main, "region").select("region", "class", "dist", (F.col("root") != F.col("main")).alias("open"))
+    comp = materialise(members.select("region", "class", "n", "block", "blocks", "set").join(comp, ["region", "class"]), "jj-cells")
+    # Voronoi cells of the open members: as many pivots as their sets fill tasks, cells
+    # that are still too large are cut again
+    open_ = comp.where("open")
+    cells = open_.groupBy("region").agg(F.least(F.lit(PIVOTS), F.ceil(F.sum("n") / F.lit(limit // 2))).cast("int").alias("k"))
+    open_ = open_.join(cells, "region").withColumn("cell", F.expr("array_position(slice(dist, 1, k), array_min(slice(dist, 1, k)))").cast("int"))
+    cut = open_.groupBy("region", "cell").agg(F.ceil(F.sum("n") / F.lit(limit // 2)).cast("int").alias("cuts"))
+    open_ = open_.join(cut, ["region", "cell"]).withColumn("part", F.pmod(F.xxhash64("class", F.lit(2)), F.col("cuts")).cast("int"))
+    open_ = materialise(open_.select("region", "cell", "part", "class", "set", "dist", "blocks"), "jj-open")
+    bounds = lambda f: F.expr(f"array({', '.join(f'{f}(dist[{i}])' for i in range(PIVOTS))})")
+    windows = open_.groupBy("region", "cell", "part").agg(bounds("min").alias("low"), bounds("max").alias("high"))
+    # a member is copied into each cell whose window of pivot distances it falls in
     r = 1 - percent / 100 + 1e-9
-    pairs = left.join(win, "region").where(
-        f"forall(sequence(0, {PIVOTS - 1}), i -> greatest(l_wmin[i] - wmax[i], wmin[i] - l_wmax[i]) <= {r})"
-    ).select("region", "l_cell", "l_block", "cell", "block")
-    lead = comp.where("open").select("region", F.col("cell").alias("l_cell"), F.col("block").alias("l_block"), "class", "set").join(pairs, ["region", "l_cell", "l_block"])
-    rest = comp.select("region", "cell", "block", "class", "set").join(pairs, ["region", "cell", "block"])
-    cols = ["region", "l_cell", "l_block", "cell", "block", "class", "set"]
-    both = lead.select(*cols, F.lit(0).alias("side")).union(rest.select(*cols, F.lit(1).alias("side")))
-    found = both.groupBy(*cols[:5]).applyInArrow(_join_blocks(percent), "src bigint, dst bigint")
+    inside = F.expr(f"forall(sequence(0, size(dist) - 1), i -> dist[i] between low[i] - {r} and high[i] + {r})")
+    cols = ["region", "cell", "part", "block", "class", "set"]
+    rest = comp.select("region", "block", "class", "set", "dist").join(windows, "region").where(inside).select(*cols, F.lit(1).alias("side"))
+    lead = open_.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(*cols, F.lit(0).alias("side"))
+    found = lead.union(rest).groupBy(*cols[:4]).applyInArrow(_join_blocks(percent), "src bigint, dst bigint")
     return near.select("src", "dst").union(found)
 
 
