@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, pseudonyms, substring_dedup
+from . import jaccard_join, language_id, line_templates, pseudonyms, substring_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,40 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("found").cast("bigint").alias("n_found"),
         F.size(F.filter("found", lambda f: f["valid"])).cast("bigint").alias("n_replaced"), "text", "found",
     )
+
+
+OP3_SQL = """
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> ''),
+raw AS (SELECT doc_id, unnest(p) AS line, unnest(range(1, len(p) + 1)) - 1 AS idx FROM parts),
+toks AS (SELECT doc_id, idx, list_transform(regexp_extract_all(line, '[^ \t\n\r\f\v]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM raw),
+lines AS (SELECT doc_id, idx, t, len(t) AS width, (len(t), list_slice(t, 1, 4)) AS leaf, array_to_string(t, ' ') AS line FROM toks WHERE len(t) >= 4),
+distinct_lines AS (SELECT leaf, line, any_value(t) AS t, any_value(width) AS width, count(DISTINCT doc_id) AS n_docs FROM lines GROUP BY leaf, line),
+leaves AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
+several AS (SELECT leaf FROM distinct_lines SEMI JOIN leaves USING (leaf) GROUP BY leaf HAVING count(*) > 1),
+tokens AS (SELECT leaf, line, n_docs, width, unnest(t) AS token, unnest(range(0, width)) AS pos FROM distinct_lines SEMI JOIN several USING (leaf)),
+late AS (SELECT * FROM tokens WHERE pos >= least(4, width - 1)),
+votes AS (SELECT leaf, pos, token, sum(n_docs) AS v FROM late GROUP BY leaf, pos, token),
+modal AS (SELECT leaf, pos, token FROM votes QUALIFY row_number() OVER (PARTITION BY leaf, pos ORDER BY v DESC, token) = 1),
+matched AS (
+  SELECT leaf, line FROM late JOIN modal USING (leaf, pos, token) GROUP BY leaf, line
+  HAVING (count(*) + least(4, max(width) - 1)) * 100 >= 70 * max(width)),
+members AS (SELECT doc_id, idx, leaf FROM lines SEMI JOIN matched USING (leaf, line)),
+general AS (SELECT leaf FROM members GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
+by_leaf AS (SELECT doc_id, idx FROM members SEMI JOIN general USING (leaf) QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY doc_id, idx) > 1),
+exact AS (SELECT leaf, line FROM distinct_lines WHERE n_docs >= 10),
+by_line AS (SELECT doc_id, idx FROM lines SEMI JOIN exact USING (leaf, line) QUALIFY row_number() OVER (PARTITION BY leaf, line ORDER BY doc_id, idx) > 1),
+gone AS (SELECT doc_id, idx, true AS gone FROM (SELECT * FROM by_leaf UNION SELECT * FROM by_line)),
+out AS (
+  SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY idx) FILTER (WHERE gone IS NULL), '') AS kept
+  FROM raw LEFT JOIN gone USING (doc_id, idx) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(kept, text)) AS kept_sha256
+FROM documents d LEFT JOIN out USING (doc_id)
+"""
+
+
+@_query("op3_line_templates", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_templates.drop_templates(docs, line_templates.recurring_lines(docs), "n_lines", "n_dropped")
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
