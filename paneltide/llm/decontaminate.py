@@ -84,16 +84,19 @@ def simhash(hashes: np.ndarray, starts: dict[int, np.ndarray]) -> Iterator[tuple
                 yield w, at, np.packbits((ones[at - base] > w // 2).reshape(-1)).view(np.uint64)
 
 
-def shingle_weights(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of a word sequence, their counts and weights (sorted by shingle)."""
-    n = len(hashes) - SHINGLE + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def shingles(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, weight) of the shingle that begins at each word but the last four."""
+    n = max(0, len(hashes) - SHINGLE + 1)
     acc, weight = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    for k in range(SHINGLE):
-        acc += B.mix(hashes[k : k + n] + np.uint64((k + 1) * 0x632BE59BD9B4E019 & (2**64 - 1)))
+    for k in range(SHINGLE if n else 0):  # order-sensitive: each place has its own odd factor
+        acc += hashes[k : k + n] * np.uint64((k * 2 + 1) * 0x632BE59BD9B4E019 & (2**64 - 1))
         weight += sizes[k : k + n]
-    value, at, count = np.unique(B.mix(acc), return_index=True, return_counts=True)
+    return B.mix(acc), weight
+
+
+def bag(value: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of a sequence, their counts and weights (sorted by shingle)."""
+    value, at, count = np.unique(value, return_index=True, return_counts=True)
     return value, count, weight[at]
 
 
@@ -123,7 +126,11 @@ class ItemIndex:
                 grouped.setdefault(w, []).append((len(self.ids), offs, np.concatenate([f for _, _, f in simhash(h, {w: offs})])))
                 self.ids.append(item_id)
                 self.words.append(len(h))
-                self.shingles.append(shingle_weights(h, size))
+                self.shingles.append(bag(*shingles(h, size)))
+        #: of every 20-bit value, whether an item shingle ends in it
+        self.flags = np.zeros(1 << 20, dtype=bool)
+        for value, _, _ in self.shingles:
+            self.flags[(value & np.uint64(0xFFFFF)).astype(np.int64)] = True
         self.tables = {}
         for w, parts in grouped.items():
             item = np.concatenate([np.full(len(o), k) for k, o, _ in parts])
@@ -142,7 +149,14 @@ class ItemIndex:
         """(row, item number, first word, similarity) of every item held by a row (the best place)."""
         h, size, first, counts = words_of(data, offsets)
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        tried: set[tuple[int, int]] = set()
+        tried: set[tuple[int, int, int]] = set()
+        # how many shingles up to each word may be an item's: an alignment over none of
+        # them has similarity 0 and needs no look
+        value, weight = shingles(h, size)
+        shared = np.zeros(len(h) + 1, dtype=np.int64)
+        np.cumsum(self.flags[(value & np.uint64(0xFFFFF)).astype(np.int64)], out=shared[1 : len(value) + 1])
+        shared[len(value) + 1 :] = shared[len(value)]
+        lengths = np.array(self.words, dtype=np.int64)
         starts = {}
         for w in self.tables:
             s = stride(w)
@@ -162,13 +176,16 @@ class ItemIndex:
                 hit = np.bitwise_count(prints[at] ^ fp[k]) <= RADIUS
                 at, k = at[hit], k[hit]
                 row = np.searchsorted(first + counts, start[at], side="right")
-                for r, it, p in set(zip(row.tolist(), item[k].tolist(), (start[at] - off[k]).tolist())):
-                    if (it, p) in tried:
+                begin = np.maximum(start[at] - off[k], first[row])
+                stop = np.minimum(start[at] - off[k] + lengths[item[k]], (first + counts)[row])
+                live = shared[np.maximum(stop - SHINGLE + 1, begin)] > shared[begin]
+                for r, it, x, z in set(zip(row[live].tolist(), item[k][live].tolist(), begin[live].tolist(), stop[live].tolist())):
+                    if (it, x, z) in tried:
                         continue
-                    tried.add((it, p))
-                    a, z = max(p, int(first[r])), min(p + self.words[it], int(first[r] + counts[r]))
-                    sim = weighted_jaccard(self.shingles[it], shingle_weights(h[a:z], size[a:z]))
-                    got = (sim, -(a - int(first[r])))
+                    tried.add((it, x, z))
+                    z = max(x, z - SHINGLE + 1)
+                    sim = weighted_jaccard(self.shingles[it], bag(value[x:z], weight[x:z]))
+                    got = (sim, int(first[r]) - x)
                     if got > best.get((r, it), (0.0, 1)):
                         best[r, it] = got
         return [(r, it, -p, sim) for (r, it), (sim, p) in best.items()]
