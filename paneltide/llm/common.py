@@ -26,10 +26,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     path. The shuffles are min-aggregations (combined before the shuffle) and equi-joins
     whose skewed side AQE can split; every round is a written table, so a lost executor
     costs a re-read. Self loops only name their node (it becomes its own root)."""
-    ids = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    ids = materialise(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "cc-edges")
     nodes = ids.select(F.col("a").alias("node")).union(ids.select("b")).distinct()
     cur = materialise(
-        ids.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc0"
+        ids.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "cc0"
     )
     before = None
     for _ in range(max_rounds):

@@ -343,16 +343,16 @@ def _with_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            region = batch.column(batch.schema.get_field_index("region"))
+            region, total = (batch.column(batch.schema.get_field_index(c)) for c in ("region", "total"))
             want = batch.column(batch.schema.get_field_index("want")).to_numpy()
             for lo, hi, n, row, h in _sets(batch, width):
                 cls = _classes(row, h, hi - lo, n)
                 starts = np.concatenate([[0], np.cumsum(n)])
                 keep = np.flatnonzero(cls == want[lo:hi])
                 yield pa.record_batch(
-                    [region.take(pa.array(keep + lo)), pa.array(cls[keep]), pa.array(n[keep].astype(np.int64)),
+                    [region.take(pa.array(keep + lo)), total.take(pa.array(keep + lo)), pa.array(cls[keep]), pa.array(n[keep].astype(np.int64)),
                      pa.array([h[starts[k] : starts[k + 1]].astype("<u8").tobytes() for k in keep], pa.binary())],
-                    names=["region", "class", "n", "set"],
+                    names=["region", "total", "class", "n", "set"],
                 )
 
     return run
@@ -368,18 +368,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, regio
     windows = own.select("text").mapInArrow(_windows(width, percent, rarity), "s bigint, n bigint, class bigint")
     chains = windows.repartition("s").sortWithinPartitions("s", "n", "class").mapInArrow(_chain(percent), "src bigint, dst bigint")
     regions = connected_components(chains)
-    reps = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    wanted = regions.join(reps, regions["node"] == reps["class"]).select(F.col("root").alias("region"), F.col("class").alias("want"), "rep")
-    members = own.join(wanted, own["doc_id"].eqNullSafe(wanted["rep"])).select("region", "want", "text")
-    members = materialise(
-        members.mapInArrow(_with_sets(width), "region bigint, class bigint, n bigint, set binary").dropDuplicates(["class"]), "jj-members"
-    )
-    size = members.groupBy("region").agg(F.sum("n").alias("total"))
-    members = members.join(size, "region")
-    small = members.where(F.col("total") <= region_shingles)
+    reps = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    wanted = regions.join(reps, regions["node"] == reps["class"]).select(F.col("root").alias("region"), F.col("class").alias("want"), "rep", "n")
+    wanted = materialise(wanted, "jj-wanted")
+    wanted = wanted.join(wanted.groupBy("region").agg(F.sum("n").alias("total")), "region").drop("n")
+    members = own.join(wanted, own["doc_id"].eqNullSafe(wanted["rep"])).select("region", "total", "want", "text")
+    members = materialise(members.mapInArrow(_with_sets(width), "region bigint, total bigint, class bigint, n bigint, set binary"), "jj-members")
+    small = members.where(F.col("total") <= region_shingles).select("region", "class", "set")
     edges = small.groupBy("region").applyInArrow(_join_small(percent), "src bigint, dst bigint")
-    labels = edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-    large = members.where(F.col("total") > region_shingles).drop("total")
+    labels = edges.select(F.col("src").alias("node"), F.col("dst").alias("root")).distinct()
+    large = members.where(F.col("total") > region_shingles).select("region", "class", "n", "set").dropDuplicates(["class"])
     if not large.isEmpty():
         labels = labels.union(connected_components(_large_regions(large, percent, region_shingles)))
     of_class = rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
