@@ -115,7 +115,8 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similar: int = SIMILAR,
     reps = per_line.join(several, "leaf").groupBy(F.col("first.doc_id").alias("r_id"), F.col("first.key").alias("r_key")).agg(
         F.collect_list(F.struct(F.col("first.idx").alias("idx"), "leaf", "line", "n_docs")).alias("wanted")
     )
-    texts = own.join(reps, own["doc_id"].eqNullSafe(reps["r_id"]) & (own["key"] == reps["r_key"])).select("doc_id", "key", "text", "wanted")
+    # the same sort-merge join at every size: the representatives grow with the corpus
+    texts = own.join(reps.hint("merge"), own["doc_id"].eqNullSafe(reps["r_id"]) & (own["key"] == reps["r_key"])).select("doc_id", "key", "text", "wanted")
     texts = texts.dropDuplicates(["doc_id", "key"]).select("text", "wanted")
     tokens = materialise(texts.mapInArrow(_tokens(depth), "leaf bigint, line bigint, n_docs bigint, width bigint, pos bigint, token string"), "lt-tokens")
     votes = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("votes"))
@@ -141,7 +142,7 @@ def drop_templates(docs: DataFrame, found: DataFrame, n_lines: str | None = None
     gone = found.groupBy("doc_id", "key").agg(F.collect_list("idx").alias("__lt_gone"))
     gone = gone.select(F.col("doc_id").alias("__lt_id"), F.col("key").alias("__lt_key"), "__lt_gone")
     keyed = docs.withColumn("__lt_own", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(gone, keyed["doc_id"].cast("bigint").eqNullSafe(gone["__lt_id"]) & (keyed["__lt_own"] == gone["__lt_key"]), "left")
+    joined = keyed.join(gone.hint("merge"), keyed["doc_id"].cast("bigint").eqNullSafe(gone["__lt_id"]) & (keyed["__lt_own"] == gone["__lt_key"]), "left")
     joined = joined.select(*[joined[f"`{c}`"] for c in docs.columns], "__lt_gone")
     at = docs.columns.index("text")
 
