@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embedding_dedup, html_text, jaccard_join, language_id, line_templates, pseudonyms, substring_dedup
+from . import byte_bpe, decontaminate, embedding_dedup, html_text, jaccard_join, language_id, line_templates, pseudonyms, substring_dedup, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_embedding_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_bytes", F.aggregate("removed", F.lit(0).cast("bigint"), lambda t, s: t + s["stop"] - s["start"]).alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
