@@ -327,7 +327,7 @@ def _large_regions(members: DataFrame, percent: int, limit: int) -> DataFrame:
     cut = open_.groupBy("region", "cell").agg(F.ceil(F.sum("n") / F.lit(limit // 2)).cast("int").alias("cuts"))
     open_ = open_.join(cut, ["region", "cell"]).withColumn("part", F.pmod(F.xxhash64("class", F.lit(2)), F.col("cuts")).cast("int"))
     open_ = materialise(open_.select("region", "cell", "part", "class", "set", "dist", "blocks"), "jj-open")
-    bounds = lambda f: F.expr(f"array({', '.join(f'{f}(dist[{i}])' for i in range(PIVOTS))})")
+    bounds = lambda f: F.expr(f"array({', '.join(f'{f}(get(dist, {i}))' for i in range(PIVOTS))})")
     windows = open_.groupBy("region", "cell", "part").agg(bounds("min").alias("low"), bounds("max").alias("high"))
     # a member is copied into each cell whose window of pivot distances it falls in
     r = 1 - percent / 100 + 1e-9
