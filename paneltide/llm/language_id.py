@@ -62,11 +62,12 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def ngrams(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket) of every hashed n-gram and whether each row has a letter."""
     low = [(t or "").lower() for t in texts]
-    joined = "\n" + "\n".join(low) + "\n"
+    if not low:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype=bool)
+    joined = "\n" + "\n\n".join(low) + "\n"  # each text between two blanks of its own
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kind = _letters()[cp]
-    row = np.repeat(np.arange(len(low)), np.array([len(t) + 1 for t in low]))
-    row = np.concatenate([row, [len(low) - 1]]) if len(low) else row
+    row = np.repeat(np.arange(len(low)), np.array([len(t) + 2 for t in low], dtype=np.int64))
     has = np.zeros(len(low), dtype=bool)
     has[row[kind == 1]] = True
     c = np.where(kind > 0, cp, 0)

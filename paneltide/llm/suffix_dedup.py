@@ -325,7 +325,7 @@ def _spans(length: int):
         anchor = h[rep]
         edge = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         groups = [np.arange(a, z) for a, z in zip(edge, np.append(edge[1:], len(anchor))) if z - a > 1]
-        found = list(_later_windows(list(_cut(groups, ctx, length)), ctx, length))
+        found = [f for f in _later_windows(list(_cut(groups, ctx, length)), ctx, length) if len(f[0])]
         if found:
             c, offset = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
             order = np.lexsort((offset, c))
