@@ -13,10 +13,12 @@ gives each document the smallest doc_id it can reach.
    ``s``, the triangle inequality of the symmetric difference gives
    ``|x n P_s| <= |x - y|`` for the first common shingle ``s`` of a linked pair, so x
    belongs to the regions of its first ``n - ceil(t n) + 1`` shingles: its *window*,
-   which replicates it over the borders. Inside a region, sizes more than a factor t
-   apart cannot link, so members sorted by size are chained while neighbours are
-   compatible. Chains that share a class are merged; every link lies inside one merged
-   region.
+   which replicates it over the borders. Inside a region, members whose sizes are more
+   than a factor t apart, or whose places of ``s`` add up to too many differing
+   shingles, cannot link. The rest of a small region are pairs, kept only if their
+   counts in 64 fixed cells of the shingle space (distances to 64 fixed pivots) differ
+   by no more than linked sets may; a large region is chained by size. What is connected
+   by then is merged, and every link lies inside one merged region.
 3. **Region join.** A region that fits a task is joined exactly by document pivots: the
    distances of all members to a pivot decide its links; members whose size or whose
    distance to an earlier pivot differs too much are skipped (triangle inequality);
@@ -52,8 +54,10 @@ SKETCH_BITS = 20
 SKETCH_PART = 1 << 16
 REGION_SHINGLES = 2_000_000  # largest region (in shingles) that one task joins
 PIVOTS = 16
+SMALL_REGION = 64  # rows of a pivot's region that are paired; more are chained
+CELLS = 64  # fixed parts of the shingle space whose counts bound the difference of sets
 
-_SUMMARY = "doc_id bigint, n bigint, class bigint, part int, counts binary"
+_SUMMARY = "doc_id bigint, n bigint, class bigint, cells binary, part int, counts binary"
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -82,18 +86,20 @@ def _summarise(width: int):
             for lo, hi, n, row, h in _sets(batch, width):
                 sketch += np.bincount((h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
                 m = hi - lo
+                cells = np.bincount(row * CELLS + (h >> np.uint64(40)).astype(np.int64) % CELLS, minlength=m * CELLS)
+                cells = np.minimum(cells, 65535).astype("<u2").reshape(m, CELLS)
                 yield pa.record_batch(
                     [ids.slice(lo, m).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(_classes(row, h, m, n)),
-                     pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                    names=["doc_id", "n", "class", "part", "counts"],
+                     pa.array([c.tobytes() for c in cells], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                    names=["doc_id", "n", "class", "cells", "part", "counts"],
                 )
         if sketch.any():
             parts = sketch.reshape(-1, SKETCH_PART)
             k = len(parts)
             yield pa.record_batch(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()),
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()),
                  pa.array([p.astype("<u4").tobytes() for p in np.minimum(parts, 2**32 - 1)], pa.binary())],
-                names=["doc_id", "n", "class", "part", "counts"],
+                names=["doc_id", "n", "class", "cells", "part", "counts"],
             )
 
     return run
@@ -132,25 +138,83 @@ def _windows(width: int, percent: int, rarity):
                 row, h = row[order], h[order]
                 at = np.arange(len(row)) - np.concatenate([[0], np.cumsum(n)])[row]
                 keep = at < (n - (n * percent + 99) // 100 + 1)[row]
-                row, h = row[keep], h[keep]
+                row, h, at = row[keep], h[keep], at[keep]
                 yield pa.record_batch(
-                    [pa.array(h.view(np.int64)), pa.array(n[row].astype(np.int64)), pa.array(cls[row])], names=["s", "n", "class"]
+                    [pa.array(h.view(np.int64)), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(cls[row])], names=["s", "n", "at", "class"]
                 )
 
     return run
 
 
-def _chain(percent: int):
-    """Consecutive (region, size) rows of one pivot's region, while sizes are compatible."""
+def _meet(percent: int, small: int = SMALL_REGION, held: int = 1 << 16):
+    """Members of each pivot's region (rows sorted by pivot and size) that may link.
+
+    Regions of up to ``small`` rows give their pairs of compatible size and place: if the
+    pivot is a pair's first common shingle, all shingles before it differ. Larger regions
+    are chained by size, which connects all compatible members; so is the part of a
+    region that would outgrow ``held`` rows of memory."""
+
+    def edges(s, n, at, c, hot: bool) -> Iterator[pa.RecordBatch]:
+        new = np.concatenate([[True], s[1:] != s[:-1]])
+        count = np.diff(np.append(np.flatnonzero(new), len(s)))[np.cumsum(new) - 1]
+        many = (count > small) | hot
+        out = []
+        pick = np.flatnonzero(many)
+        a, b = pick[:-1], pick[1:]
+        ok = (s[a] == s[b]) & (c[a] != c[b]) & (100 * n[a] >= percent * n[b])
+        out.append((c[a[ok]], c[b[ok]], True))
+        pick = np.flatnonzero((count > 1) & ~many)
+        for d in range(1, small):
+            a, b = pick[:-d], pick[d:]
+            ok = s[a] == s[b]
+            if not ok.any():
+                break
+            ok &= (c[a] != c[b]) & (100 * n[a] >= percent * n[b])
+            ok &= (at[a] + at[b]) * (100 + percent) <= (100 - percent) * (n[a] + n[b])
+            out.append((c[a[ok]], c[b[ok]], False))
+        for kind in (True, False):
+            e = [np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1) for x, y, k in out if k is kind and len(x)]
+            if e:
+                e = np.unique(np.concatenate(e), axis=0)
+                yield pa.record_batch(
+                    [pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1])), pa.array([kind] * len(e))], names=["src", "dst", "chain"]
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, hot = [np.zeros(0, np.int64)] * 4, False
+        for batch in batches:
+            rows = [np.concatenate([p, batch.column(i).to_numpy().astype(np.int64)]) for i, p in enumerate(rest)]
+            s = rows[0]
+            if len(s) == 0:
+                continue
+            last = int(np.searchsorted(s, s[-1]))  # the last region may go on
+            if hot and s[0] != s[-1]:  # the chained region ends here
+                end = int(np.searchsorted(s, s[0], side="right"))
+                yield from edges(*(x[:end] for x in rows), True)
+                rows = [x[end:] for x in rows]
+                last, hot = last - end, False
+            if last:
+                yield from edges(*(x[:last] for x in rows), False)
+            rest = [x[last:] for x in rows]
+            if len(rest[0]) > held:
+                yield from edges(*rest, True)
+                rest, hot = [x[-1:] for x in rest], True
+        if len(rest[0]):
+            yield from edges(*rest, hot)
+
+    return run
+
+
+def _near_cells(percent: int):
+    """Pairs whose counts in the fixed cells allow a link: the counts differ by no more
+    than the sets do (triangle inequality of the symmetric difference)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (np.zeros(0, np.int64),) * 3
         for batch in batches:
-            s, n, c = (np.concatenate([p, batch.column(i).to_numpy()]) for i, p in enumerate(last))
-            hit = (s[1:] == s[:-1]) & (c[1:] != c[:-1]) & (100 * n[:-1] >= percent * n[1:])
-            last = (s[-1:], n[-1:], c[-1:])
-            e = np.unique(np.stack([c[1:][hit], c[:-1][hit]], axis=1), axis=0)
-            yield pa.record_batch([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], names=["src", "dst"])
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
+            n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            keep = np.abs(a - b).sum(axis=1) * (100 + percent) <= (100 - percent) * n
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep))
 
     return run
 
@@ -358,16 +422,24 @@ def _with_sets(width: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, width: int = 5, percent: int = 80, region_shingles: int = REGION_SHINGLES, small_region: int = SMALL_REGION
+) -> DataFrame:
     """(doc_id, n_shingles, class, component_id) for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     summary = materialise(own.mapInArrow(_summarise(width), _SUMMARY), "jj-summary")
     rows = summary.where("class is not null").select("doc_id", "n", "class")
     rarity = spark.sparkContext.broadcast(_rarity(summary))
-    windows = own.select("text").mapInArrow(_windows(width, percent, rarity), "s bigint, n bigint, class bigint")
-    chains = windows.repartition("s").sortWithinPartitions("s", "n", "class").mapInArrow(_chain(percent), "src bigint, dst bigint")
-    regions = connected_components(chains)
+    windows = own.select("text").mapInArrow(_windows(width, percent, rarity), "s bigint, n int, at int, class bigint")
+    met = windows.repartition("s").sortWithinPartitions("s", "n", "class").mapInArrow(_meet(percent, small_region), "src bigint, dst bigint, chain boolean")
+    met = materialise(met, "jj-met")
+    cells = summary.where("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.max("cells").alias("cells"))
+    left = cells.select(F.col("class").alias("src"), F.col("n").alias("n1"), F.col("cells").alias("c1"))
+    right = cells.select(F.col("class").alias("dst"), F.col("n").alias("n2"), F.col("cells").alias("c2"))
+    pairs = met.where("not chain").select("src", "dst").distinct().join(left, "src").join(right, "dst").select("src", "dst", "c1", "c2", "n1", "n2")
+    near = pairs.mapInArrow(_near_cells(percent), "src bigint, dst bigint")
+    regions = connected_components(near.union(met.where("chain").select("src", "dst")))
     reps = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     wanted = regions.join(reps, regions["node"] == reps["class"]).select(F.col("root").alias("region"), F.col("class").alias("want"), "rep", "n")
     wanted = materialise(wanted, "jj-wanted")
