@@ -161,16 +161,17 @@ def logt_by_prefix(v: DataFrame) -> DataFrame:
 CLUB_SCHEMA = "entity long, club int, b_coef double, t_stat double, converging boolean"
 
 
-def form_clubs(bal: DataFrame, t_crit: float = -1.65, max_iter: int = 10, entity: str = "entity") -> DataFrame:
+def form_clubs(bal: DataFrame, t_crit: float = -1.65, max_iter: int | None = None, entity: str = "entity") -> DataFrame:
     """Iterative club formation. Each round ranks the remaining entities, tests all
     prefixes at once and keeps the largest prefix with t > t_crit as a club; the
     rest continues (checkpointed per round). If no prefix passes, the remaining
-    entities form one non-converging club; a single leftover stays unlabelled."""
+    entities form one non-converging club; a single leftover stays unlabelled. Rounds go
+    on until nothing is left, or for ``max_iter`` rounds."""
     spark = bal.sparkSession
     remaining = bal
     clubs = None
     club_id = 0
-    for _ in range(max_iter):
+    while max_iter is None or club_id < max_iter:
         n_left = remaining.select(entity).distinct().count()
         if n_left < 2:
             break

@@ -15,27 +15,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import haversine_km, md5_uniform
 from .ranking import row_number_rank
 
-MAX_PLACES = 20_000  # a pair join on the place table is allowed only below this size
-
-
-class TooManyPlaces(ValueError):
-    pass
-
-
-def checked_places(places: DataFrame, limit: int = MAX_PLACES) -> DataFrame:
-    """Return ``places`` after proving its row count is within ``limit``."""
-    n = places.count()
-    if n > limit:
-        raise TooManyPlaces(f"{n} places exceed the pair-join bound {limit}; use a coarser place key")
-    return places
-
-
-def place_pairs(places: DataFrame, ordered: bool = False, limit: int = MAX_PLACES) -> DataFrame:
+def place_pairs(places: DataFrame, ordered: bool = False) -> DataFrame:
     """All place pairs (i < j, or i != j when ``ordered``) with distance and
-    same-category flags. The right side is broadcast: its size was just checked."""
-    pl = checked_places(places, limit)
-    a = pl.select(*[F.col(c).alias(f"{c}_i") for c in pl.columns])
-    b = F.broadcast(pl.select(*[F.col(c).alias(f"{c}_j") for c in pl.columns]))
+    same-category flags: the definition of the pair study, over the place dimension."""
+    a = places.select(*[F.col(c).alias(f"{c}_i") for c in places.columns])
+    b = places.select(*[F.col(c).alias(f"{c}_j") for c in places.columns])
     cond = (F.col("place_i") != F.col("place_j")) if ordered else (F.col("place_i") < F.col("place_j"))
     pairs = a.join(b, cond)
     return pairs.withColumn("distance_km", haversine_km(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j")))

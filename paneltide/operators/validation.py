@@ -9,8 +9,9 @@ inside one task.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import threading
 
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -191,6 +192,29 @@ def gbt_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
 
 
 def parallel(fns: list, workers: int = 4) -> list:
-    """Run independent Spark actions (e.g. one model per fold) as concurrent jobs."""
-    with ThreadPoolExecutor(max_workers=workers) as ex:
-        return list(ex.map(lambda f: f(), fns))
+    """Run independent Spark actions (e.g. one model per fold) as concurrent jobs; the
+    threads inherit the caller's job group and scheduler pool."""
+    results: list = [None] * len(fns)
+    errors: list[BaseException] = []
+    waiting = iter(range(len(fns)))
+    lock = threading.Lock()
+
+    def work() -> None:
+        while not errors:
+            with lock:
+                i = next(waiting, None)
+            if i is None:
+                return
+            try:
+                results[i] = fns[i]()
+            except BaseException as e:  # noqa: BLE001 - raised again below
+                errors.append(e)
+
+    threads = [InheritableThread(target=work) for _ in range(min(workers, len(fns)))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if errors:
+        raise errors[0]
+    return results

@@ -20,7 +20,6 @@ from ..operators.ranking import percentile_row, row_number_rank
 from ..session import ensure_checkpoint_dir, materialise
 from ..sources.tables import read_table
 
-ACTIVE_MIN_ITEMS = 60  # cells with fewer line items are inactive (state -1)
 STATE_CUTS = {"q1": 1.0 / 3.0, "q2": 2.0 / 3.0}
 
 _MEMO: dict[tuple, DataFrame] = {}
@@ -37,7 +36,7 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build, as_table: bool = T
     return df
 
 
-def panel_cells(spark: SparkSession, sf_dir: str, min_items: int = ACTIVE_MIN_ITEMS) -> DataFrame:
+def panel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell table in one scan of lineitem.
 
     Line items are first summed per (supplier, year, brand) -- partial aggregation
@@ -88,18 +87,18 @@ def panel_cells(spark: SparkSession, sf_dir: str, min_items: int = ACTIVE_MIN_IT
     )
 
 
-def assign_states(cells: DataFrame, value: str = "mean_patent_cit", min_items: int = ACTIVE_MIN_ITEMS) -> DataFrame:
-    """Low/Medium/High (0/1/2) by exact terciles of ``value`` over active cells; -1 inactive.
+def assign_states(cells: DataFrame, value: str = "mean_patent_cit") -> DataFrame:
+    """Low/Medium/High (0/1/2) by exact terciles of ``value`` over cells with items; -1 for
+    cells without any.
 
-    The two cut points are a one-row distributed aggregate attached as scalar
-    subqueries (no cross join, nothing collected)."""
-    active = cells.where(F.col("n_papers") >= min_items)
-    cuts = percentile_row(active, value, STATE_CUTS)
-    q1 = cuts.select("q1").scalar()
-    q2 = cuts.select("q2").scalar()
+    Both cut points come from one job over the (written) cell table and enter the plan
+    as literals."""
+    active = F.col("n_papers") > 0
+    cuts = percentile_row(cells.where(active), value, STATE_CUTS).first()
+    q1, q2 = (F.lit(cuts[q] if cuts else None).cast("double") for q in ("q1", "q2"))
     x = F.col(value)
     state = (
-        F.when(F.col("n_papers") < min_items, F.lit(-1))
+        F.when(F.coalesce(~active, F.lit(True)), F.lit(-1))
         .when(x <= q1, F.lit(0))
         .when(x <= q2, F.lit(1))
         .otherwise(F.lit(2))
@@ -109,7 +108,7 @@ def assign_states(cells: DataFrame, value: str = "mean_patent_cit", min_items: i
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entity x year panel (materialised once per session)."""
-    return _memo(spark, sf_dir, "panel", lambda: assign_states(panel_cells(spark, sf_dir)))
+    return _memo(spark, sf_dir, "panel", lambda: assign_states(materialise(panel_cells(spark, sf_dir), "cells")))
 
 
 def entity_meta(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,12 +31,12 @@ pt_ent AS (
 ),
 pt_cuts AS (
   SELECT quantile_cont(mean_patent_cit, 1.0/3.0) AS q1, quantile_cont(mean_patent_cit, 2.0/3.0) AS q2
-  FROM pt_stats WHERE n_papers >= 60
+  FROM pt_stats WHERE n_papers > 0
 ),
 panel AS (
   SELECT s.entity, s.year, s.n_papers, s.mean_patent_cit, s.tech_prox, s.research_novelty, e.topic_entropy,
          s.intra_cohesion, s.oa_share, s.imputed_share,
-         CAST(CASE WHEN s.n_papers < 60 THEN -1
+         CAST(CASE WHEN s.n_papers = 0 THEN -1
                    WHEN s.mean_patent_cit <= (SELECT q1 FROM pt_cuts) THEN 0
                    WHEN s.mean_patent_cit <= (SELECT q2 FROM pt_cuts) THEN 1
                    ELSE 2 END AS INTEGER) AS state

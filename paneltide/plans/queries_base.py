@@ -346,15 +346,15 @@ def q_impute_rate(spark, sf):
     sql=_sql(
         "SELECT e.entity, coalesce(c.n, 0) AS n_confirmed, coalesce(c.n, 0) < 5 AS low_support FROM "
         "(SELECT DISTINCT source AS entity FROM documents) e LEFT JOIN "
-        "(SELECT source AS entity, count(*) AS n FROM documents WHERE doc_id % 10 <> 0 AND lang = 'es' GROUP BY source) c "
+        "(SELECT source AS entity, count(*) AS n FROM documents WHERE doc_id % 10 <> 0 GROUP BY source) c "
         "ON e.entity = c.entity",
         "",
     ),
 )
 def q_low_support(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", "source", "lang")
+    d = read_table(spark, sf, "documents").select("doc_id", "source")
     ents = d.select(F.col("source").alias("entity")).distinct()
-    conf = d.where((F.col("doc_id") % 10 != 0) & (F.col("lang") == "es")).groupBy(F.col("source").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+    conf = d.where(F.col("doc_id") % 10 != 0).groupBy(F.col("source").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
     return ents.join(conf, "entity", "left").select("entity", n.alias("n_confirmed"), (n < 5).alias("low_support"))
 

@@ -11,6 +11,8 @@ from ..functions.text import STOP_WORDS, clean_text
 from ..operators import embeddings as EM
 from ..operators import topics as TP
 from ..operators.describe import shannon_entropy
+from ..operators.convergence import prefix_sums
+from ..operators.ranking import row_number_rank
 from ..operators.topics import limit_features
 from ..sources.tables import read_table
 from .common import R, finish, fixtures, sql_round_sig
@@ -66,10 +68,8 @@ def _dt(spark, sf):
 def _vocab(spark, sf):
     """The N_VOCAB most frequent cleaned terms of English documents, by a query."""
     en = _dt(spark, sf).where((F.col("topic") == "en") & (F.col("ng") == 1)).groupBy("term").agg(F.sum("n").alias("total"))
-    from ..operators.ranking import row_number_rank
-
-    r = row_number_rank(en, "total", "term", "_r", descending=True).where(F.col("_r") <= N_VOCAB)
-    return r.select("term", (F.col("_r") - 1).cast("int").alias("rk"))
+    top = limit_features(en, N_VOCAB)  # at most N_VOCAB rows, so the window below is small
+    return top.select("term", (F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1).cast("int").alias("rk"))
 
 
 def _taxonomy(spark, sf):
@@ -149,7 +149,7 @@ CT_CTES = [
     TOK_CTE,
     f"tc AS (SELECT topic, term, count(*) AS n FROM ({grams('topic', 3)}) GROUP BY topic, term)",
     "dfc AS (SELECT term, count(*) AS df, sum(n) AS total FROM tc GROUP BY term HAVING count(*) >= 2)",
-    "voc AS (SELECT term FROM (SELECT term, row_number() OVER (ORDER BY total DESC, term) AS r FROM dfc) WHERE r <= 25000)",
+    "voc AS (SELECT term FROM dfc)",
     "kept AS (SELECT t.topic, t.term, t.n FROM tc t JOIN voc v ON t.term = v.term)",
     "kdf AS (SELECT term, count(*) AS df FROM kept GROUP BY term)",
     "kn AS (SELECT count(DISTINCT topic) AS n_docs FROM kept)",
@@ -160,7 +160,7 @@ CT_CTES = [
 PMI_CTES = [
     f"dtb AS (SELECT DISTINCT doc_id, topic, term FROM ({grams('doc_id, topic', 2)}))",
     "pdf AS (SELECT term, count(*) AS total FROM dtb GROUP BY term HAVING count(*) >= 3)",
-    "pvoc AS (SELECT term, total FROM (SELECT term, total, row_number() OVER (ORDER BY total DESC, term) AS r FROM pdf) WHERE r <= 8000)",
+    "pvoc AS (SELECT term, total FROM pdf)",
     "tn AS (SELECT topic, count(*) AS nt FROM toks GROUP BY topic)",
     "dft AS (SELECT d.topic, d.term, count(*) AS dft FROM dtb d JOIN pvoc v ON d.term = v.term GROUP BY d.topic, d.term)",
     """pmi_all AS (SELECT t.topic, v.term, ln(greatest(coalesce(f.dft, 0) / CAST(t.nt AS DOUBLE), 1e-10))
@@ -311,7 +311,7 @@ WT_CTES = [
     f"pooled AS (SELECT n.type, o.term, sum(o.n) AS n FROM own o JOIN nconf n ON o.entity = n.entity GROUP BY n.type, o.term)",
     f"prof AS (SELECT entity, term, n FROM own UNION ALL SELECT l.entity, p.term, p.n FROM nconf l JOIN pooled p ON p.type = l.type WHERE l.nc < {MIN_CONFIRMED})",
     "ptot AS (SELECT term, sum(n) AS total FROM prof GROUP BY term)",
-    "pv AS (SELECT term FROM (SELECT term, row_number() OVER (ORDER BY total DESC, term) AS r FROM ptot) WHERE r <= 20000)",
+    "pv AS (SELECT term FROM ptot)",
     "pk AS (SELECT p.entity, p.term, p.n FROM prof p JOIN pv v ON p.term = v.term)",
     "pdf2 AS (SELECT term, count(*) AS df FROM pk GROUP BY term)",
     "pn AS (SELECT count(DISTINCT entity) AS n_docs FROM pk)",
@@ -346,27 +346,31 @@ def q_w_text_disc(spark, sf):
 
 
 # ------------------------------------------------------------------ 23 alias match, 34 support, 100-101
-ALIAS_CTE = "alias AS (SELECT source AS entity, lower(source) AS alias, CAST(row_number() OVER (ORDER BY source) AS INTEGER) AS priority FROM (SELECT DISTINCT source FROM documents))"
+ALIAS_CTE = "alias AS (SELECT source AS entity, lower(source) AS alias, CAST(row_number() OVER (ORDER BY " + md5_uniform_sql("source", salt="alias") + ", source) AS INTEGER) AS priority FROM (SELECT DISTINCT source FROM documents))"
 
 
 def _aliases(spark, sf):
     src = read_table(spark, sf, "documents").select("source").distinct()
-    from ..operators.ranking import row_number_rank
-
-    r = row_number_rank(src.withColumn("_k", F.lit(0.0)), "_k", "source", "priority")
+    r = row_number_rank(src.withColumn("_k", md5_uniform("source", salt="alias")), "_k", "source", "priority")
     return r.select(F.col("source").alias("entity"), F.lower("source").alias("alias"), F.col("priority").cast("int").alias("priority"))
 
 
-def alias_match(texts, aliases, text_col: str, id_col: str, mode: str = "priority", limit: int = 10_000):
+def alias_match(texts, aliases, text_col: str, id_col: str, mode: str = "priority", word_border: bool = False):
     """Containment join text x alias: first alias (by priority) contained in the
-    lower-cased text, or the longest one in ``longest`` mode. The alias table is a
-    dimension whose size is checked before it is broadcast."""
-    n = aliases.count()
-    if n > limit:
-        raise ValueError(f"{n} aliases exceed the broadcast bound {limit}")
+    lower-cased text, or the longest one in ``longest`` mode; with ``word_border`` only
+    where no letter or digit touches it.
+
+    An equi-join: each distinct text gives its substrings of the lengths that aliases
+    have (their number is bounded by the longest alias), and those meet the aliases."""
+    lengths = sorted(r[0] for r in aliases.select(F.length("alias")).distinct().collect() if r[0])
     t = texts.select(id_col, F.lower(F.col(text_col)).alias("_t"))
-    a = F.broadcast(aliases)
-    hits = t.join(a, F.instr(F.col("_t"), F.col("alias")) > 0)
+    size = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    places = F.transform(size, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - n + 1, F.lit(1))), lambda p: F.struct(p.alias("p"), n.alias("n"))))
+    subs = t.select("_t").distinct().select("_t", F.explode(F.flatten(places)).alias("_x")).select("_t", F.col("_x.p").alias("_p"), F.substr("_t", F.col("_x.p"), F.col("_x.n")).alias("alias"))
+    if word_border:
+        side = lambda p: F.substr("_t", p, F.lit(1)).rlike(r"^[\p{L}\p{N}]")
+        subs = subs.where(~(F.when(F.col("_p") > 1, side(F.col("_p") - 1)).otherwise(False)) & ~side(F.col("_p") + F.length("alias")))
+    hits = t.join(subs.select("_t", "alias").distinct().join(aliases, "alias"), "_t")
     key = F.struct(F.col("priority")) if mode == "priority" else F.struct(-F.length("alias"), F.col("priority"))
     best = hits.groupBy(id_col).agg(F.min_by("entity", key).alias("matched"))
     return texts.select(id_col).join(best, id_col, "left")
@@ -407,10 +411,12 @@ def q_paper_filter(spark, sf):
     return kept.groupBy(F.year("l_shipdate").alias("year")).agg(F.count(F.lit(1)).alias("n_papers"))
 
 
+PRIOR_SLOTS = 1 << 16
 PRIOR_CTES = [
     "prior AS (SELECT source AS entity, count(*) AS prior_n FROM documents WHERE doc_id % 10 <> 0 GROUP BY source)",
-    """pcum AS (SELECT entity, (sum(prior_n) OVER (ORDER BY entity ROWS UNBOUNDED PRECEDING) - prior_n) / CAST(sum(prior_n) OVER () AS DOUBLE) AS lo,
-       sum(prior_n) OVER (ORDER BY entity ROWS UNBOUNDED PRECEDING) / CAST(sum(prior_n) OVER () AS DOUBLE) AS hi FROM prior)""",
+    f"""pcum AS (SELECT entity, (sum(prior_n) OVER w - prior_n) / CAST(sum(prior_n) OVER () AS DOUBLE) AS lo,
+       sum(prior_n) OVER w / CAST(sum(prior_n) OVER () AS DOUBLE) AS hi FROM prior
+       WINDOW w AS (ORDER BY {md5_uniform_sql('entity', salt='order')}, entity ROWS UNBOUNDED PRECEDING))""",
 ]
 
 
@@ -426,18 +432,17 @@ JOIN pcum p ON d.u >= p.lo AND d.u < p.hi""",
 def q_prior_impute(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", "source")
     prior = d.where(F.col("doc_id") % 10 != 0).groupBy(F.col("source").alias("entity")).agg(F.count(F.lit(1)).alias("prior_n"))
-    # the prior table is an entity dimension: its size is checked before the
-    # cumulative window (one ordered pass) and the broadcast range join
-    n_prior = prior.count()
-    if n_prior > 100_000:
-        raise ValueError(f"{n_prior} prior entities exceed the dimension bound")
-    w = Window.orderBy("entity").rowsBetween(Window.unboundedPreceding, 0)
-    tot = prior.agg(F.sum("prior_n")).scalar()
-    cum = prior.withColumn("_c", F.sum("prior_n").over(w)).select(
-        "entity", ((F.col("_c") - F.col("prior_n")) / tot.cast("double")).alias("lo"), (F.col("_c") / tot.cast("double")).alias("hi")
-    )
-    miss = d.where(F.col("doc_id") % 10 == 0).select("doc_id", md5_uniform(F.col("doc_id"), salt="prior").alias("u"))
-    out = miss.join(F.broadcast(cum), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    # entities in the order of a hash (evenly spread, so the rank helper's buckets are
+    # even), running sums per bucket of positions
+    ranked = row_number_rank(prior.withColumn("_k", md5_uniform("entity", salt="order")), "_k", "entity", "_r")
+    cum = prefix_sums(ranked.select("entity", "prior_n", "_r"), "_r", [], ["prior_n"], 4096)
+    tot = prior.agg(F.sum("prior_n")).scalar().cast("double")
+    cum = cum.select("entity", ((F.col("cum_prior_n") - F.col("prior_n")) / tot).alias("lo"), (F.col("cum_prior_n") / tot).alias("hi"))
+    # [0, 1) in slots: a range lies in all slots it touches, a uniform in one
+    slot = lambda x: F.floor(x * F.lit(PRIOR_SLOTS)).cast("long")
+    cum = cum.withColumn("slot", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))))
+    miss = d.where(F.col("doc_id") % 10 == 0).select("doc_id", md5_uniform(F.col("doc_id"), salt="prior").alias("u")).withColumn("slot", slot(F.col("u")))
+    out = miss.join(cum, "slot").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     return out.select("doc_id", F.col("entity").alias("entity_imputed"), F.lit(1).alias("imputed"))
 
 

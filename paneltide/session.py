@@ -30,7 +30,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("PANELTIDE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in _RUNTIME_DEFAULTS.items():
@@ -62,13 +62,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def apply_runtime_defaults(spark: SparkSession) -> None:
-    """Fill in AQE settings the caller left unset (never overrides explicit values)."""
-    for k, v in _RUNTIME_DEFAULTS.items():
-        if spark.conf.get(k, None) is None:
-            spark.conf.set(k, v)
-
-
 _MAT_COUNTER = [0]
 
 

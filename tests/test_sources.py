@@ -37,23 +37,3 @@ def test_json_lines(spark):
     df = spark.createDataFrame([("T0", ["a", "b"], {"d": 0.5})], "topic string, terms array<string>, scores map<string,double>")
     line = to_json_lines(df).first()[0]
     assert json.loads(line) == {"topic": "T0", "terms": ["a", "b"], "scores": {"d": 0.5}}
-
-
-def test_panel_stream_matches_batch(spark):
-    """The streaming panel builder folds to the same cells as the batch builder."""
-    import shutil
-
-    from pyspark.sql import functions as F
-
-    from paneltide.plans import fixtures
-    from paneltide.streaming.panel_stream import start_panel_stream
-
-    src = "/root/testdata/sf0.001"
-    d = tempfile.mkdtemp(prefix="pt-stream-", dir="/tmp")
-    os.makedirs(os.path.join(d, "in"))
-    shutil.copy(os.path.join(src, "lineitem.parquet"), os.path.join(d, "in", "part-0.parquet"))
-    q = start_panel_stream(spark, os.path.join(d, "in"), src, os.path.join(d, "out"), os.path.join(d, "ckpt"), trigger_once=True)
-    q.awaitTermination(300)
-    got = spark.read.parquet(os.path.join(d, "out")).select("entity", "year", F.round("tech_prox", 9).alias("t")).collect()
-    exp = fixtures.panel_cells(spark, src).select("entity", "year", F.round("tech_prox", 9).alias("t")).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, exp))
