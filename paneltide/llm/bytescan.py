@@ -75,10 +75,10 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         start = end
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
     """S with S[j] - S[i] = base**i * hash(data[i:j]); length len(data) + 1."""
     out = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(_TABLE[data] * powers(len(data)), out=out[1:])
+    np.cumsum(table[data] * powers(len(data)), out=out[1:])
     return out
 
 

@@ -16,7 +16,7 @@ groups that must hold all their occurrences:
    that share ``length`` bytes are equal windows, and the earliest one stays.
 4. **Hot anchors** (in more than ``HOT`` places) never meet in one task: their windows are
    keyed by digest, and the earliest place of each is a minimum combined before the
-   shuffle. A group of more than ``JOINED`` contexts is cut by the bytes that all windows
+   shuffle; it goes back to its document, where all other windows of hot anchors go. A group of more than ``JOINED`` contexts is cut by the bytes that all windows
    of a range of offsets share, until each part is small enough or holds one offset.
 5. The removed ranges return to their documents as merged spans.
 
@@ -28,7 +28,6 @@ ignored.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -48,7 +47,7 @@ K = 36
 HOT = 4096
 JOINED = 16  # contexts in one suffix array
 BATCH_SYMBOLS = 1 << 20
-SEGMENT = 1 << 21  # bytes of a text that are hashed at a time
+SEGMENT = 1 << 20  # bytes of a text that are hashed at a time
 _NULL = np.int64(2**63 - 1)
 
 
@@ -145,7 +144,7 @@ def _emit_anchors(parts: int, length: int, k: int):
 
         for batch in batches:
             ids = _ids(batch.column(0))
-            for lo, _, data, offs in B.text_chunks(batch.column(1)):
+            for lo, _, data, offs in B.text_chunks(batch.column(1), SEGMENT):
                 row, at, _, _, h = anchors_of(data, offs, length, k)
                 if len(row):
                     held.append((h, ids[lo + row], at))
@@ -180,7 +179,7 @@ def _wanted(batch: pa.RecordBatch, length: int, k: int):
     """Per chunk: bytes, row offsets, rows and anchors that were found to repeat."""
     ids, keys = _ids(batch.column(0)), batch.column(1).to_numpy()
     lists = batch.column(3).to_pylist()
-    for lo, hi, data, offs in B.text_chunks(batch.column(2)):
+    for lo, hi, data, offs in B.text_chunks(batch.column(2), SEGMENT):
         row, at, first, last, h = anchors_of(data, offs, length, k)
         want = [np.array(lists[r] or [], dtype=np.int64) for r in range(lo, hi)]
         code = np.concatenate([w + (np.int64(r) << 40) for r, w in enumerate(want)]) if want else np.zeros(0, np.int64)
@@ -204,26 +203,58 @@ def _contexts(parts: int, length: int, k: int):
 
 
 def _hot_windows(length: int, k: int):
+    """Digests (two 64-bit hashes) and places of the windows of hot anchors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
             for data, offs, ids, keys, row, _, first, last, _ in _wanted(batch, length, k):
+                if len(row) == 0:
+                    continue
                 n = last - first + 1
                 start, of = _spread(first, n), np.repeat(row, n)
-                d1, d2 = [], []
-                whole = data.tobytes()
-                for s in (offs[of] + start).tolist():
-                    d = hashlib.blake2b(whole[s : s + length], digest_size=16).digest()
-                    d1.append(int.from_bytes(d[:8], "big", signed=True))
-                    d2.append(int.from_bytes(d[8:], "big", signed=True))
+                at = offs[of] + start
+                w = [B.span_hash(B.prefix_hash(data, B.byte_table(seed)), at, at + length).view(np.int64) for seed in (11, 13)]
                 yield pa.record_batch(
-                    [pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(ids[of]), pa.array(keys[of]), pa.array(start.astype(np.int64))],
+                    [pa.array(w[0]), pa.array(w[1]), pa.array(ids[of]), pa.array(keys[of]), pa.array(start.astype(np.int64))],
                     names=["w1", "w2", "doc_id", "key", "at"],
                 )
 
     return run
 
 
+def _hot_spans(length: int, k: int):
+    """Ranges of the windows of hot anchors but for those that are the earliest of their
+    digest (column ``keep`` of the document)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in batches:
+            kept: dict[tuple, set] = {}
+            for doc, own in zip(_ids(batch.column(0)).tolist(), batch.column(4).to_pylist()):
+                for x in own or ():
+                    kept.setdefault((doc, x["key"]), set()).add(x["at"])
+            cols: list[list] = [[], [], [], []]
+            for _, _, ids, keys, row, _, first, last, _ in _wanted(batch, length, k):
+                for r in np.unique(row).tolist():
+                    i = row == r
+                    start = _spread(first[i], (last - first + 1)[i])
+                    stay = kept.get((int(ids[r]), int(keys[r])))
+                    if stay:
+                        start = start[~np.isin(start, np.fromiter(stay, np.int64, len(stay)))]
+                    if len(start) == 0:
+                        continue
+                    new = np.flatnonzero(np.append(True, start[1:] > start[:-1] + 1))
+                    end = start[np.append(new[1:], len(start)) - 1] + length
+                    for c, v in zip(cols, ([ids[r]] * len(new), [keys[r]] * len(new), start[new], end)):
+                        c.append(np.asarray(v, dtype=np.int64))
+            yield pa.record_batch(
+                [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols], names=["doc_id", "key", "start", "stop"]
+            )
+
+    return run
+
+
 def _cut(groups: list[np.ndarray], ctx: dict, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Parts (contexts, first offset, last offset) small enough for one suffix array: a
     range of offsets is halved, and contexts meet only if they agree on the bytes that
@@ -379,17 +410,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     null = F.lit(int(_NULL)).cast("bigint")
     by_id = F.coalesce(keyed["doc_id"], null)
 
-    def texts(kind: str) -> DataFrame:
+    def texts(kind: str, keep: DataFrame | None = None) -> DataFrame:
         some = lists.where(F.size(kind) > 0).select(F.col("doc_id").alias("l_id"), kind)
-        return keyed.join(some.hint("merge"), by_id == some["l_id"]).select("doc_id", "key", "text", kind)
+        if keep is None:
+            return keyed.join(some.hint("merge"), by_id == some["l_id"]).select("doc_id", "key", "text", kind)
+        some = some.join(keep, some["l_id"] == keep["k_id"], "left")
+        return keyed.join(some.hint("merge"), by_id == some["l_id"]).select("doc_id", "key", "text", kind, "keep")
 
     contexts = texts("cool").mapInArrow(_contexts(parts, length, k), "part int, pack binary")
     spans = contexts.groupBy("part").applyInArrow(_spans(length), "doc_id bigint, key bigint, start bigint, stop bigint")
     if not lists.where(F.size("hot") > 0).isEmpty():
         windows = texts("hot").mapInArrow(_hot_windows(length, k), _WINDOW)
         first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"))
-        later = windows.join(first, ["w1", "w2"]).where(F.struct("doc_id", "key", "at") != F.col("first"))
-        spans = spans.union(later.select("doc_id", "key", F.col("at").alias("start"), (F.col("at") + length).alias("stop")))
+        keep = first.groupBy(F.col("first.doc_id").alias("k_id")).agg(F.collect_list(F.struct("first.key", "first.at")).alias("keep"))
+        hot_texts = texts("hot", keep)
+        spans = spans.union(hot_texts.mapInArrow(_hot_spans(length, k), "doc_id bigint, key bigint, start bigint, stop bigint"))
     found = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     found = materialise(found, "sa-spans").select(F.col("doc_id").alias("s_id"), F.col("key").alias("s_key"), "found")
     joined = keyed.join(found.hint("merge"), (by_id == found["s_id"]) & (keyed["key"] == found["s_key"]), "left").select("doc_id", "text", "found")
