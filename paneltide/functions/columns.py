@@ -8,21 +8,6 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_KM = 6371.0
 
 
-def r6(c: Column | str) -> Column:
-    """Round doubles to 6 decimals: floating sums differ with partitioning."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6)
-
-
-def nan_to_null(c: Column) -> Column:
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    """a / b, null when b is null or 0 (ANSI mode raises on division by zero)."""
-    return F.when(b.isNotNull() & (b != 0), a / b)
-
-
 def log1p0(c: Column) -> Column:
     """ln(1 + x) with a missing x taken as 0."""
     return F.log1p(F.coalesce(c.cast("double"), F.lit(0.0)))
@@ -110,5 +95,3 @@ def sql_round_sig(c: str, digits: int = SIG_DIGITS) -> str:
         f"WHEN {s} >= 0 THEN round({x} * pow(10.0, {s})) / pow(10.0, {s}) "
         f"ELSE round({x} / pow(10.0, -{s})) * pow(10.0, -{s}) END"
     )
-
-

@@ -163,39 +163,6 @@ def _t_pvalue_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return _vec(t_two_sided, t, df)
 
 
-@F.pandas_udf(DoubleType())
-def _f_pvalue_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return _vec(f_upper, f, d1, d2)
-
-
-@F.pandas_udf(DoubleType())
-def _chi2_pvalue_udf(x: pd.Series, df: pd.Series) -> pd.Series:
-    return _vec(chi2_upper, x, df)
-
-
 def t_pvalue(t: Column, df: Column) -> Column:
     """Two-sided Student-t p-value as a Column (Arrow-batched)."""
     return _t_pvalue_udf(t.cast("double"), df.cast("double"))
-
-
-def f_pvalue(f: Column, d1: Column, d2: Column) -> Column:
-    return _f_pvalue_udf(f.cast("double"), d1.cast("double"), d2.cast("double"))
-
-
-def chi2_pvalue(x: Column, df: Column) -> Column:
-    return _chi2_pvalue_udf(x.cast("double"), df.cast("double"))
-
-
-def normal_pvalue(z: Column) -> Column:
-    """Two-sided normal p-value, JVM side: erfc(|z|/sqrt 2) = 2 * (1 - Phi(|z|)).
-
-    Spark has no erfc, so a rational approximation with |error| < 1.2e-7
-    (Numerical Recipes erfcc) keeps it inside whole-stage codegen.
-    """
-    x = F.abs(z) / F.lit(math.sqrt(2.0))
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * x)
-    coeffs = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-    poly = F.lit(coeffs[-1])
-    for c in reversed(coeffs[:-1]):
-        poly = F.lit(c) + t * poly
-    return t * F.exp(-x * x + poly)

@@ -52,14 +52,6 @@ def shannon_entropy(df: DataFrame, by: list[str], category: str) -> DataFrame:
     return counts.select(*by, p.alias("_p")).groupBy(*by).agg((-F.sum(F.col("_p") * F.log("_p"))).alias("entropy"))
 
 
-def entropy_from_counts(df: DataFrame, by: list[str], count: str) -> DataFrame:
-    """Entropy from precomputed counts: ln N - sum(n ln n) / N (one aggregate, no window)."""
-    g = df.where(F.col(count) > 0).groupBy(*by).agg(
-        F.sum(count).cast("double").alias("_N"), F.sum(F.col(count) * F.log(F.col(count).cast("double"))).alias("_nl")
-    )
-    return g.select(*by, (F.log("_N") - F.col("_nl") / F.col("_N")).alias("entropy"))
-
-
 def top_k(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
     """k largest groups by sum(value), ties broken by key (a top-k report: the limit is the feature)."""
     return df.groupBy(key).agg(F.sum(value).alias("total")).orderBy(F.desc("total"), F.asc(key)).limit(k)

@@ -109,14 +109,6 @@ def _pairs(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-def _sym(vals: dict[tuple[int, int], float], k: int) -> np.ndarray:
-    m = np.zeros((k, k))
-    for (i, j), v in vals.items():
-        m[i, j] = v
-        m[j, i] = v
-    return m
-
-
 def prepare_design(df: DataFrame, y: str, xs: list[str], by: list[str], extra: list[str] | None = None) -> tuple[DataFrame, DataFrame | None, dict]:
     """Complete cases of the model columns and x centred by group means."""
     extra = extra or []
@@ -146,10 +138,6 @@ def _lit(v: float) -> str:
     return f"{v!r}D"
 
 
-def _design_sql(k: int) -> list[str]:
-    return ["1.0D"] + [f"_xc{i}" for i in range(k - 1)]
-
-
 def _sum_frame(df: DataFrame, by: list[str], exprs: list[str]) -> DataFrame:
     """Per-row products as SQL strings (one ``selectExpr`` call) summed by
     ``groupBy().sum()`` (one call): planning cost stays flat for hundreds of sums,
@@ -264,10 +252,6 @@ class _GroupState:
     means: list[float]
 
 
-def _group_key(row, by: list[str]) -> tuple:
-    return tuple(row[c] for c in by)
-
-
 def ols(
     df: DataFrame,
     y: str,
@@ -361,17 +345,6 @@ def ols(
     return fits
 
 
-def _coef_frame(spark: SparkSession, states: list[_GroupState], by: list[str], k: int) -> DataFrame:
-    """Per-group coefficients and (X'X)^-1 entries as one small driver-built table
-    (one row per group: its size is known, so broadcasting it is safe)."""
-    cols = [f"_b{i}" for i in range(k)] + [f"_a{i}_{j}" for i, j in _pairs(k)]
-    data = []
-    for s in states:
-        vals = [float(v) for v in s.b] + [float(s.a[i, j]) for i, j in _pairs(k)]
-        data.append(tuple(s.key) + tuple(vals))
-    return spark.createDataFrame(data, schema=[*by, *cols]) if data else spark.createDataFrame([], schema=", ".join([*(f"{c} string" for c in by), *(f"{c} double" for c in cols)]))
-
-
 def fits_frame(spark: SparkSession, fits: list[Fit], by: list[str] | None = None, label: dict | None = None) -> DataFrame:
     """Coefficient table ``(by..., variable, coef, se, stat, pvalue, ci_lo, ci_hi, n, r2)``."""
     by = list(by or [])

@@ -140,90 +140,83 @@ def steady_state(matrix: DataFrame, p_col: str, by: list[str] | None = None) ->
 
 
 # ------------------------------------------------------------------ reliability (3 x 3 per group)
-def _expm(a: np.ndarray) -> np.ndarray:
-    """Matrix exponential by scaling and squaring with a 20-term Taylor series."""
-    norm = np.abs(a).sum(axis=1).max()
-    s = max(0, int(np.ceil(np.log2(norm))) + 1) if norm > 0 else 0
-    b = a / (2**s)
-    out = np.eye(a.shape[0])
-    term = np.eye(a.shape[0])
-    for k in range(1, 21):
-        term = term @ b / k
-        out = out + term
-    for _ in range(s):
-        out = out @ out
-    return out
-
-
-def reliability_metrics(q: np.ndarray, horizon: float = 15.0, n_grid: int = 100, rewards=(0.0, 0.5, 1.0), gamma: float = 0.9) -> dict:
-    """Stationary vector (null eigenvector of Q'), availability (share of High),
-    MTTF (High -> Low), MTTR (Low -> High), transient P(t)[High -> Medium or High]
-    on a grid, annual transition matrix and discounted state values."""
-    vals, vecs = np.linalg.eig(q.T)
-    idx = int(np.argmin(np.abs(vals)))
-    pi = np.abs(np.real(vecs[:, idx]))
-    pi = pi / pi.sum()
-    try:
-        mttf = float((-np.linalg.inv(q[1:, 1:]))[1, :].sum())
-    except np.linalg.LinAlgError:
-        mttf = float("nan")
-    try:
-        mttr = float((-np.linalg.inv(q[:2, :2]))[0, :].sum())
-    except np.linalg.LinAlgError:
-        mttr = float("nan")
-    grid = np.linspace(0.0, horizon, n_grid)
-    curve = []
-    for t in grid:
-        e = _expm(q * t)
-        curve.append(float(np.clip(e[2, 1] + e[2, 2], 0.0, 1.0)))
-    p_ann = np.clip(_expm(q), 0.0, 1.0)
-    p_ann = p_ann / np.maximum(p_ann.sum(axis=1, keepdims=True), 1e-10)
-    r = np.asarray(rewards)
-    v = np.zeros(3)
-    for _ in range(1000):
-        v_new = r + gamma * (p_ann @ v)
-        done = np.max(np.abs(v_new - v)) < 1e-8
-        v = v_new
-        if done:
-            break
-    return {"pi": pi, "availability": float(pi[2]), "mttf": mttf, "mttr": mttr, "t_grid": grid, "transient_high": curve, "p_annual": p_ann, "values": v}
-
-
-RELIABILITY_SCHEMA = (
-    "grp string, pi_low double, pi_medium double, pi_high double, availability double, mttf double, mttr double, "
-    "transient_high array<double>, p_annual array<double>, v_low double, v_medium double, v_high double"
-)
-
-
-def _reliability_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    q = np.zeros((3, 3))
-    for r in pdf.itertuples():
-        q[int(r.s_from), int(r.s_to)] = float(r.q_mean)
-    m = reliability_metrics(q)
-    return pd.DataFrame(
-        [
-            {
-                "grp": str(pdf["grp"].iloc[0]),
-                "pi_low": float(m["pi"][0]),
-                "pi_medium": float(m["pi"][1]),
-                "pi_high": float(m["pi"][2]),
-                "availability": m["availability"],
-                "mttf": m["mttf"],
-                "mttr": m["mttr"],
-                "transient_high": [float(x) for x in m["transient_high"]],
-                "p_annual": [float(x) for x in m["p_annual"].ravel()],
-                "v_low": float(m["values"][0]),
-                "v_medium": float(m["values"][1]),
-                "v_high": float(m["values"][2]),
-            }
-        ]
+_TERMS = 24  # series terms of a step; a step is a 64th of its time, then squared six times
+_SQUARINGS = 6
+
+
+def _matmul(a, b):
+    """Product of two 3 x 3 matrices held as arrays of nine (row by row)."""
+    cell = lambda m, r, c: F.get(m, (r * 3 + c).cast("int"))
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(8)),
+        lambda i: sum((cell(a, F.floor(i / 3), F.lit(k)) * cell(b, F.lit(k), i % 3) for k in range(1, 3)), cell(a, F.floor(i / 3), F.lit(0)) * cell(b, F.lit(0), i % 3)),
     )
 
 
-def reliability(rates: DataFrame, group_col: str = "grp") -> DataFrame:
-    """Per-group reliability summary; each group is a 9-row rate table."""
-    return rates.select(F.col(group_col).cast("string").alias("grp"), "s_from", "s_to", "q_mean").groupBy("grp").applyInPandas(
-        _reliability_group, RELIABILITY_SCHEMA
+def _step_matrix(q, t: float):
+    """P(t) = exp(Q t) of a rate matrix (array of nine), as a fold over series terms."""
+    identity = F.array(*[F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)])
+    scaled = F.transform(q, lambda x: x * F.lit(t / 2**_SQUARINGS))
+    start = F.struct(identity.alias("sum"), identity.alias("term"))
+
+    def add(acc, k):
+        term = F.transform(_matmul(acc["term"], scaled), lambda x: x / k)
+        return F.struct(F.zip_with(acc["sum"], term, lambda x, y: x + y).alias("sum"), term.alias("term"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(_TERMS)), start, add, lambda acc: acc["sum"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_SQUARINGS)), series, lambda m, _: _matmul(m, m))
+
+
+def reliability(rates: DataFrame, group_col: str = "grp", horizon: float = 15.0, n_grid: int = 100, rewards=(0.0, 0.5, 1.0), gamma: float = 0.9) -> DataFrame:
+    """Per-group reliability summary of a 3-state rate matrix, one row a group, Column
+    expressions only.
+
+    The stationary vector comes from the rates' spanning trees, MTTF and MTTR from the
+    closed form, the transient probability of Medium or High from High from powers of one
+    step matrix, and the discounted state values from solving (I - gamma P) v = r by
+    Cramer's rule on the annual matrix P."""
+    wide = rates.groupBy(F.col(group_col).cast("string").alias("grp")).agg(
+        *[F.max(F.when((F.col("s_from") == i) & (F.col("s_to") == j), F.col("q_mean"))).alias(f"q{i}{j}") for i in range(3) for j in range(3)]
+    )
+    q = lambda i, j: F.col(f"q{i}{j}")
+    trees = [
+        q(1, 0) * q(2, 0) + q(1, 2) * q(2, 0) + q(2, 1) * q(1, 0),
+        q(0, 1) * q(2, 1) + q(0, 2) * q(2, 1) + q(2, 0) * q(0, 1),
+        q(0, 2) * q(1, 2) + q(0, 1) * q(1, 2) + q(1, 0) * q(0, 2),
+    ]
+    total = trees[0] + trees[1] + trees[2]
+    pi = [F.when(total > 0, t / total) for t in trees]
+    generator = F.array(*[q(i, j) for i in range(3) for j in range(3)])
+    wide = wide.withColumn("_step", _step_matrix(generator, horizon / (n_grid - 1))).withColumn("_year", _step_matrix(generator, 1.0))
+    high = lambda m: F.least(F.greatest(F.get(m, F.lit(7)) + F.get(m, F.lit(8)), F.lit(0.0)), F.lit(1.0))
+    identity = F.array(*[F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)])
+    begin = F.struct(identity.alias("m"), F.array(F.lit(1.0)).alias("curve"))
+
+    def walk(acc, _):
+        m = _matmul(acc["m"], F.col("_step"))
+        return F.struct(m.alias("m"), F.concat(acc["curve"], F.array(high(m))).alias("curve"))
+
+    curve = F.aggregate(F.sequence(F.lit(1), F.lit(n_grid - 1)), begin, walk, lambda acc: acc["curve"])
+    # rows of the annual matrix sum to one up to rounding
+    share = F.transform(F.col("_year"), lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
+    wide = wide.withColumn("_year", share)
+    p = lambda i, j: F.get("_year", F.lit(3 * i + j)) / sum((F.get("_year", F.lit(3 * i + k)) for k in (1, 2)), F.get("_year", F.lit(3 * i)))
+    m = [[(F.lit(1.0) if i == j else F.lit(0.0)) - F.lit(gamma) * p(i, j) for j in range(3)] for i in range(3)]
+
+    def det(x):
+        return (
+            x[0][0] * (x[1][1] * x[2][2] - x[1][2] * x[2][1])
+            - x[0][1] * (x[1][0] * x[2][2] - x[1][2] * x[2][0])
+            + x[0][2] * (x[1][0] * x[2][1] - x[1][1] * x[2][0])
+        )
+
+    reward = [F.lit(float(x)) for x in rewards]
+    value = [det([[reward[i] if c == j else m[i][c] for c in range(3)] for i in range(3)]) / det(m) for j in range(3)]
+    out = wide.join(closed_form_mttf_mttr(rates.withColumn("grp", F.col(group_col).cast("string")), ["grp"]), "grp")
+    return out.select(
+        "grp", pi[0].alias("pi_low"), pi[1].alias("pi_medium"), pi[2].alias("pi_high"), pi[2].alias("availability"), "mttf", "mttr",
+        curve.alias("transient_high"), F.array(*[p(i, j) for i in range(3) for j in range(3)]).alias("p_annual"),
+        value[0].alias("v_low"), value[1].alias("v_medium"), value[2].alias("v_high"),
     )
 
 

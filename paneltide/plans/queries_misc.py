@@ -58,7 +58,16 @@ def q_leave_out_anti(spark, sf):
 OPTIONAL = ["oa_share", "tech_prox", "research_novelty", "topic_entropy", "intra_cohesion", "imputed_share", "citations_external"]
 
 
-@query("column_report")
+def _column_report_sql() -> str:
+    rows = [
+        f"SELECT '{c}' AS \"column\", true AS present, count({c}) / CAST(count(*) AS DOUBLE) AS non_null_share FROM prep"
+        for c in OPTIONAL
+        if c != "citations_external"
+    ]
+    return " UNION ALL ".join([*rows, "SELECT 'citations_external', false, NULL"])
+
+
+@query("column_report", sql=_sql(_column_report_sql(), "non_null_share", PANEL_CTES, META_CTES, PREP_CTES))
 def q_column_report(spark, sf):
     return finish(column_report(prep(spark, sf), OPTIONAL))
 
@@ -70,21 +79,22 @@ def _emb(spark, sf):
 
 @query("kmeans_topics")
 def q_kmeans_topics(spark, sf):
-    model, data = LR.kmeans(_emb(spark, sf), "embedding", 5)
-    return model.transform(data).select("vec_id", F.col("prediction").alias("topic"), "label")
+    emb = _emb(spark, sf)
+    return LR.nearest_centre(emb, "embedding", LR.kmeans(emb, "vec_id", "embedding", 5)).select("vec_id", "topic", "label")
 
 
 @query("gap_statistic")
 def q_gap_statistic(spark, sf):
-    rows, best = LR.gap_statistic(_emb(spark, sf), "vec_id", "embedding")
-    return finish(spark.createDataFrame([(r["k"], r["gap"], r["sk"], r["W_k"], r["k"] == best) for r in rows], "k int, gap double, sk double, W_k double, chosen boolean"))
+    return finish(LR.choose_k(LR.gap_statistic(_emb(spark, sf), "vec_id", "embedding")))
 
 
 @query("tfidf_svd")
 def q_tfidf_svd(spark, sf):
+    from ..operators.topics import doc_term_counts
     from .queries_text import _tokens
 
-    return LR.tfidf_svd(_tokens(spark, sf).select("doc_id", "tokens"), "doc_id", 10)
+    counts = doc_term_counts(_tokens(spark, sf).select("doc_id", "tokens"), ["doc_id"])
+    return LR.tfidf_svd(counts, "doc_id", 10)
 
 
 MED_X = ["is_c9", "is_transport", "is_research", "year_norm", "log_n_papers", "log_inst_rank"]
@@ -126,7 +136,12 @@ def _verdict_rows(spark, sf):
     inv = q["inverted_u"](spark, sf).select(F.col("supported"), F.format_string("b2 = %.3f", F.col("beta_novelty_sq")).alias("note"))
     beta = q["beta_convergence_test"](spark, sf).where(F.col("variable") == "log_pat_lag").select("supported", F.format_string("beta = %.3f", F.col("coef")).alias("note"))
     med = q["mediation"](spark, sf).where(F.col("strategy") == "C1_Between_FE").select((F.abs("sobel_z") >= 1.96).alias("supported"), F.format_string("Sobel z = %.2f", F.col("sobel_z")).alias("note"))
-    parts = [h1.withColumn("hypothesis", F.lit("H1")), inv.withColumn("hypothesis", F.lit("H5")), beta.withColumn("hypothesis", F.lit("H7")), med.withColumn("hypothesis", F.lit("H8"))]
+    coef = q["mundlak_ols"](spark, sf)
+    one = lambda variable: coef.where(F.col("variable") == variable).agg(F.min_by(F.struct("coef", "pvalue"), "spec").alias("c")).select(
+        ((F.col("c.coef") > 0) & (F.col("c.pvalue") < 0.05)).alias("supported"), F.format_string("coef = %.3f", F.col("c.coef")).alias("note")
+    )
+    h9, h10 = one("oa_share"), one("novelty_x_rank")
+    parts = [h9.withColumn("hypothesis", F.lit("H9")), h10.withColumn("hypothesis", F.lit("H10")), h1.withColumn("hypothesis", F.lit("H1")), inv.withColumn("hypothesis", F.lit("H5")), beta.withColumn("hypothesis", F.lit("H7")), med.withColumn("hypothesis", F.lit("H8"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -146,10 +161,11 @@ def q_verdicts(spark, sf):
 def q_headline(spark, sf):
     """One-row summary assembled from other results with scalar subqueries."""
     q = QUERIES
-    sb = q["strongest_break"](spark, sf)
+    study = q["placebo_breaks"](spark, sf).where(F.col("F_true").isNotNull())
+    sb = study.agg(F.max_by("event", F.struct(F.col("F_true"), -F.col("year"))).alias("event"), F.max("F_true").alias("f_stat"))
     wf = q["walkforward_summary"](spark, sf).where(F.col("pre_covid"))
     sig = q["sigma_segment_tests"](spark, sf).where(F.col("segment") == "Overall")
-    cv = q["coef_stability_models"](spark, sf).where(F.col("variable") == "beta_tech")
+    cv = q["coef_stability_models"](spark, sf).where(F.col("variable") == "beta_oa")
     sp = q["pair_spearman"](spark, sf)
     one = spark.range(1)
     return finish(
@@ -158,7 +174,7 @@ def q_headline(spark, sf):
             sb.select("f_stat").scalar().alias("strongest_f"),
             wf.select("mean_spearman").scalar().alias("pre_cutoff_spearman"),
             sig.select("slope").scalar().alias("sigma_slope_overall"),
-            cv.select("cv").scalar().alias("beta_tech_cv"),
+            cv.select("cv").scalar().alias("beta_oa_cv"),
             sp.select("spearman_rho").scalar().alias("spatial_spearman"),
         )
     )

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.columns import sig_stars
+from ..functions.stats import normal_two_sided
 from ..operators import inference as INF
 from ..operators import panel as P
 from ..operators.describe import coef_stability
@@ -28,6 +29,25 @@ def _with_stars(df):
     return df.withColumn("stars", sig_stars(F.col("pvalue")))
 
 
+FIT_SCHEMA = "variable string, coef double, se double, stat double, pvalue double, ci_lo double, ci_hi double, n bigint, r2 double"
+
+
+def _first(fits: list):
+    """The only fit, or None where the sample was too small for one."""
+    return fits[0] if fits else None
+
+
+def _fits(spark, named: list[tuple], label: str):
+    """Coefficient rows with stars of the (label, fit) pairs; no row for a missing fit."""
+    frames = [fits_frame(spark, [f], label=lab) for lab, f in named if f is not None]
+    if not frames:
+        return _with_stars(spark.createDataFrame([], f"{label} string, {FIT_SCHEMA}"))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return _with_stars(out)
+
+
 def _rows(spark, rows: list[dict], schema: str):
     cols = [c.split()[0] for c in schema.split(",")]
     return spark.createDataFrame([tuple(_clean(r.get(c)) for c in cols) for r in rows], schema)
@@ -87,11 +107,8 @@ def mundlak_results(spark, sf):
 @query("mundlak_ols")
 def q_mundlak_ols(spark, sf):
     res = mundlak_results(spark, sf)
-    frames = [fits_frame(spark, [f], label={"spec": name}) for name, f in res.items()]
-    df = frames[0]
-    for f in frames[1:]:
-        df = df.unionByName(f)
-    return finish(_with_stars(df).select("spec", "variable", "coef", "se", "pvalue", "ci_lo", "ci_hi", "stars", "n"))
+    df = _fits(spark, [({"spec": name}, f) for name, f in res.items()], "spec")
+    return finish(df.select("spec", "variable", "coef", "se", "pvalue", "ci_lo", "ci_hi", "stars", "n"))
 
 
 # ------------------------------------------------------------------ 74 within FE, 75 Hausman
@@ -101,7 +118,7 @@ FE_COVS = ["tech_prox", "research_novelty", "log_n_papers", "topic_entropy", "in
 @query("within_fe")
 def q_within_fe(spark, sf):
     fit = INF.within_fit(prep(spark, sf), FE_COVS)
-    return finish(_with_stars(fits_frame(spark, [fit], label={"spec": "FE_within"})))
+    return finish(_fits(spark, [({"spec": "FE_within"}, fit)], "spec"))
 
 
 @query(
@@ -115,8 +132,8 @@ def q_within_fe(spark, sf):
     ),
 )
 def q_within_fe_slope(spark, sf):
-    fit = ols(prep(spark, sf), "log_mean_pat_fe", ["tech_prox_fe"])[0]
-    return finish(spark.createDataFrame([(float(fit.coef[1]), int(fit.n))], "slope double, n bigint"))
+    fits = ols(prep(spark, sf), "log_mean_pat_fe", ["tech_prox_fe"])
+    return finish(spark.createDataFrame([(float(f.coef[1]), int(f.n)) for f in fits], "slope double, n bigint"))
 
 
 @query("hausman")
@@ -124,7 +141,7 @@ def q_hausman(spark, sf):
     df = prep(spark, sf)
     fe = INF.within_fit(df, FE_COVS)
     re = INF.mundlak_fit(df, FE_COVS)
-    h = INF.hausman(fe, re)
+    h = INF.hausman(fe, re) if fe is not None and re is not None else {}
     return finish(_rows(spark, [{**h, "variables": ",".join(h.get("variables", []))}], "H double, df bigint, p_value double, variables string"))
 
 
@@ -170,11 +187,14 @@ def q_its(spark, sf):
         (F.col("year") >= ev).cast("double").alias("post"),
         ((F.col("year") >= ev).cast("double") * (F.col("year") - ev)).alias("post_trend"),
     )
-    fit = ols(df, "log_mean_pat", ["trend", "post", "post_trend"])[0]
-    return finish(_with_stars(fits_frame(spark, [fit], label={"model": f"ITS_{S.trend_event}"})))
+    fits = ols(df, "log_mean_pat", ["trend", "post", "post_trend"])
+    return finish(_fits(spark, [({"model": f"ITS_{S.trend_event}"}, f) for f in fits], "model"))
 
 
 # ------------------------------------------------------------------ 79 inverted U
+INVERTED_U_SCHEMA = "source string, beta_novelty double, beta_novelty_sq double, p_novelty_sq double, optimal_novelty double, supported boolean"
+
+
 @query("inverted_u")
 def q_inverted_u(spark, sf):
     res = mundlak_results(spark, sf)
@@ -182,12 +202,14 @@ def q_inverted_u(spark, sf):
     source = "MC_D_Quad"
     if fit is None:
         xs = ["research_novelty", "novelty_sq", "tech_prox", "log_n_papers", "year_norm", "is_c9", "is_transport"]
-        fit = ols(prep(spark, sf), "log_mean_pat", xs, cov="HC3")[0]
+        fit = _first(ols(prep(spark, sf), "log_mean_pat", xs, cov="HC3"))
         source = "OLS_HC3"
+    if fit is None:
+        return _rows(spark, [], INVERTED_U_SCHEMA)
     b1, b2, p2 = fit.get("research_novelty"), fit.get("novelty_sq"), fit.get("novelty_sq", "p")
     opt = -b1 / (2 * b2) if b2 not in (0.0,) and not np.isnan(b2) else None
     row = {"source": source, "beta_novelty": b1, "beta_novelty_sq": b2, "p_novelty_sq": p2, "optimal_novelty": opt, "supported": bool(b2 < 0 and p2 < 0.05)}
-    return finish(_rows(spark, [row], "source string, beta_novelty double, beta_novelty_sq double, p_novelty_sq double, optimal_novelty double, supported boolean"))
+    return finish(_rows(spark, [row], INVERTED_U_SCHEMA))
 
 
 # ------------------------------------------------------------------ 80 mediation (three strategies)
@@ -200,28 +222,49 @@ def _between(spark, sf):
         F.avg("log_n_papers").alias("log_n_papers"),
         F.max("is_c9").alias("is_c9"),
         F.max("log_inst_rank").alias("log_inst_rank"),
-    ).na.fill(0.0, ["is_c9", "log_n_papers", "log_inst_rank", "topic_entropy"])
+    ).na.fill(0.0, ["is_c9", "log_n_papers", "log_inst_rank"])  # regressors; a missing mediator or outcome drops the row
+
+
+# size guards: a strategy runs on more rows than this
+MEDIATION_MIN = {"C1_Between_FE": 5, "C2_Pooled": 30, "C3_TV_Prestige": 30}
+MEDIATION_SCHEMA = "strategy string, a_coef double, b_coef double, acme double, sobel_z double, beta_within double, beta_between double"
 
 
 @query("mediation")
 def q_mediation(spark, sf):
+    return finish(_rows(spark, mediation_rows(_between(spark, sf), prep(spark, sf)), MEDIATION_SCHEMA))
+
+
+def mediation_rows(between, panel_df) -> list[dict]:
+    """One row for each strategy whose sample is large enough and can be fitted."""
     rows = []
-    be = _between(spark, sf)
-    a = ols(be, "topic_entropy", ["is_c9", "log_n_papers", "log_inst_rank"])[0]
-    b = ols(be, "log_mean_pat", ["topic_entropy", "is_c9", "log_n_papers", "log_inst_rank"])[0]
-    ac, bc = a.get("is_c9"), b.get("topic_entropy")
-    rows.append({"strategy": "C1_Between_FE", "a_coef": ac, "b_coef": bc, "acme": ac * bc, "sobel_z": INF.sobel(ac, a.get("is_c9", "se"), bc, b.get("topic_entropy", "se"))})
-    df = prep(spark, sf)
-    sub = df.select("log_mean_pat", "topic_entropy", "is_c9", "log_n_papers", "year_norm", "entity").na.drop()
-    a2 = ols(sub, "topic_entropy", ["is_c9", "log_n_papers", "year_norm"], cov="cluster", cluster="entity")[0]
-    b2 = ols(sub, "log_mean_pat", ["topic_entropy", "is_c9", "log_n_papers", "year_norm"], cov="cluster", cluster="entity")[0]
-    rows.append({"strategy": "C2_Pooled", "a_coef": a2.get("is_c9"), "b_coef": b2.get("topic_entropy"), "acme": a2.get("is_c9") * b2.get("topic_entropy")})
-    sub3 = df.select("log_mean_pat", "dm_topic_entropy", "gm_topic_entropy", "is_c9", "log_n_papers", "year_norm", "entity").na.drop()
-    b3 = ols(sub3, "log_mean_pat", ["dm_topic_entropy", "gm_topic_entropy", "is_c9", "log_n_papers", "year_norm"], cov="cluster", cluster="entity")[0]
-    rows.append({"strategy": "C3_TV_Prestige", "beta_within": b3.get("dm_topic_entropy"), "beta_between": b3.get("gm_topic_entropy")})
-    return finish(
-        _rows(spark, rows, "strategy string, a_coef double, b_coef double, acme double, sobel_z double, beta_within double, beta_between double")
-    )
+
+    def fitted(name: str, df, models: list[tuple]) -> list | None:
+        if df.count() <= MEDIATION_MIN[name]:
+            return None
+        fits = [_first(ols(df, y, xs, **kw)) for y, xs, kw in models]
+        return None if any(f is None for f in fits) else fits
+
+    own = ["is_c9", "log_n_papers", "log_inst_rank"]
+    fits = fitted("C1_Between_FE", between.na.drop(subset=["log_mean_pat", "topic_entropy"]), [("topic_entropy", own, {}), ("log_mean_pat", ["topic_entropy", *own], {})])
+    if fits:
+        a, b = fits
+        ac, bc = a.get("is_c9"), b.get("topic_entropy")
+        z = INF.sobel(ac, a.get("is_c9", "se"), bc, b.get("topic_entropy", "se"))
+        rows.append({"strategy": "C1_Between_FE", "a_coef": ac, "b_coef": bc, "acme": ac * bc, "sobel_z": z})
+    by_entity = {"cov": "cluster", "cluster": "entity"}
+    xs = ["is_c9", "log_n_papers", "year_norm"]
+    sub = panel_df.select("log_mean_pat", "topic_entropy", *xs, "entity").na.drop()
+    fits = fitted("C2_Pooled", sub, [("topic_entropy", xs, by_entity), ("log_mean_pat", ["topic_entropy", *xs], by_entity)])
+    if fits:
+        a, b = fits
+        rows.append({"strategy": "C2_Pooled", "a_coef": a.get("is_c9"), "b_coef": b.get("topic_entropy"), "acme": a.get("is_c9") * b.get("topic_entropy")})
+    both = ["dm_topic_entropy", "gm_topic_entropy"]
+    sub = panel_df.select("log_mean_pat", *both, *xs, "entity").na.drop()
+    fits = fitted("C3_TV_Prestige", sub, [("log_mean_pat", [*both, *xs], by_entity)])
+    if fits:
+        rows.append({"strategy": "C3_TV_Prestige", "beta_within": fits[0].get(both[0]), "beta_between": fits[0].get(both[1])})
+    return rows
 
 
 # ------------------------------------------------------------------ 80c domain sensitivity, 35 stability
@@ -340,30 +383,55 @@ def q_bp_one(spark, sf):
 
 
 # ------------------------------------------------------------------ 118 Poisson QMLE
+POISSON_X = ["tech_prox", "research_novelty", "log_n_papers", "year_norm"]
+
+
 @query("poisson")
 def q_poisson(spark, sf):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    xs = ["tech_prox", "research_novelty", "log_n_papers", "year_norm"]
-    df = prep(spark, sf).select("mean_patent_cit", *xs).na.drop()
-    data = VectorAssembler(inputCols=xs, outputCol="features").transform(df)
-    model = GeneralizedLinearRegression(family="poisson", link="log", labelCol="mean_patent_cit", maxIter=50).fit(data)
-    s = model.summary
-    names = ["const"] + xs
-    coefs = [model.intercept] + list(model.coefficients)
-    try:
-        ses = list(s.coefficientStandardErrors)
-        ps = list(s.pValues)
-        ses = [ses[-1]] + ses[:-1]
-        ps = [ps[-1]] + ps[:-1]
-    except Exception:
-        ses = [None] * len(names)
-        ps = [None] * len(names)
-    rows = [{"variable": n, "coef": c, "se": e, "pvalue": p} for n, c, e, p in zip(names, coefs, ses, ps)]
+    df = prep(spark, sf).select("mean_patent_cit", *POISSON_X).na.drop()
+    rows = poisson_qmle(df, "mean_patent_cit", POISSON_X)
     return finish(_with_stars(_rows(spark, rows, "variable string, coef double, se double, pvalue double")))
 
 
+def poisson_qmle(df, y: str, xs: list[str], max_iter: int = 50, tol: float = 1e-10) -> list[dict]:
+    """Poisson quasi-maximum likelihood with log link by Newton steps, and the sandwich
+    covariance A^-1 B A^-1 (robust to any variance). Each step is one aggregate: the
+    gradient, the Hessian A = sum mu x x' and B = sum (y - mu)^2 x x'; only these k x k
+    sums reach the driver. Fewer rows than coefficients give an empty result."""
+    names = ["const", *xs]
+    k = len(names)
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in xs]]
+    target = F.col(y).cast("double")
+    start = df.agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("m")).first()
+    if start["n"] <= k or not start["m"] or start["m"] <= 0:
+        return []
+    b = np.zeros(k)
+    b[0] = np.log(start["m"])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    for _ in range(max_iter):
+        mu = F.exp(sum((x[i] * F.lit(float(b[i])) for i in range(1, k)), x[0] * F.lit(float(b[0]))))
+        got = df.select(target.alias("_y"), mu.alias("_mu"), *[c.alias(f"_x{i}") for i, c in enumerate(x)]).agg(
+            *[F.sum((F.col("_y") - F.col("_mu")) * F.col(f"_x{i}")).alias(f"g{i}") for i in range(k)],
+            *[F.sum(F.col("_mu") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"a{i}_{j}") for i, j in pairs],
+            *[F.sum(F.pow(F.col("_y") - F.col("_mu"), 2) * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"b{i}_{j}") for i, j in pairs],
+        ).first()
+        g = np.array([got[f"g{i}"] for i in range(k)])
+        hess, meat = np.zeros((k, k)), np.zeros((k, k))
+        for i, j in pairs:
+            hess[i, j] = hess[j, i] = got[f"a{i}_{j}"]
+            meat[i, j] = meat[j, i] = got[f"b{i}_{j}"]
+        inverse = np.linalg.pinv(hess)
+        step = inverse @ g
+        if np.abs(step).max() < tol * (1 + np.abs(b).max()):
+            break
+        b = b + step
+    se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse), 0))
+    return [
+        {"variable": v, "coef": c, "se": e, "pvalue": normal_two_sided(c / e) if e > 0 else None}
+        for v, c, e in zip(names, b.tolist(), se.tolist())
+    ]
+
+
 # ------------------------------------------------------------------ 120 sub-periods, 113 by type, 81a beta convergence, 115 DiD
 def _segments_sql() -> str:
     return ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in S.segments.items())

@@ -172,7 +172,8 @@ def walkforward(spark, sf, features: list[str], demean_scale: bool):
         return pred.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in folds_same])))
 
     preds = V.parallel([lambda w=w: run(w) for w in windows.values()])
-    out = preds[0]
+    # no fold is large enough: an empty table of predictions
+    out = preds[0] if preds else tagged.where(F.lit(False)).withColumn("pred", F.lit(None).cast("double"))
     for p in preds[1:]:
         out = out.unionByName(p)
     _WF_MEMO[key] = (out, folds)

@@ -86,12 +86,6 @@ def read_weights(spark: SparkSession, path: str, kinds: list[str] | None = None)
     return w
 
 
-def present_kinds(weights: DataFrame, kinds: list[str]) -> dict[str, bool]:
-    """Which weight kinds exist (distinct over a small column, bounded by the kinds asked)."""
-    have = {r["kind"] for r in weights.where(F.col("kind").isin(*kinds)).select("kind").distinct().collect()}
-    return {k: k in have for k in kinds}
-
-
 def resolve_optional(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Add each optional column that is absent, with its default (plan-time check)."""
     for name, value in defaults.items():

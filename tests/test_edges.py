@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,13 +154,69 @@ def test_fold_plan():
     assert all(f["test_end"] == f["test_start"] for f in plan)
 
 
-def test_gap_rule_elbow_then_min_k():
+def test_gap_rule_elbow_then_min_k(spark):
     from paneltide.operators.learning import choose_k
 
-    gaps = [0.0, 1.0, 1.5, 1.8, 2.0, 2.1]  # rising for every k: no gap(k) >= gap(k+1) - s(k+1)
-    rows = [{"k": k, "gap": g, "sk": 0.0} for k, g in zip(range(2, 8), gaps)]
-    assert choose_k(rows, min_k=2) == 3  # elbow: arg-min of the second difference
-    assert choose_k(rows, min_k=5) == 5  # never below min_k
+    def chosen(gaps, sk, min_k):
+        df = spark.createDataFrame([(k, g, sk) for k, g in zip(range(2, 8), gaps)], "k int, gap double, sk double")
+        return [r.k for r in choose_k(df, min_k).where("chosen").collect()]
+
+    rising = [0.0, 1.0, 1.5, 1.8, 2.0, 2.1]  # no gap(k) >= gap(k+1) - s(k+1)
+    assert chosen(rising, 0.0, 2) == [3]  # elbow: the sharpest fall of the increments
+    assert chosen(rising, 0.0, 5) == [5]  # never below min_k
+    assert chosen([0.0, 1.0, 1.5, 1.4, 2.0, 2.1], 0.0, 2) == [4]  # first k that the next does not beat
+    assert chosen(rising, 0.25, 2) == [5]
+
+
+def test_reliability_equals_numpy(spark):
+    from paneltide.operators.transitions import reliability
+
+    q = np.array([[-1.1, 0.7, 0.4], [0.3, -0.5, 0.2], [0.25, 1.5, -1.75]])
+    rows = [("g", i, j, float(q[i, j])) for i in range(3) for j in range(3)]
+    r = reliability(spark.createDataFrame(rows, "grp string, s_from int, s_to int, q_mean double")).first()
+    values, vectors = np.linalg.eig(q)
+    exp = lambda t: (vectors @ np.diag(np.exp(values * t)) @ np.linalg.inv(vectors)).real
+    limit = exp(200.0)[0]
+    assert np.allclose([r.pi_low, r.pi_medium, r.pi_high], limit, atol=1e-9)
+    assert np.allclose(np.array(r.p_annual).reshape(3, 3), exp(1.0), atol=1e-10)
+    assert np.allclose(r.transient_high, [exp(15.0 * k / 99)[2, 1:].sum() for k in range(100)], atol=1e-9)
+    v = np.linalg.solve(np.eye(3) - 0.9 * exp(1.0), [0.0, 0.5, 1.0])
+    assert np.allclose([r.v_low, r.v_medium, r.v_high], v, atol=1e-8)
+    assert abs(r.mttf + np.linalg.inv(q[1:, 1:])[1].sum()) < 1e-9 and abs(r.mttr + np.linalg.inv(q[:2, :2])[0].sum()) < 1e-9
+
+
+def test_document_vectors_equal_numpy_svd(spark):
+    from paneltide.operators.learning import tfidf_svd
+
+    rng = np.random.default_rng(0)
+    rows = [(d, f"t{t}", int(rng.integers(1, 5))) for d in range(30) for t in rng.choice(25, 6, replace=False) if t % 3 == d % 3 or rng.random() < 0.15]
+    got = {r.d: r.doc_vector for r in tfidf_svd(spark.createDataFrame(rows, "d long, term string, n int"), "d", 3, rounds=25).collect()}
+    docs, terms = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    tf = np.zeros((len(docs), len(terms)))
+    for d, t, n in rows:
+        tf[docs.index(d), terms.index(t)] = n
+    w = tf * (np.log((1 + len(docs)) / (1 + (tf > 0).sum(axis=0))) + 1)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    u, s, _ = np.linalg.svd(w, full_matrices=False)
+    mine, want = np.array([got[d] for d in docs]), u[:, :3] * s[:3]
+    assert np.allclose(np.abs(mine), np.abs(want), atol=1e-4)
+
+
+def test_clusters_of_many_starts(spark):
+    from paneltide.operators.learning import best_fits, kmeans, kmeans_many, nearest_centre
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.1, (40, 2)) for c in ((0, 0), (5, 0), (0, 5))])
+    df = spark.createDataFrame([(i, [float(a), float(b)], i % 2) for i, (a, b) in enumerate(x)], "i long, v array<double>, b int")
+    centres = kmeans(df, "i", "v", 3)
+    assert np.allclose(sorted(np.round(centres).tolist()), [[0, 0], [0, 5], [5, 0]])
+    topics = {r.i: r.topic for r in nearest_centre(df, "v", centres).collect()}
+    assert len({topics[i] for i in range(40)}) == len({topics[i] for i in range(40, 80)}) == 1 and len(set(topics.values())) == 3
+    fits = [(0, 3), (0, 3), (1, 3), (1, 2)]
+    best = best_fits(kmeans_many(df, "i", "v", fits, set_col="b"), fits)
+    half = x[::2]
+    near = ((half[:, None] - best[0, 3][1]) ** 2).sum(axis=2).min(axis=1).sum()
+    assert abs(best[0, 3][0] - near) < 1e-6 and best[1, 2][0] > best[1, 3][0]
 
 
 def test_club_leftover_unlabelled(spark):
