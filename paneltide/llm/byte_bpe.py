@@ -3,7 +3,11 @@
 1. Every text is cut into pre-tokens by the vocabulary's pattern. A task gathers its
    texts into *blocks* (up to ``BLOCK_BYTES`` of text or ``BLOCK_WORDS`` distinct
    words): the positions of a text's pre-tokens become numbers into the block's list of
-   distinct words. Blocks are written once as a table in the shared folder.
+   distinct words. Words and positions go separate ways, each by a pass of its own: a
+   second cut costs less than a table of all positions would take on disk. Rows are
+   ordered within a partition first, and a block is named by a digest of its texts, so
+   both passes, and every retry, cut the same blocks; a block whose halves do not meet is
+   an error, never a wrong result.
 2. The distinct words of all blocks are shuffled by word hash, packed by (block, hash
    part), so each distinct word of the corpus meets in one place and is merged by BPE
    exactly once; its ids go back to each block that holds it.
@@ -23,7 +27,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import struct
 from collections.abc import Iterator
 
@@ -34,13 +37,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
 from .common import shuffle_partitions
 
 BLOCK_BYTES = 64 << 20
 BLOCK_WORDS = 600_000
 PIECE_BYTES = 1 << 20  # text whose positions are stored as one row
 MAX_VOCABULARY = 1_000_000
+LEVEL = 3  # of compression
 
 _ROW = "block bigint, part int, locals binary, words binary, docs binary, positions binary"
 
@@ -57,7 +60,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def _pack(values: np.ndarray) -> bytes:
     """Compressed unsigned 32-bit integers, byte planes apart."""
     raw = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(raw)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -67,7 +70,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _pack_words(words: list[bytes]) -> bytes:
     sizes = np.array([len(w) for w in words], dtype="<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(words)) + sizes + b"".join(words))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(struct.pack("<I", len(words)) + sizes + b"".join(words))
 
 
 def _unpack_words(data: bytes) -> list[bytes]:
@@ -87,57 +90,66 @@ def _rows(block: int, part, locals_, words, docs, positions) -> pa.RecordBatch:
     )
 
 
-def _blocks(pattern: str, parts: int):
-    """Blocks of one task: their positions (rows with docs) and distinct words (rows with a part)."""
+def _blocks(pattern: str, parts: int, want: str):
+    """Blocks of one task: the positions (``want`` = "texts") or the distinct words ("words")."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         number: dict[str, int] = {}
-        block, held = int.from_bytes(os.urandom(7), "little"), 0
-        ids: list[tuple[bool, int, int]] = []
+        pieces: list[tuple[bytes, np.ndarray]] = []  # (ids and counts of texts, word numbers)
+        ids: list[bytes] = []
         flat: list[np.ndarray] = []
-        piece = 0
-
-        def positions() -> pa.RecordBatch:
-            docs = b"".join(struct.pack("<?qI", *d) for d in ids)
-            every = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-            return _rows(block, [None], [None], [None], [docs], [_pack(every)])
-
-        def words() -> Iterator[pa.RecordBatch]:
+        piece = held = 0
+        name = hashlib.blake2b(digest_size=8)
+
+        def close_piece() -> None:
+            nonlocal ids, flat, piece
+            if ids:
+                pieces.append((b"".join(ids), np.concatenate(flat)))
+            ids, flat, piece = [], [], 0
+
+        def block() -> Iterator[pa.RecordBatch]:
+            """Frequent words get small numbers, which compress best."""
+            nonlocal number, pieces, held, name
+            if not pieces:
+                return
+            key = int.from_bytes(name.digest(), "little", signed=True)
+            count = np.zeros(len(number), dtype=np.int64)
+            for _, own in pieces:
+                count += np.bincount(own, minlength=len(number))
+            rank = np.empty(len(number), dtype=np.uint32)
+            rank[np.argsort(-count, kind="stable")] = np.arange(len(number), dtype=np.uint32)
+            for docs, own in pieces if want == "texts" else ():
+                yield _rows(key, [None], [None], [None], [docs], [_pack(rank[own])])
             by_part: dict[int, tuple[list[int], list[bytes]]] = {}
-            for word, k in number.items():
+            for word, k in number.items() if want == "words" else ():
                 raw = word.encode()
                 part = int.from_bytes(hashlib.blake2b(raw, digest_size=4).digest(), "little") % parts
                 at = by_part.setdefault(part, ([], []))
                 at[0].append(k)
                 at[1].append(raw)
-            if by_part:
-                n = len(by_part)
-                yield _rows(
-                    block, list(by_part), [_pack(np.array(k)) for k, _ in by_part.values()], [_pack_words(w) for _, w in by_part.values()], [None] * n, [None] * n
-                )
+            for part, (k, words) in by_part.items():
+                yield _rows(key, [part], [_pack(rank[np.array(k)])], [_pack_words(words)], [None], [None])
+            number, pieces, held, name = {}, [], 0, hashlib.blake2b(digest_size=8)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 got = find(text) if text else []
                 add = number.setdefault
                 flat.append(np.array([add(w, len(number)) for w in got], dtype=np.uint32))
-                ids.append((doc_id is not None, doc_id or 0, len(got)))
-                size = len(text or "")
-                piece += size + 16
+                ids.append(struct.pack("<?qI", doc_id is not None, doc_id or 0, len(got)))
+                name.update(ids[-1])
+                name.update((text or "").encode())
+                size = len(text or "") + 16
+                piece += size
                 held += size
                 if piece >= PIECE_BYTES:
-                    yield positions()
-                    ids, flat, piece = [], [], 0
+                    close_piece()
                 if held >= BLOCK_BYTES or len(number) >= BLOCK_WORDS:
-                    if ids:
-                        yield positions()
-                    yield from words()
-                    number, ids, flat, piece, held = {}, [], [], 0, 0
-                    block = int.from_bytes(os.urandom(7), "little")
-        if ids:
-            yield positions()
-        yield from words()
+                    close_piece()
+                    yield from block()
+        close_piece()
+        yield from block()
 
     return run
 
@@ -191,11 +203,15 @@ def _assemble(sent):
             local, size, flat = np.concatenate(locals_), np.concatenate(sizes), np.concatenate(ids)
             start_of, size_of = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
             start_of[local], size_of[local] = np.concatenate([[0], np.cumsum(size)])[:-1], size
+        else:
+            size_of = np.zeros(0, np.int64)
         cols: list[list] = [[], [], [], []]
         for docs, packed in zip(group.column("docs"), group.column("positions")):
             if docs.as_py() is None:
                 continue
             position, at = _unpack(packed.as_py()), 0
+            if len(position) and position.max() >= len(size_of):
+                raise RuntimeError("a block was cut differently by the two passes: its rows did not come in the same order")
             for has_id, doc_id, n in struct.iter_unpack("<?qI", docs.as_py()):
                 own = position[at : at + n]
                 at += n
@@ -215,13 +231,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = shuffle_partitions(spark)
-    blocks = materialise(own.mapInArrow(_blocks(pattern, parts), _ROW), "bpe-blocks")
+    own = own.sortWithinPartitions("doc_id", F.xxhash64("text"))
     sent = spark.sparkContext.broadcast(ranks)
     schema = "block bigint, locals binary, sizes binary, ids binary, docs binary, positions binary"
-    words = blocks.where("part is not null").select("part", "block", "locals", "words")
+    words = own.mapInArrow(_blocks(pattern, parts, "words"), _ROW).select("part", "block", "locals", "words")
     encoded = words.groupBy("part").applyInArrow(_encode_words(pattern, sent), schema)
     none = F.lit(None).cast("binary")
-    texts = blocks.where("part is null").select("block", none.alias("locals"), none.alias("sizes"), none.alias("ids"), "docs", "positions")
+    texts = own.mapInArrow(_blocks(pattern, parts, "texts"), _ROW).select("block", none.alias("locals"), none.alias("sizes"), none.alias("ids"), "docs", "positions")
     by_rank = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         by_rank[rank] = token

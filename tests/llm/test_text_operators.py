@@ -218,7 +218,8 @@ def test_many_small_blocks_give_the_same(ranks, monkeypatch):
     monkeypatch.setattr(byte_bpe, "PIECE_BYTES", 40)
     texts = [f"some words {i} and more {i * i}" for i in range(30)]
     batch = pa.record_batch([pa.array(range(30), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
-    rows = pa.Table.from_batches(list(byte_bpe._blocks(public_tokenizers.PATTERN, 3)(iter([batch])))).to_pylist()
+    passes = [b for want in ("words", "texts") for b in byte_bpe._blocks(public_tokenizers.PATTERN, 3, want)(iter([batch]))]
+    rows = pa.Table.from_batches(passes).to_pylist()
     words = {}
     for r in rows:
         if r["part"] is not None:
