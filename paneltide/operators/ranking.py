@@ -115,7 +115,8 @@ def percentile_row(df: DataFrame, value: str, qs: Mapping[str, float], by: Itera
         "_hi", F.least(F.col("_lo") + 1, F.col("n") - 1)
     )
     p = pos.alias("p")
-    r = rows.alias("r")
+    # without groups this side is one row a percentile
+    r = (rows if by else F.broadcast(rows)).alias("r")
     keycond = [F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
 
     def in_run(idx: str) -> Column:

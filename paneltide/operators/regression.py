@@ -305,16 +305,19 @@ def ols(
         else:
             kb = by + [cluster]
 
-            def scores(key, g):
-                a, b = params.get(key[: len(by)], (None, None))
-                if b is None:
-                    return np.zeros(k)
-                x, y = _design_np(g, k)
-                return (x * (y - x @ b)[:, None]).sum(axis=0)
-
-            sc = _partials(cen, by, scores, extra_keys=[cluster])
-            wide = sc.groupBy(*kb).pivot("idx", list(range(k))).agg(F.first("v")).na.fill(0.0)
-            wide = wide.toDF(*kb, *[f"_s{i}" for i in range(k)])
+            # score sums x * e of each cluster, as Column expressions: one grouped sum
+            if by:
+                fitted = [(*key, [float(v) for v in b]) for key, (_, b) in params.items() if b is not None]
+                types = [f for f in cen.schema.fields if f.name in by]
+                types = sorted(types, key=lambda f: by.index(f.name)) + [T.StructField("_b", T.ArrayType(T.DoubleType()))]
+                coefs = cen.sparkSession.createDataFrame(fitted, T.StructType(types))  # one row a fit
+                rows = cen.join(F.broadcast(coefs), by)
+                beta = [F.get("_b", F.lit(i)) for i in range(k)]
+            else:
+                rows, beta = cen, [F.lit(float(v)) for v in params[()][1]]
+            x = [F.lit(1.0), *[F.col(f"_xc{i}") for i in range(k - 1)]]
+            e = F.col("_y") - sum((x[i] * beta[i] for i in range(1, k)), beta[0])
+            wide = rows.withColumn("_e", e).groupBy(*kb).agg(*[F.sum(x[i] * F.col("_e")).alias(f"_s{i}") for i in range(k)])
 
             def outer(key, g):
                 s_ = np.column_stack([g[f"_s{i}"].to_numpy(dtype=float) for i in range(k)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import sig_stars
+from ..functions.columns import md5_uniform, md5_uniform_sql, sig_stars
 from ..operators import describe as D
 from ..operators import panel as P
 from ..sources.tables import read_table
@@ -383,9 +383,10 @@ def q_top_entities(spark, sf):
 @query(
     "sig_labels",
     sql=_sql(
-        "SELECT entity, year, CASE WHEN imputed_share < 0.001 THEN '***' WHEN imputed_share < 0.01 THEN '**' "
-        "WHEN imputed_share < 0.05 THEN '*' WHEN imputed_share < 0.1 THEN '†' ELSE '' END AS stars, "
-        "CASE WHEN (tech_prox - 0.0501234) * (research_novelty - 0.0401234) > 0 THEN '★' ELSE '' END AS interval_flag FROM panel",
+        "SELECT entity, year, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' "
+        "WHEN p < 0.05 THEN '*' WHEN p < 0.1 THEN '†' ELSE '' END AS stars, "
+        "CASE WHEN (tech_prox - 0.0501234) * (research_novelty - 0.0401234) > 0 THEN '★' ELSE '' END AS interval_flag "
+        f"FROM (SELECT *, pow({md5_uniform_sql('entity', 'year', salt='p')}, 4) AS p FROM panel)",
         "",
         PANEL_CTES,
     ),
@@ -393,11 +394,12 @@ def q_top_entities(spark, sf):
 def q_sig_labels(spark, sf):
     from ..functions.columns import excludes_zero
 
-    p = panel(spark, sf)
+    # values over the whole range of a p-value, so every label occurs
+    p = panel(spark, sf).withColumn("p", F.pow(md5_uniform("entity", "year", salt="p"), 4))
     return p.select(
         "entity",
         "year",
-        sig_stars(F.col("imputed_share")).alias("stars"),
+        sig_stars(F.col("p")).alias("stars"),
         excludes_zero(F.col("tech_prox") - 0.0501234, F.col("research_novelty") - 0.0401234).alias("interval_flag"),
     )
 
