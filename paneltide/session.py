@@ -63,6 +63,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 _MAT_COUNTER = [0]
+_WRITTEN: list[str] = []
 
 
 def materialise(df, name: str = "table"):
@@ -79,4 +80,17 @@ def materialise(df, name: str = "table"):
     _MAT_COUNTER[0] += 1
     path = f"{root}/paneltide-{name}-{_MAT_COUNTER[0]}-{uuid.uuid4().hex[:8]}"
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
+
+
+def drop_materialised(spark: SparkSession) -> int:
+    """Delete every table that :func:`materialise` wrote in this process, through the
+    file system that Spark uses. For the end of a job: frames that read such a table, and
+    results memoised in the session, cannot be evaluated afterwards."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

@@ -46,6 +46,13 @@ def test_bootstrap_draws_sum_to_n(spark):
     total = TR.transition_counts(fixtures.panel(spark, SF_SMALL)).agg(F.sum("n")).first()[0]
     assert len(per_rep) == 20 and all(r.n > 0 for r in per_rep)
     assert abs(np.mean([r.n for r in per_rep]) - total) < total
+    # with one transition count of 1 an entity, a replicate's sum is its number of draws
+    p = fixtures.panel(spark, SF_SMALL).where("state >= 0")
+    first = p.groupBy("entity").agg(F.min("year").alias("year"))
+    two = p.join(first, "entity").where((p["year"] - first["year"]).between(0, 1)).select("entity", p["year"], "state")
+    n = two.select("entity").distinct().count()
+    draws = TR.bootstrap_matrices(two, n_boot=20).groupBy("rep").agg(F.sum("n").alias("n")).collect()
+    assert {r.n for r in draws} == {n}
 
 
 @pytest.mark.parametrize("name", ["sigma_segments", "transition_matrix", "ctfidf", "morans_perm"])

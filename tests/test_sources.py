@@ -37,3 +37,14 @@ def test_json_lines(spark):
     df = spark.createDataFrame([("T0", ["a", "b"], {"d": 0.5})], "topic string, terms array<string>, scores map<string,double>")
     line = to_json_lines(df).first()[0]
     assert json.loads(line) == {"topic": "T0", "terms": ["a", "b"], "scores": {"d": 0.5}}
+
+
+def test_written_tables_can_be_dropped(spark):
+    from paneltide import session
+
+    kept, session._WRITTEN[:] = list(session._WRITTEN), []
+    df = session.materialise(spark.range(5), "drop_me")
+    path = df.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
+    assert df.count() == 5 and os.path.isdir(path)
+    assert session.drop_materialised(spark) == 1 and not os.path.exists(path)
+    session._WRITTEN[:] = kept
