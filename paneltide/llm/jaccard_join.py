@@ -467,8 +467,12 @@ def jaccard_components(
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its component's smallest (all columns kept;
     of rows repeated under that doc_id, one is kept). Rows with a null doc_id stay."""
-    found = jaccard_components(docs, width, percent)
+    found = materialise(jaccard_components(docs, width, percent).select("doc_id", "component_id"), "jj-found")
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__jj_id")).distinct()
     kept = docs.join(drop, docs["doc_id"] == drop["__jj_id"], "left_anti")
-    with_id = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return with_id.unionByName(kept.where(F.col("doc_id").isNull()))
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__jj_id"))
+    if again.isEmpty():
+        return kept
+    again = materialise(again, "jj-again")  # ids of repeated rows: only those texts are compared
+    single = kept.join(again, kept["doc_id"] == again["__jj_id"], "left_anti")
+    return single.unionByName(kept.join(again, kept["doc_id"] == again["__jj_id"], "left_semi").dropDuplicates(["doc_id"]))
