@@ -43,18 +43,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
-units AS (SELECT doc_id, unnest(p) AS unit, unnest(range(1, len(p) + 1)) AS idx, len(p) AS n FROM parts),
-normed AS (
-  SELECT *, trim(regexp_replace(lower(unit), '[ \t\n\r\f\v]+', ' ', 'g')) AS norm,
-         length(unit) + CASE WHEN idx < n THEN 1 ELSE 0 END AS width FROM units),
-ranked AS (
-  SELECT *, len(string_split(norm, ' ')) >= 6 AS eligible,
-         row_number() OVER (PARTITION BY norm ORDER BY doc_id, idx) AS rk FROM normed),
-marked AS (SELECT *, eligible AND rk > 1 AS gone FROM ranked),
+lines AS (SELECT doc_id, unnest(p) AS line, unnest(range(1, len(p) + 1)) AS li, len(p) AS nl FROM parts),
+placed AS (
+  SELECT *, length(line) + CASE WHEN li < nl THEN 1 ELSE 0 END AS width,
+         sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY li) - length(line) - 1 AS start FROM lines),
+cut AS (SELECT *, CASE WHEN line = '' THEN [''] ELSE regexp_extract_all(line, '.*?[.!?][ \t]+|.+') END AS s FROM placed),
+sents AS (SELECT doc_id, li, nl, start AS line_start, unnest(s) AS unit, unnest(range(1, len(s) + 1)) AS si, len(s) AS ns FROM cut),
+spots AS (
+  SELECT *, length(unit) + CASE WHEN si = ns AND li < nl THEN 1 ELSE 0 END AS width,
+         line_start + sum(length(unit)) OVER (PARTITION BY doc_id, li ORDER BY si) - length(unit) AS start FROM sents),
+every AS (
+  SELECT doc_id, start, trim(regexp_replace(lower(line), '[ \t\n\r\f\v]+', ' ', 'g')) AS norm FROM placed
+  UNION ALL SELECT doc_id, start, trim(regexp_replace(lower(unit), '[ \t\n\r\f\v]+', ' ', 'g')) FROM spots),
+first AS (SELECT norm, min(struct_pack(d := doc_id, s := start)) AS f FROM every WHERE len(string_split(norm, ' ')) >= 6 GROUP BY norm),
+gone_lines AS (
+  SELECT p.doc_id, p.li, true AS g FROM placed p JOIN first ON first.norm = trim(regexp_replace(lower(p.line), '[ \t\n\r\f\v]+', ' ', 'g'))
+  WHERE struct_pack(d := p.doc_id, s := p.start) <> first.f),
+marked AS (
+  SELECT t.*, coalesce(g.g, false) OR coalesce(struct_pack(d := t.doc_id, s := t.start) <> first.f, false) AS gone FROM spots t
+  LEFT JOIN first ON first.norm = trim(regexp_replace(lower(t.unit), '[ \t\n\r\f\v]+', ' ', 'g'))
+  LEFT JOIN gone_lines g ON g.doc_id = t.doc_id AND g.li = t.li),
 kept AS (
   SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
          coalesce(sum(width) FILTER (WHERE gone), 0)::BIGINT AS chars_removed,
-         coalesce(string_agg(unit || CASE WHEN idx < n THEN chr(10) ELSE '' END, '' ORDER BY idx) FILTER (WHERE NOT gone), '') AS kept
+         coalesce(string_agg(unit || CASE WHEN si = ns AND li < nl THEN chr(10) ELSE '' END, '' ORDER BY li, si) FILTER (WHERE NOT gone), '') AS kept
   FROM marked GROUP BY doc_id)
 SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
        coalesce(chars_removed, 0) AS chars_removed, sha256(kept) AS kept_sha256
@@ -67,7 +79,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_units(table(spark, sf_dir, "documents"))
     spans = F.coalesce("removed", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
     return out.select(
-        "doc_id", "n_units", F.size(spans).cast("bigint").alias("n_removed"),
+        "doc_id", "n_units", "n_removed",
         F.aggregate(spans, F.lit(0).cast("bigint"), lambda t, s: t + s["stop"] - s["start"]).alias("chars_removed"),
         F.sha2("text", 256).alias("kept_sha256"),
     )

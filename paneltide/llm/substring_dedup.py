@@ -1,11 +1,14 @@
 """Substring dedup (operator 7) by line or paragraph hashing.
 
-A text is cut into units: lines (``\\n``) or paragraphs (blank lines). A unit is
+A text is cut into units: lines (``\\n``), paragraphs (blank lines), and, as the finest,
+the sentences of a line (up to ``.``, ``!`` or ``?`` before a blank), so a passage is also
+found where it stands inside a longer line. Several kinds may be asked for at once; a
+unit that repeats at any of them goes. A unit is
 normalised (lower case, runs of ASCII white space to one blank, trimmed) and hashed to 128
 bits; units with fewer than ``min_words`` words are never removed. Digests are grouped
 over all documents; the earliest ranked occurrence (smallest doc_id, then smallest
 offset) stays, every other one is removed from its text together with its line end. The
-removed spans are kept as code point offsets into the original text.
+removed spans are kept, merged, as code point offsets into the original text.
 
 Only digests, ids and offsets are shuffled by digest: the minimum is combined before the
 shuffle, and the join back is a plain equi-join whose hot digests AQE splits.
@@ -27,12 +30,21 @@ from pyspark.sql import functions as F
 
 MIN_WORDS = 6
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
+_SENTENCE = re.compile(r".*?[.!?][ \t]+|.+")
 _BREAK = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t]*\n\s*")}
 
 
 def units(text: str, kind: str) -> Iterator[tuple[int, int, int, str]]:
     """(start, end of the words, end with the break, unit) of every unit."""
     at = 0
+    if kind == "sentence":
+        for start, end, stop, line in units(text, "line"):
+            if not line:
+                yield start, end, stop, line
+            for m in _SENTENCE.finditer(line):
+                last = m.end() == len(line)
+                yield start + m.start(), start + m.end(), stop if last else start + m.end(), m.group()
+        return
     for m in _BREAK[kind].finditer(text):
         yield at, m.start(), m.end(), text[at : m.start()]
         at = m.end()
@@ -46,7 +58,7 @@ def digest(unit: str, min_words: int) -> bytes | None:
     return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _emit(kind: str, min_words: int):
+def _emit(kinds: tuple[str, ...], min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys, texts = (batch.column(i) for i in range(3))
@@ -54,7 +66,7 @@ def _emit(kind: str, min_words: int):
             for i, t in enumerate(texts.to_pylist()):
                 if t is None:
                     continue
-                for start, _, end, unit in units(t, kind):
+                for start, end, unit in {(a, z, u) for kind in kinds for a, _, z, u in units(t, kind)}:
                     d = digest(unit, min_words)
                     if d is not None:
                         for c, v in zip(cols, (i, start, end, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True))):
@@ -68,40 +80,50 @@ def _emit(kind: str, min_words: int):
     return run
 
 
-def _cut(kind: str):
+def _cut(kinds: tuple[str, ...]):
+    """Texts without their spans; units are counted at the finest (last) kind."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            kept, total = [], []
-            for t, gone in zip(texts, spans):
-                if t is None:
-                    kept.append(None)
-                    total.append(0)
-                    continue
-                total.append(sum(1 for _ in units(t, kind)))
+            cols: list[list] = [[], [], [], []]
+            for t, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                merged: list[list[int]] = []
+                for x in sorted((s["start"], s["stop"]) for s in gone or ()):
+                    if merged and x[0] <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], x[1])
+                    else:
+                        merged.append(list(x))
+                total = inside = k = 0
+                for start, _, stop, _ in units(t, kinds[-1]) if t is not None else ():
+                    total += 1
+                    while k < len(merged) and merged[k][1] <= start:
+                        k += 1
+                    inside += k < len(merged) and merged[k][0] <= start and stop <= merged[k][1] and stop > start
                 out, at = [], 0
-                for s in sorted(gone or [], key=lambda s: s["start"]):
-                    out.append(t[at : s["start"]])
-                    at = s["stop"]
-                kept.append("".join([*out, t[at:]]) if out else t)
+                for a, z in merged:
+                    out.append(t[at:a])
+                    at = z
+                for c, v in zip(cols, (total, inside, [{"start": a, "stop": z} for a, z in merged], "".join([*out, t[at:]]) if merged else t)):
+                    c.append(v)
+            span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.record_batch(
-                [batch.column(0), pa.array(total, pa.int64()), batch.column(2), pa.array(kept, pa.string())],
-                names=["doc_id", "n_units", "removed", "text"],
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), span, pa.string())))],
+                names=["doc_id", "n_units", "n_removed", "removed", "text"],
             )
 
     return run
 
 
-def dedup_units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, n_units, removed array<struct<start,stop>>, text) for each row of
-    ``docs(doc_id, text)``; ``text`` is what stays."""
+def dedup_units(docs: DataFrame, kinds: tuple[str, ...] = ("line", "sentence"), min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, n_units, n_removed, removed array<struct<start,stop>>, text) for each row of
+    ``docs(doc_id, text)``; ``text`` is what stays, units are counted at the last kind."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    found = own.mapInArrow(_emit(kind, min_words), "doc_id bigint, key bigint, start bigint, stop bigint, d1 bigint, d2 bigint")
+    found = own.mapInArrow(_emit(kinds, min_words), "doc_id bigint, key bigint, start bigint, stop bigint, d1 bigint, d2 bigint")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("start"))
     first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     gone = found.join(first, ["d1", "d2"]).where(~rank.eqNullSafe(F.col("first")))
     gone = gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("removed"))
     gone = gone.select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), "removed")
     joined = own.join(gone, own["doc_id"].eqNullSafe(gone["g_id"]) & (own["key"] == gone["g_key"]), "left").select("doc_id", "text", "removed")
-    return joined.mapInArrow(_cut(kind), "doc_id bigint, n_units bigint, removed array<struct<start:bigint,stop:bigint>>, text string")
+    return joined.mapInArrow(_cut(kinds), "doc_id bigint, n_units bigint, n_removed bigint, removed array<struct<start:bigint,stop:bigint>>, text string")

@@ -101,16 +101,30 @@ def test_units_keep_the_earliest(spark):
     long = "a line of six words or more"
     rows = [(3, f"{long}\nshort one\nown text of the third document here"), (1, f"x\n{long.upper()}  \n{long}"), (2, None), (4, ""), (None, long), (5, long)]
     docs = documents(spark, rows)
-    got = {r.doc_id: r for r in substring_dedup.dedup_units(docs).collect()}
+    got = {r.doc_id: r for r in substring_dedup.dedup_units(docs, kinds=("line",)).collect()}
     assert got[1].text == f"x\n{long.upper()}  \n" and [(s.start, s.stop) for s in got[1].removed] == [(32, 59)]
     assert got[3].text == "short one\nown text of the third document here"
     assert got[2].text is None and got[4].text == "" and got[5].text == "" and got[None].text == ""
     assert got[4].n_units == 1 and got[2].n_units == 0
-    para = substring_dedup.dedup_units(documents(spark, [(1, f"{long}\n{long}\n\nb"), (2, f"c\n \n{long}\n{long}")]), kind="paragraph")
+    para = substring_dedup.dedup_units(documents(spark, [(1, f"{long}\n{long}\n\nb"), (2, f"c\n \n{long}\n{long}")]), kinds=("paragraph",))
     assert {r.doc_id: r.text for r in para.collect()} == {1: f"{long}\n{long}\n\nb", 2: "c\n \n"}
     assert substring_dedup.dedup_units(docs.limit(0)).collect() == []
 
 
+def test_a_passage_inside_longer_lines_goes(spark):
+    passage = "the first of the repeated sentences here. and the second one of them follows. a short one. and this is the last sentence of it."
+    rows = [(1, f"own words at the start of one {passage} more words of the first"), (2, f"x y z. {passage} other words of the second\nkept."), (3, f"{passage}\nend")]
+    got = {r.doc_id: r for r in substring_dedup.dedup_units(documents(spark, rows)).collect()}
+    assert got[1].text == rows[0][1]
+    assert got[2].text == "x y z. the first of the repeated sentences here. a short one. other words of the second\nkept."
+    assert got[3].text == "a short one. end" and got[3].n_units == 5 and got[3].n_removed == 3
+    for d, t in rows:  # the spans give back the kept text
+        spans, at, out = got[d].removed, 0, ""
+        for s in spans:
+            out, at = out + t[at : s.start], s.stop
+        assert out + t[at:] == got[d].text
+
+
 # -------------------------------------------------------------- decontamination
 
 
