@@ -98,25 +98,35 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def pairs_of(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
+def pairs_of(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Pairs (i in left, j in right) of rows of ``x`` with cosine >= threshold, and how
-    many pairs were recomputed exactly."""
+    many pairs were recomputed exactly. ``fresh`` (left x right) limits the pairs."""
     with np.errstate(over="ignore"):
         unit = x / np.abs(x).max(axis=1, keepdims=True)
     unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
     turned, signs, factor = codes(unit)
     bits = turned.shape[1]
-    estimate = turned[left].astype(np.float32) @ signs[right].T.astype(np.float32)
-    estimate /= (np.sqrt(bits) * factor[right]).astype(np.float32)
-    error = np.sqrt(np.maximum(0, 1 - factor[right] ** 2) / factor[right] ** 2 / (bits - 1))
-    i, j = np.nonzero(estimate >= (threshold - SIGMAS * error - 1e-4).astype(np.float32))
-    i, j = left[i], right[j]
-    exact = np.empty(len(i))
-    for lo in range(0, len(i), 1 << 16):
-        s = slice(lo, lo + (1 << 16))
-        exact[s] = np.einsum("ij,ij->i", unit[i[s]], unit[j[s]])
-    hit = exact >= threshold
-    return i[hit], j[hit], len(i)
+    error = np.sqrt(np.maximum(0, 1 - factor**2) / factor**2 / (bits - 1))
+    least = (threshold - SIGMAS * error - 1e-4) * np.sqrt(bits) * factor  # of <rotated, signs>
+    if fresh is None:
+        fresh = np.ones((len(left), len(right)), dtype=bool)
+    if fresh.sum() * 16 < fresh.size:  # few pairs: one by one
+        i, j = np.nonzero(fresh)
+        keep = [np.einsum("ij,ij->i", turned[left[i[s]]], signs[right[j[s]]]) >= least[right[j[s]]] for s in _slices(len(i), 1 << 13)]
+        keep = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
+        i, j = i[keep], j[keep]
+    else:
+        i, j = np.nonzero((turned[left].astype(np.float32) @ signs[right].T.astype(np.float32) >= least[right].astype(np.float32)) & fresh)
+    if len(i) * 16 < fresh.size:
+        exact = [np.einsum("ij,ij->i", unit[left[i[s]]], unit[right[j[s]]]) for s in _slices(len(i), 1 << 16)]
+        hit = np.concatenate(exact) >= threshold if exact else np.zeros(0, dtype=bool)
+    else:
+        hit = (unit[left] @ unit[right].T)[i, j] >= threshold
+    return left[i[hit]], right[j[hit]], len(i)
+
+
+def _slices(n: int, step: int) -> list[slice]:
+    return [slice(a, min(a + step, n)) for a in range(0, n, step)]
 
 
 def _bucket(threshold: float):
@@ -128,11 +138,11 @@ def _bucket(threshold: float):
         same = (side == 2).all()  # one block with itself
         left, right = (np.arange(len(cls)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         if len(left) and len(right):
-            i, j, _ = pairs_of(x, left, right, threshold)
-            keep = i < j if same else np.ones(len(i), dtype=bool)
-            if table:
-                keep &= ~(blocks[i, :table] == blocks[j, :table]).any(axis=1)
-            i, j = i[keep], j[keep]
+            # pairs that share an earlier block are handled there
+            fresh = left[:, None] < right[None, :] if same else np.ones((len(left), len(right)), dtype=bool)
+            for t in range(table):
+                fresh &= blocks[left, t][:, None] != blocks[right, t][None, :]
+            i, j, _ = pairs_of(x, left, right, threshold, fresh)
         else:
             i = j = np.zeros(0, np.int64)
         links = np.bincount(i, weights=weight[j], minlength=len(cls)) + np.bincount(j, weights=weight[i], minlength=len(cls))
