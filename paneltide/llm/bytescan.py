@@ -1,6 +1,6 @@
 """Vectorised scans over the UTF-8 bytes of Arrow text columns (used inside tasks).
 
-Every helper works on one *chunk*: a run of rows whose texts hold a few megabytes
+Every helper works on one *chunk*: a run of rows whose texts hold a half a megabyte
 together, so memory is bounded whatever the Arrow batch holds. A single text larger
 than a chunk forms a chunk of its own.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 _MIX1, _MIX2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
@@ -48,7 +48,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         steps = np.full(size, base, dtype=U64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if size > 8 * CHUNK_BYTES:  # one oversized text: do not keep its table
+        if size > 16 * CHUNK_BYTES:  # one oversized text: do not keep its table
             return have
         _POW[key] = have
     return have[:n]

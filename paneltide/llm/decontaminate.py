@@ -203,7 +203,7 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[ItemIndex]:
 def _scan(batch: pa.RecordBatch, at: int, index: ItemIndex) -> Iterator[tuple[int, int, int, float]]:
     np.seterr(over="ignore")
     low = pc.utf8_lower(batch.column(at).cast(pa.large_string()))
-    for lo, _, data, offs in B.text_chunks(low, 1 << 20):
+    for lo, _, data, offs in B.text_chunks(low):
         for row, item, start, sim in index.find(data, offs):
             yield lo + row, item, start, sim
 

@@ -34,7 +34,7 @@ from ..session import materialise
 BITS = 16
 ALPHA = 0.1
 MAX_MODEL_BYTES = 256 << 20
-_CHUNK_CHARS = 1 << 20
+_CHUNK_CHARS = 1 << 18
 UNDETERMINED = "und"
 
 _LETTER: list[np.ndarray] = []
