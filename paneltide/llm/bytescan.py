@@ -1,6 +1,6 @@
 """Vectorised scans over the UTF-8 bytes of Arrow text columns (used inside tasks).
 
-Every helper works on one *chunk*: a run of rows whose texts hold a half a megabyte
+Every helper works on one *chunk*: a run of rows whose texts hold about half a megabyte
 together, so memory is bounded whatever the Arrow batch holds. A single text larger
 than a chunk forms a chunk of its own.
 """
