@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         # large star: the larger neighbours of u hang on the smallest of u and its neighbours
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u and its smaller neighbours hang on the smallest of them
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
