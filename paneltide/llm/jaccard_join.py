@@ -16,7 +16,7 @@ gives each document the smallest doc_id it can reach.
    which replicates it over the borders. Inside a region, members whose sizes are more
    than a factor t apart, or whose places of ``s`` add up to too many differing
    shingles, cannot link. The rest of a small region are pairs, kept only if their
-   counts in 64 fixed cells of the shingle space (distances to 64 fixed pivots) differ
+   counts in fixed cells of the shingle space (distances to fixed pivots) differ
    by no more than linked sets may; a large region is chained by size. What is connected
    by then is merged, and every link lies inside one merged region.
 3. **Region join.** A region that fits a task is joined exactly by document pivots: the
@@ -55,7 +55,7 @@ SKETCH_PART = 1 << 16
 REGION_SHINGLES = 1_000_000  # largest region (in shingles) that one task joins
 PIVOTS = 16
 SMALL_REGION = 64  # rows of a pivot's region that are paired; more are chained
-CELLS = 64  # fixed parts of the shingle space whose counts bound the difference of sets
+CELL_SHINGLES = 16  # shingles a cell; the counts in fixed cells bound the difference of sets
 
 _SUMMARY = "doc_id bigint, n bigint, class bigint, cells binary, part int, counts binary"
 
@@ -77,6 +77,16 @@ def _classes(row: np.ndarray, h: np.ndarray, rows: int, n: np.ndarray) -> np.nda
     return B.mix(total + n.astype(np.uint64)).view(np.int64)
 
 
+def _cells(h: np.ndarray) -> bytes:
+    """How many shingles of a set fall in each fixed cell; the number of cells, a power of
+    two, follows the size of the set, and a finer division refines a coarser one."""
+    k = 16
+    while k * CELL_SHINGLES < len(h):
+        k *= 2
+    count = np.bincount(((h >> np.uint64(20)) & np.uint64(k - 1)).astype(np.int64), minlength=k)
+    return np.minimum(count, 65535).astype("<u2").tobytes()
+
+
 def _summarise(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -86,11 +96,11 @@ def _summarise(width: int):
             for lo, hi, n, row, h in _sets(batch, width):
                 sketch += np.bincount((h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
                 m = hi - lo
-                cells = np.bincount(row * CELLS + (h >> np.uint64(40)).astype(np.int64) % CELLS, minlength=m * CELLS)
-                cells = np.minimum(cells, 65535).astype("<u2").reshape(m, CELLS)
+                at = np.concatenate([[0], np.cumsum(n)])
+                cells = [_cells(h[at[k] : at[k + 1]]) for k in range(m)]
                 yield pa.record_batch(
                     [ids.slice(lo, m).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(_classes(row, h, m, n)),
-                     pa.array([c.tobytes() for c in cells], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                     pa.array(cells, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                     names=["doc_id", "n", "class", "cells", "part", "counts"],
                 )
         if sketch.any():
@@ -211,9 +221,16 @@ def _near_cells(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
-            n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            keep = np.abs(a - b).sum(axis=1) * (100 + percent) <= (100 - percent) * n
+            n = (batch.column(4).to_numpy() + batch.column(5).to_numpy()).tolist()
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                a, b = (np.frombuffer(v, dtype="<u2").astype(np.int64) for v in (x, y))
+                k = min(len(a), len(b))  # the finer counts are added up to the coarser cells
+                a, b = (v.reshape(-1, k).sum(axis=0) for v in (a, b))
+                if max(a.max(), b.max()) < 65535:
+                    keep[i] = np.abs(a - b).sum() * (100 + percent) <= (100 - percent) * n[i]
+                else:  # a count at the end of its range says nothing
+                    keep[i] = True
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep))
 
     return run
@@ -444,7 +461,8 @@ def jaccard_components(
     wanted = regions.join(reps, regions["node"] == reps["class"]).select(F.col("root").alias("region"), F.col("class").alias("want"), "rep", "n")
     wanted = materialise(wanted, "jj-wanted")
     wanted = wanted.join(wanted.groupBy("region").agg(F.sum("n").alias("total")), "region").drop("n")
-    members = own.join(wanted, own["doc_id"].eqNullSafe(wanted["rep"])).select("region", "total", "want", "text")
+    # the same sort-merge join at every size: the wanted texts grow with the corpus
+    members = own.join(wanted.hint("merge"), own["doc_id"].eqNullSafe(wanted["rep"])).select("region", "total", "want", "text")
     members = materialise(members.mapInArrow(_with_sets(width), "region bigint, total bigint, class bigint, n bigint, set binary"), "jj-members")
     small = members.where(F.col("total") <= region_shingles).select("region", "class", "set")
     edges = small.groupBy("region").applyInArrow(_join_small(percent), "src bigint, dst bigint")
