@@ -100,7 +100,7 @@ def _zip(*arrays: np.ndarray) -> bytes:
             a = np.ascontiguousarray(((a << 1) ^ (a >> 63)).view(np.uint8).reshape(-1, 8).T)
         raw = a.tobytes()
         out.append(struct.pack("<I", len(raw)) + raw)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def _unzip(data: bytes, kinds: str) -> list[np.ndarray]:
@@ -202,12 +202,23 @@ def _contexts(parts: int, length: int, k: int):
     return run
 
 
+def _earliest(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """The earliest place of each digest among rows (w1, w2, doc_id, key, at)."""
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+    return [c[new] for c in cols]
+
+
 def _hot_windows(length: int, k: int):
-    """Digests (two 64-bit hashes) and places of the windows of hot anchors."""
+    """Digests (two 64-bit hashes) and earliest places of the windows of hot anchors,
+    combined for each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
+            best = [np.zeros(0, np.int64)] * 5
             for data, offs, ids, keys, row, _, first, last, _ in _wanted(batch, length, k):
                 if len(row) == 0:
                     continue
@@ -215,10 +226,9 @@ def _hot_windows(length: int, k: int):
                 start, of = _spread(first, n), np.repeat(row, n)
                 at = offs[of] + start
                 w = [B.span_hash(B.prefix_hash(data, B.byte_table(seed)), at, at + length).view(np.int64) for seed in (11, 13)]
-                yield pa.record_batch(
-                    [pa.array(w[0]), pa.array(w[1]), pa.array(ids[of]), pa.array(keys[of]), pa.array(start.astype(np.int64))],
-                    names=["w1", "w2", "doc_id", "key", "at"],
-                )
+                found = _earliest([*w, ids[of], keys[of], start.astype(np.int64)])
+                best = _earliest([np.concatenate(c) for c in zip(best, found)])
+            yield pa.record_batch([pa.array(c) for c in best], names=["w1", "w2", "doc_id", "key", "at"])
 
     return run
 
