@@ -5,8 +5,12 @@ Lines are parsed like log records. A token that holds a digit is a variable fiel
 tokens; the lines that share a path form a leaf. A leaf generalises its remaining
 fields: at each position its template has the token found in most (document, line)
 pairs; positions where a line differs from it are that line's fields, and a line belongs
-to the template if at least ``similar`` percent of its tokens equal it. Besides, every
-masked line is a template of its own. A template recurs if it is found in at least
+to the template if at least ``similar`` percent of its tokens equal it. The lines of a
+leaf that did not match vote again, round by round, so a leaf keeps all the templates its
+votes find; a group of lines whose template does not recur (the votes of several templates
+can mix) is split by the most frequent tokens that only some of its lines have. A template
+whose field values are more frequent than its fixed tokens can be split with them, and each
+part then has to recur by itself. Besides, every masked line is a template of its own. A template recurs if it is found in at least
 ``min_docs`` different documents; its lines are dropped but for the earliest one
 (smallest doc_id, then line number), so no content leaves the corpus entirely.
 
@@ -96,6 +100,39 @@ def _tokens(depth: int):
     return run
 
 
+def _round(lines: DataFrame, rest: DataFrame, depth: int, similar: int, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """One vote in each group of ``rest``: (leaf, line, first) of the lines whose template
+    recurs, and the tokens of the other lines in the groups of the next round."""
+    votes = rest.groupBy("grp", "pos", "token").agg(F.sum("n_docs").alias("votes"), F.count("*").alias("n_lines"))
+    modal = votes.groupBy("grp", "pos").agg(F.min(F.struct((-F.col("votes")).alias("v"), "token")).getField("token").alias("token"))
+    # the leading tokens are equal by construction: min(depth, width - 1) of them
+    equal = rest.join(modal, ["grp", "pos", "token"]).groupBy("grp", "leaf", "line").agg(F.count("*").alias("same"), F.max("width").alias("width"))
+    equal = equal.where((F.col("same") + F.least(F.lit(depth), F.col("width") - 1)) * 100 >= F.lit(similar) * F.col("width"))
+    matched = equal.select("grp", "leaf", "line")
+    members = lines.join(matched, ["leaf", "line"])
+    general = members.groupBy("grp", "doc_id").agg(F.min(F.struct("idx", "key")).alias("f")).groupBy("grp").agg(
+        F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("f.idx").alias("idx"))).alias("first")
+    ).where(F.col("n") >= min_docs).drop("n")
+    found = materialise(matched.join(general, "grp"), "lt-found")
+    # groups that gave a template vote again without its lines; in the others each line
+    # follows its most frequent token that not all lines of the group have
+    left = rest.join(found.select("leaf", "line"), ["leaf", "line"], "left_anti")
+    size = rest.groupBy("grp").agg(F.countDistinct("leaf", "line").alias("m")).join(found.select("grp").distinct(), "grp", "left_anti")
+    apart = votes.join(size, "grp").where(F.col("n_lines") < F.col("m")).select("grp", "pos", "token", "votes")
+    dealt = left.join(apart, ["grp", "pos", "token"]).groupBy("grp", "leaf", "line").agg(
+        F.max("n_docs").alias("n_docs"), F.min(F.struct((-F.col("votes")).alias("v"), "pos", "token")).alias("by")
+    ).select(F.xxhash64("grp", "by.pos", "by.token").alias("to"), "leaf", "line", "n_docs")
+    again = left.join(found.select("grp").distinct(), "grp", "left_semi").select(F.col("grp").alias("to"), "leaf", "line", "n_docs").distinct()
+    moved = dealt.union(again)
+    # groups found in too few documents are done; so is a line alone, dropped as an exact one
+    several = moved.groupBy("to").agg(F.sum("n_docs").alias("n"), F.count("*").alias("m")).where((F.col("n") >= min_docs) & (F.col("m") > 1)).select("to")
+    moved = materialise(moved.join(several, "to"), "lt-moved")
+    enough = lines.join(moved, ["leaf", "line"]).select("to", "doc_id").distinct().groupBy("to").count().where(F.col("count") >= min_docs).select("to")
+    moved = moved.join(enough, "to").select("leaf", "line", "to")
+    left = left.join(moved, ["leaf", "line"]).drop("grp").withColumnRenamed("to", "grp")
+    return found.select("leaf", "line", "first"), materialise(left, "lt-rest")
+
+
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, similar: int = SIMILAR, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc_id, key, idx) of the lines to drop; ``key`` is the hash of the text."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
@@ -119,18 +156,16 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similar: int = SIMILAR,
     texts = own.join(reps.hint("merge"), own["doc_id"].eqNullSafe(reps["r_id"]) & (own["key"] == reps["r_key"])).select("doc_id", "key", "text", "wanted")
     texts = texts.dropDuplicates(["doc_id", "key"]).select("text", "wanted")
     tokens = materialise(texts.mapInArrow(_tokens(depth), "leaf bigint, line bigint, n_docs bigint, width bigint, pos bigint, token string"), "lt-tokens")
-    votes = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("votes"))
-    votes = votes.groupBy("leaf", "pos").agg(F.min(F.struct((-F.col("votes")).alias("v"), "token")).getField("token").alias("token"))
-    # the leading tokens are equal by construction: min(depth, width - 1) of them
-    equal = tokens.join(votes, ["leaf", "pos", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("same"), F.max("width").alias("width"))
-    equal = equal.where((F.col("same") + F.least(F.lit(depth), F.col("width") - 1)) * 100 >= F.lit(similar) * F.col("width"))
-    matched = equal.select("leaf", "line")
-    members = lines.join(matched, ["leaf", "line"])
-    general = members.groupBy("leaf", "doc_id").agg(F.min(F.struct("idx", "key")).alias("f")).groupBy("leaf").agg(
-        F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("f.idx").alias("idx"))).alias("first")
-    ).where(F.col("n") >= min_docs).drop("n")
+    # a leaf starts as one group of lines; a round takes one template out of each group
+    rest = tokens.withColumn("grp", F.col("leaf"))
+    general = None
+    while True:
+        found, rest = _round(lines, rest, depth, similar, min_docs)
+        general = found if general is None else general.union(found)
+        if rest.isEmpty():
+            break
     here = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "idx")
-    by_leaf = members.join(general, "leaf").where(~here.eqNullSafe(F.col("first"))).select("doc_id", "key", "idx")
+    by_leaf = lines.join(general, ["leaf", "line"]).where(~here.eqNullSafe(F.col("first"))).select("doc_id", "key", "idx")
     exact = exact.select("leaf", "line", F.struct(F.col("first.no").alias("no"), F.col("first.doc_id").alias("doc_id"), F.col("first.idx").alias("idx")).alias("first"))
     by_line = lines.join(exact, ["leaf", "line"]).where(~here.eqNullSafe(F.col("first"))).select("doc_id", "key", "idx")
     return by_leaf.union(by_line).distinct()

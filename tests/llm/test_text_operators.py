@@ -85,6 +85,22 @@ def test_templates_generalise_fields_and_keep_the_first(spark):
     assert line_templates.recurring_lines(docs.limit(0)).collect() == []
 
 
+def test_a_leaf_keeps_all_its_templates(spark):
+    # (fields of its own at 5 and 11) of the 20 tokens of a log line
+    log = lambda name, i: f"2024-01-{i} 10:00:{i} INFO worker " + " ".join(f"{name}{chr(97 + i // 26)}{chr(97 + i % 26)}" if k in (5, 11) else f"{name}-{chr(97 + k)}" for k in range(4, 20))
+    for counts in ({"big": 60, "small": 40}, {"one": 20, "two": 20, "six": 20, "ten": 20, "few": 9}):
+        names = [(n, i) for n, c in counts.items() for i in range(c)]
+        # the votes of equal templates are mixed: each wins some positions
+        rows = [(d, log(n, i)) for d, (n, i) in enumerate(names)]
+        mixed = {w: "acbd"[(k + j) % 4] for j, n in enumerate(counts) for k in range(4, 20) for w in [f"{n}-{chr(97 + k)}"]}
+        rows = [(d, " ".join(mixed[w] + w if w in mixed else w for w in t.split(" "))) for d, t in rows]
+        docs = documents(spark, rows)
+        gone = {r.doc_id for r in line_templates.recurring_lines(docs).collect()}
+        firsts = {names.index((n, 0)) for n in counts}
+        few = {d for d, (n, _) in enumerate(names) if n == "few"}
+        assert gone == set(range(len(rows))) - firsts - few
+
+
 def test_templates_with_null_ids_and_repeated_rows(spark):
     line = "this very same line stands in all of the documents"
     rows = [(i, line) for i in range(10)] + [(0, line), (None, line), (None, line)]
