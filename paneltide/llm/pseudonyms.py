@@ -8,8 +8,8 @@ document, and different values different ones.
 ================  =============================  ==================================
 kind              validated by                   permuted domain (left x right half)
 ================  =============================  ==================================
-card              13-19 digits, Luhn             all digits but the check digit, which is
-                                                 computed anew
+card              13-19 digits (whole groups of  all digits but the check digit, which is
+                  a longer run), Luhn            computed anew
 phone             +1 / national grouping         the 10 national digits
 ssn               3-2-4 digits, no 000/666/9xx   9 digits
 ip                four octets up to 255          2**16 x 2**16
@@ -40,13 +40,17 @@ ROUNDS = 8
 
 # Fixed patterns of the candidate forms (Java regular expressions).
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=password=)[^\s\"']{6,64}|(?<=token = \")[^\s\"']{8,64}"
+SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=password=)[^\s\"']{6,}|(?<=token = \")[^\s\"']{8,}"
 PHONE = r"(?<![\w+.-])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"
-CANDIDATE = "|".join([EMAIL, SECRET, PHONE, IP, DATE, SSN, CARD])
+# 13 to 19 digits and the short digit groups that follow: a card can begin or end at any border of the groups
+CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)(?:[ -]\d{1,12}(?![\w]|\.\d))*+"
+CANDIDATE = "|".join([SECRET, EMAIL, PHONE, IP, DATE, SSN, CARD])
+# the same with the secrets as group 1, and what a text with a candidate holds
+_MARKED = f"({SECRET})" + CANDIDATE[len(SECRET) :]
+_LABEL = r"password=|token = \"|AKIA"
 
 
 def _lit(s: str) -> str:
@@ -108,24 +112,41 @@ def _luhn(d: str) -> str:
     )
 
 
-# kind of a candidate x, by its form (checks that need arithmetic follow in _valid)
+# kind of a candidate x that is no secret, by its form (checks that need arithmetic follow in _valid)
 _KIND = f"""case
  when x like '%@%' and x rlike {_lit('^' + EMAIL + '$')} then 'email'
  when x rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' then 'ip'
  when x rlike '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}|[0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{4}})$' then 'date'
  when x rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then 'ssn'
  when x rlike '^([+]1[ .-]?)?([(][0-9]{{3}}[)] ?|[0-9]{{3}}[.-])[0-9]{{3}}[.-][0-9]{{4}}$' then 'phone'
- when x rlike '^[0-9]([ -]?[0-9]){{12,18}}$' then 'card'
- else 'secret' end"""
+ else 'card' end"""
 
 _DAY = """case when x like '%-%' then try_to_date(x, 'yyyy-MM-dd') when x like '%/%' then try_to_date(x, 'dd/MM/yyyy')
  else try_to_date(x, 'dd.MM.yyyy') end"""
 
 
+#: pieces of a card candidate: digit groups with the separator before each
+_GROUPS = "split(x, '(?=[ -])')"
+
+
+def _runs(g: str, i: str) -> str:
+    """SQL of the numbers of groups, largest first, that from the i-th of ``g`` on make a card."""
+    d = f"regexp_replace(array_join(slice({g}, {i}, n), ''), '[^0-9]', '')"
+    ok = f"length(d) between 13 and 19 and d rlike '[1-9]' and {_luhn('d')} % 10 = 0"
+    return f"filter(sequence(least(size({g}) - {i} + 1, 19), 1, -1), n -> transform(array({d}), d -> if(length(d) between 13 and 19, {ok}, false))[0])"
+
+
+def _cards(card: str) -> str:
+    """SQL of the candidate x with every card in it, from the left, replaced by ``card`` of x."""
+    first = f"""if(size(h) = 0, named_struct('t', concat(s.t, g[i - 1]), 'skip', 0), named_struct('t', concat(s.t, regexp_extract(g[i - 1], '^[ -]?', 0),
+ transform(array(regexp_replace(array_join(slice(g, i, h[0]), ''), '^[ -]', '')), x -> {card})[0]), 'skip', h[0] - 1))"""
+    step = f"if(s.skip > 0, named_struct('t', s.t, 'skip', s.skip - 1), transform(array({_runs('g', 'i')}), h -> {first})[0])"
+    return f"transform(array({_GROUPS}), g -> aggregate(sequence(1, size(g)), named_struct('t', '', 'skip', 0), (s, i) -> {step}).t)[0]"
+
+
 def _valid() -> str:
-    d = "regexp_replace(x, '[^0-9]', '')"
     return f"""case v.kind
- when 'card' then {_luhn(d)} % 10 = 0 and {d} rlike '[1-9]'
+ when 'card' then transform(array({_GROUPS}), g -> exists(sequence(1, size(g)), i -> size({_runs('g', 'i')}) > 0))[0]
  when 'ip' then forall(split(x, '[.]'), o -> cast(o as int) <= 255)
  when 'date' then coalesce(year({_DAY}) between 1900 and 2099, false)
  when 'ssn' then not x rlike '^(000|666|9)' and not x like '%-00-%' and not x like '%-0000'
@@ -150,7 +171,7 @@ def _pseudonym(key: str) -> str:
     local = "substring_index(x, '@', 1)"
     named = lambda digits: f"transform(array({digits}), y -> {_refill('x', 'y')})[0]"
     return f"""case v.kind
- when 'card' then {named(card)}
+ when 'card' then {_cards(named(card))}
  when 'phone' then {named(phone)}
  when 'ssn' then {named(_digits(d, 'ssn', key))}
  when 'ip' then {ip}
@@ -164,8 +185,9 @@ def with_pseudonyms(docs: DataFrame, key: str, column: str = "text", out: str =
     array<struct<kind, valid, pseudonym>> in text order."""
     text = f"`{column}`"
     pattern = _lit(CANDIDATE)
-    step = docs.withColumn("__pii_m", F.expr(f"if({text} rlike '[0-9@]', regexp_extract_all({text}, {pattern}, 0), array())"))
-    kinds = f"transform(__pii_m, x -> named_struct('x', x, 'kind', {_KIND}))"
+    step = docs.withColumn("__pii_m", F.expr(f"if({text} rlike {_lit('[0-9@]|' + _LABEL)}, regexp_extract_all({text}, {pattern}, 0), array())"))
+    step = step.withColumn("__pii_s", F.expr(f"if({text} rlike {_lit(_LABEL)}, regexp_extract_all({text}, {_lit(_MARKED)}, 1), array())"))
+    kinds = f"transform(__pii_m, (x, i) -> named_struct('x', x, 'kind', if(coalesce(get(__pii_s, i), '') <> '', 'secret', {_KIND})))"
     step = step.withColumn("__pii_v", F.expr(kinds))
     judged = f"transform(__pii_v, v -> transform(array(v.x), x -> named_struct('x', x, 'kind', v.kind, 'valid', {_valid()}))[0])"
     step = step.withColumn("__pii_j", F.expr(judged))
