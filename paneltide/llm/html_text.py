@@ -10,7 +10,9 @@
    is judged by how such nodes behave elsewhere (a node seen on fewer than ``MIN_PAGES``
    distinct pages in all has importance 1). Nodes whose presentation names a role
    that is never main text (menus, site headers and footers, sidebars, notices, adverts,
-   forms, scripts, styles, reader comments) have importance 0.
+   forms, scripts, styles, reader comments) have importance 0. A class or id names a role
+   by its last word, but not after has-, no- and the like, and never for body, main,
+   article or an element around them; those are judged by their entropy.
 4. Branches of importance below ``threshold`` are removed from each page; what is left is
    the page's text: white space inside a block becomes one blank, blocks are trimmed and
    joined in page order by one line feed, empty ones vanish. Character references are
@@ -58,6 +60,10 @@ NOISE_WORDS = set(
     "footer cookie cookies consent notice notices newsletter subscribe signup login share sharing social comment comments disqus related popup modal "
     "overlay widget pagination pager toolbar complementary contentinfo search hidden".split()
 )
+#: before a role word: the name says what a node has or lacks, not what it is
+OTHER_WORDS = set("no non not has have with without".split())
+#: elements whose names, and those of the elements around them, give no role
+TEXT_TAGS = MAIN_TAGS | {"body"}
 #: not main text unless inside the article
 OUTER_WORDS = {"header", "masthead", "topbar"}
 
@@ -70,6 +76,12 @@ def _id(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def _role(name: str) -> str:
+    """What a class or id says a node is: its last word, or none after has-, no- and the like."""
+    words = [w for w in _SPLIT.split(name) if w and not w.isdigit()]
+    return words[-1] if words and OTHER_WORDS.isdisjoint(words[:-1]) else ""
+
+
 class Page:
     """Nodes (parent, path, role) and blocks of text pieces of one page."""
 
@@ -81,6 +93,7 @@ class Page:
         stack: list[tuple[str, int]] = [("", 0)]  # open elements: tag, node
         block: list[tuple[int, str]] = []
         main = 0  # open article elements
+        by_tag, by_name, text_tag = [False], [False], [False]
         at, n = 0, len(source)
         while at < n:
             m = _TAG.search(source, at)
@@ -121,19 +134,23 @@ class Page:
             node = stack[-1][1]
             attrs = m.group(3)
             words: list[str] = []
+            roles: set[str] = set()
             if attrs and attrs.strip(" /\n\t"):
                 for name, a, b, c in _ATTR.findall(attrs):
                     name = name.lower()
                     if name in ("class", "id", "role"):
                         words += [w for w in _SPLIT.split((a or b or c).lower()) if w and not w.isdigit()]
+                        roles.update(_role(x) for x in (a or b or c).lower().split())
                     elif name == "hidden":
                         words.append("hidden")
+                        roles.add("hidden")
             if not inline or words:
                 style = ".".join([tag, *sorted(set(words))])
                 self.parent.append(node)
                 self.path.append(f"{self.path[node]}/{style}")
-                outer = main == 0 and (tag == "header" or not OUTER_WORDS.isdisjoint(words))
-                self.noise.append(self.noise[node] or tag in NOISE_TAGS or outer or not NOISE_WORDS.isdisjoint(words))
+                by_tag.append(tag in NOISE_TAGS or (main == 0 and tag == "header"))
+                by_name.append(not NOISE_WORDS.isdisjoint(roles) or (main == 0 and not OUTER_WORDS.isdisjoint(roles)))
+                text_tag.append(tag in TEXT_TAGS)
                 node = len(self.path) - 1
             if tag in VOID_TAGS:
                 continue
@@ -147,6 +164,11 @@ class Page:
             main += tag in MAIN_TAGS
         if block:
             self.blocks.append(block)
+        for k in range(len(text_tag) - 1, 0, -1):  # an element around a text element counts as one
+            if text_tag[k]:
+                text_tag[self.parent[k]] = True
+        for k in range(1, len(self.path)):
+            self.noise.append(self.noise[self.parent[k]] or by_tag[k] or (by_name[k] and not text_tag[k]))
 
     def contents(self) -> dict[tuple[str, bool], str]:
         """Text below each path of the page (all nodes of a path together)."""

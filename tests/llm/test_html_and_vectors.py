@@ -150,3 +150,15 @@ def test_recall_of_blocks_and_estimates():
     turned, signs, factor = embedding_dedup.codes(a)
     estimate = (embedding_dedup.codes(near)[0] * signs).sum(axis=1) / np.sqrt(512) / factor
     assert abs(estimate.mean() - 0.9801) < 0.002  # unbiased
+
+
+def test_names_that_only_mention_a_role_do_not_remove_a_page():
+    text = "<p>main text</p>"
+    for html in (
+        f'<body class="single-post no-sidebar">{text}</body>', f'<body><div id="main" class="has-ads">{text}</div></body>',
+        f'<body><article class="post comments-open">{text}</article></body>', f'<body class="hidden">{text}</body>',
+        f'<body><div class="overlay"><main class="search">{text}</main></div></body>', f'<body><div class="menu-open">{text}</div></body>',
+    ):
+        assert not any(html_text.Page(html).noise), html
+    for html in ('<div class="site-footer">x</div>', '<div class="box ad">x</div>', '<div id="left-sidebar-2">x</div>', "<div hidden>x</div>", "<nav>x</nav>"):
+        assert html_text.Page(f"<body>{html}</body>").noise[-1], html
