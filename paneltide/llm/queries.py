@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embedding_dedup, html_text, jaccard_join, language_id, line_templates, pseudonyms, substring_dedup, suffix_dedup
+from . import byte_bpe, decontaminate, embedding_dedup, filter_audit, html_text, jaccard_join, language_id, line_templates, pseudonyms, substring_dedup, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,46 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", F.aggregate("removed", F.lit(0).cast("bigint"), lambda t, s: t + s["stop"] - s["start"]).alias("n_removed"),
         F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP12_SQL = """
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM docs GROUP BY t),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, len(w) < 200 AS A, 100 * len(list_distinct(w)) < 50 * len(w) AS B,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS C, regexp_matches(t, '[#$%&*|]') AS D,
+         coalesce(docs.doc_id > first, false) AS E, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM docs JOIN firsts USING (t) LEFT JOIN marks ON marks.doc_id = docs.doc_id),
+grouped AS (SELECT part, A, B, C, D, E, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step, substr(filter_order, step::INT, 1) AS f, substr(filter_order, 1, (step - 1)::INT) AS before FROM orders, range(1, 6) r(step)),
+failed AS (
+  SELECT g.*, (CASE WHEN A THEN 'A' ELSE '' END) || (CASE WHEN B THEN 'B' ELSE '' END) || (CASE WHEN C THEN 'C' ELSE '' END)
+              || (CASE WHEN D THEN 'D' ELSE '' END) || (CASE WHEN E THEN 'E' ELSE '' END) AS fails FROM grouped g),
+placed AS (
+  SELECT s.filter_order, s.step, s.f, p.*, contains(fails, s.f) AS hit,
+         regexp_matches(fails, '[' || s.before || '-]') AS gone
+  FROM steps s, failed p),
+out AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (WHERE hit AND NOT gone), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails = f), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE hit AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE hit AND NOT gone), 0) AS toxic_lost
+  FROM placed GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM out
+"""
+
+
+@_query("op12_filter_audit", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = filter_audit.csr_shards(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.failures(shards), table(spark, sf_dir, "labels"))
