@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embedding_dedup, filter_audit, html_text, jaccard_join, language_id, line_templates, pseudonyms, substring_dedup, suffix_dedup
+from . import byte_bpe, conversation_repair, decontaminate, embedding_dedup, filter_audit, html_text, jaccard_join, language_id, line_templates, pseudonyms, quality_rules, substring_dedup, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +213,116 @@ FROM out
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = filter_audit.csr_shards(table(spark, sf_dir, "documents"))
     return filter_audit.audit(filter_audit.failures(shards), table(spark, sf_dir, "labels"))
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+') AS w FROM documents),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+tri AS (
+  SELECT doc_id, i, [word, lead(word, 1) OVER p, lead(word, 2) OVER p] AS win, lead(word, 2) OVER p IS NOT NULL AS whole FROM placed
+  WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, win FROM tri WHERE whole GROUP BY doc_id, win HAVING count(*) > 1),
+covered AS (SELECT DISTINCT doc_id, i + k AS i FROM tri JOIN twice USING (doc_id, win), (SELECT unnest([0, 1, 2]) AS k) WHERE whole),
+repeats AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+again AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^ \t\n\r\f\v]') GROUP BY doc_id, line) GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id, lang, t, len(w) AS n_words, length(regexp_replace(t, '[ \t\n\r\f\v]', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(again.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN again USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+counts AS (
+  SELECT doc_id, lang, n_words, length(t) AS n, length(regexp_replace(t, '[^\\p{Lu}\\p{Lt}]', '', 'g')) AS c1, length(regexp_replace(t, '[^\\p{L}\\p{M}]', '', 'g')) AS cl,
+         length(regexp_replace(t, '[^\\p{N}]', '', 'g')) AS c2, length(regexp_replace(t, '[^ \t\n\r\f\v]', '', 'g')) AS c3,
+         length(regexp_replace(t, '[^.,;:!?''"()-]', '', 'g')) AS c4 FROM base),
+kinds AS (SELECT doc_id, lang, n_words, n, unnest([0, 1, 2, 3, 4, 5]) AS k, unnest([cl - c1, c1, c2, c3, c4, n - cl - c2 - c3 - c4]) AS c FROM counts),
+ref_kinds AS (SELECT lang, k, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM kinds WHERE n_words >= 100 AND lang IS NOT NULL GROUP BY lang, k),
+bags AS (SELECT doc_id, trim(lower(word), '.,;:!?''"()-') AS word, count(*) AS c FROM placed GROUP BY ALL),
+taught AS (SELECT b.lang, word, sum(c) AS c FROM bags JOIN base b USING (doc_id) WHERE n_words >= 100 AND lang IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, sum(c) AS total FROM taught GROUP BY lang),
+common AS (
+  SELECT lang, word, c / total AS q FROM taught JOIN totals USING (lang) WHERE regexp_matches(word, '\\p{L}')
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY c DESC, word) <= 100),
+rest AS (SELECT lang, 1 - sum(q) AS q FROM common GROUP BY lang),
+pairs AS (
+  SELECT doc_id, r.lang AS ref, n_words FROM base b JOIN totals r ON b.lang = r.lang OR b.lang IS NULL OR b.lang NOT IN (SELECT lang FROM totals)),
+hits AS (SELECT p.doc_id, ref, c / n_words AS p, q FROM pairs p JOIN bags USING (doc_id) JOIN common r ON r.lang = ref AND r.word = bags.word),
+left_over AS (SELECT p.doc_id, p.ref, 1 - coalesce(sum(h.p), 0) AS p FROM pairs p LEFT JOIN hits h USING (doc_id, ref) GROUP BY ALL),
+bins AS (SELECT * FROM hits UNION ALL SELECT doc_id, ref, p, q FROM left_over l JOIN rest ON rest.lang = ref),
+by_word AS (
+  SELECT doc_id, ref, sqrt(greatest((sum(CASE WHEN p > 1e-12 THEN p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q)) ELSE 0 END)
+                           + 1 - sum(CASE WHEN p > 1e-12 THEN q ELSE 0 END)) / 2, 0)) AS x
+  FROM bins JOIN base USING (doc_id) WHERE n_words > 0 GROUP BY doc_id, ref),
+by_kind AS (
+  SELECT k.doc_id, r.lang AS ref,
+         sqrt(greatest((sum(CASE WHEN c > 0 THEN c / n * log2(2 * (c / n) / (c / n + q)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(2 * q / (c / n + q)) ELSE 0 END)) / 2, 0)) AS x
+  FROM kinds k JOIN pairs p USING (doc_id) JOIN ref_kinds r ON r.lang = p.ref AND r.k = k.k WHERE n > 0 GROUP BY ALL),
+nearest AS (
+  SELECT doc_id, by_kind.x AS char_distance, by_word.x AS word_distance FROM by_kind JOIN by_word USING (doc_id, ref)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY by_kind.x + by_word.x, ref) = 1)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT (length(t) >= 200 AND coalesce(char_distance, 0) > 0.25)
+       AND NOT (n_words >= 100 AND coalesce(word_distance, 0) > 0.12 + sqrt(101 / (8 * greatest(n_words, 1) * ln(2)))) AS kept
+FROM judged LEFT JOIN nearest USING (doc_id)
+"""
+
+
+@_query("op13_quality_rules", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+OP11_SQL = """
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+coded AS (  -- CRC-32, bit by bit
+  SELECT k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i::INT, 1))::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS m
+  FROM (SELECT DISTINCT k FROM src)),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN m = 1 THEN '' WHEN m = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE WHEN m = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM src JOIN coded USING (k) WHERE m <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ \t\n\r\f\v]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN NOT regexp_matches(text, '[.!?][ \t\n\r\f\v]*$') THEN 't' ELSE '' END AS fault,
+         substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+         count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faulty GROUP BY conv_id),
+steps AS (  -- cheapest (cost, audit) and its text of each output so far: nothing yet, s, ..u, ..a
+  SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': '', 't': ''} AS s0, {'c': 1000000::BIGINT, 'a': '', 't': ''} AS s1,
+         {'c': 1000000::BIGINT, 'a': '', 't': ''} AS s2, {'c': 1000000::BIGINT, 'a': '', 't': ''} AS s3 FROM counts
+  UNION ALL
+  SELECT conv_id, i, {'c': s0.c + 3, 'a': s0.a || 'D', 't': s0.t},
+    least({'c': s1.c + 3, 'a': s1.a || 'D', 't': s1.t}, {'c': s0.c + cut + CASE WHEN r = 's' THEN 0 ELSE 1000000 END, 'a': s0.a || 'K', 't': s0.t || chr(10) || role || ':' || text}),
+    least({'c': u.c + 3, 'a': u.a || 'D', 't': u.t}, {'c': w.c + cut + CASE WHEN r = 'u' THEN 0 ELSE 1000000 END, 'a': w.a || 'K', 't': w.t || chr(10) || role || ':' || text},
+          {'c': w.c + cut + 2, 'a': w.a || 'R', 't': w.t || chr(10) || 'user:' || text}),
+    least({'c': a.c + 3, 'a': a.a || 'D', 't': a.t}, {'c': u.c + cut + CASE WHEN r = 'a' THEN 0 ELSE 1000000 END, 'a': u.a || 'K', 't': u.t || chr(10) || role || ':' || text},
+          {'c': u.c + cut + 2, 'a': u.a || 'R', 't': u.t || chr(10) || 'assistant:' || text})
+  FROM (
+    SELECT *, least(s0, s1, a) AS w FROM (
+      SELECT *, least(s3, {'c': u.c + 2, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'}) AS a FROM (
+        SELECT s.conv_id, f.i, role, text, f.r, CASE WHEN fault IN ('b', 'd') THEN 1000000 WHEN fault = 't' THEN 1 ELSE 0 END AS cut, s0, s1, s3,
+               least(s2, {'c': least(s0, s1, s3).c + 2, 'a': least(s0, s1, s3).a || 'I', 't': least(s0, s1, s3).t || chr(10) || 'user:'}) AS u
+        FROM steps s JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1)))),
+ends AS (
+  SELECT s.conv_id, least(s0, s3, {'c': s2.c + 2, 'a': s2.a || 'I', 't': s2.t || chr(10) || 'assistant:'},
+                          {'c': s1.c + 4, 'a': s1.a || 'II', 't': s1.t || chr(10) || 'user:' || chr(10) || 'assistant:'}) AS e
+  FROM steps s JOIN counts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND s.i = c.n)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(substr(e.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@_query("op11_conversation_repair", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_report(damaged, copies="copies")
