@@ -39,6 +39,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,25 @@ _ROW = pa.list_(
 _ROW_DDL = "array<struct<doc_id:bigint,part:string,capitals:bigint,chars:bigint,symbol:boolean,d1:bigint,d2:bigint>>"
 
 
+def _pack(values: np.ndarray | bytes) -> bytes:
+    """Compressed; whole numbers that are not negative in the narrowest width, which the
+    first byte tells."""
+    if isinstance(values, bytes):
+        return zstandard.ZstdCompressor(1).compress(values)
+    top = int(values.max()) if len(values) else 0
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(1).compress(values.astype(kind).tobytes())
+
+
+def _unpack_bytes(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    """The numbers of a packed column of the shards."""
+    return np.frombuffer(_unpack_bytes(packed[1:]), f"<u{packed[0]}")
+
+
 def _describe(doc_id: int | None, part: str | None, text: str) -> tuple[dict, bytes]:
     raw = text.encode("utf-8", "surrogatepass")
     h = hashlib.blake2b(raw, digest_size=16).digest()
@@ -83,15 +103,16 @@ def _blocks(buckets: int, block_chars: int):
             words = list(vocab)
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), np.int32)
-            place[order] = np.arange(len(words), dtype=np.int32)
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
             block = (TaskContext.get().partitionId() << 32) + made
             out = pa.record_batch(
                 [
-                    pa.array([block], pa.int64()), pa.array([rows], _ROW), pa.array([np.array(indptr, np.int64).tobytes()], pa.binary()),
-                    pa.array([place[np.array(local, np.int64)].tobytes()], pa.binary()), pa.array([np.array(counts, np.int32).tobytes()], pa.binary()),
-                    pa.array([b" ".join([words[i] for i in order.tolist()])], pa.binary()),
-                    pa.array([np.bincount(bucket, minlength=buckets).astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([block], pa.int64()), pa.array([rows], _ROW),
+                    *(pa.array([_pack(x)], pa.binary()) for x in (
+                        np.array(indptr, np.int64), place[np.array(local, np.int64)], np.array(counts, np.int64),
+                        b" ".join([words[i] for i in order.tolist()]), np.bincount(bucket, minlength=buckets),
+                    )),
                 ],
                 names=["block", "rows", "indptr", "local", "counts", "words", "sizes"],
             )
@@ -121,19 +142,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The vocabulary of each block, one row a bucket."""
     for batch in batches:
         for i in range(batch.num_rows):
-            words = batch.column(1)[i].as_py().split()
-            sizes = np.frombuffer(batch.column(2)[i].as_py(), np.int32)
+            words = _unpack_bytes(batch.column(1)[i].as_py()).split()
+            sizes = unpack(batch.column(2)[i].as_py()).astype(np.int64)
             used = np.flatnonzero(sizes)
             ends = np.cumsum(sizes)[used].tolist()
-            runs = [b" ".join(words[e - n : e]) for e, n in zip(ends, sizes[used].tolist())]
+            runs = [_pack(b" ".join(words[e - n : e])) for e, n in zip(ends, sizes[used].tolist())]
             yield pa.record_batch(
                 [pa.array(used.astype(np.int32)), pa.array([batch.column(0)[i].as_py()] * len(runs), pa.int64()), pa.array(runs, pa.binary())],
                 names=["bucket", "block", "words"],
             )
 
 
-def _number(buckets: int):
-    """Dictionary ids of each run; the rows of a bucket come together, ordered by block."""
+def _number():
+    """Index of each word of a run in its bucket; a bucket's rows come together, by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, seen = None, {}
@@ -142,47 +163,47 @@ def _number(buckets: int):
             for bucket, words in zip(batch.column(0).to_pylist(), batch.column(2)):
                 if bucket != current:
                     current, seen = bucket, {}
-                index = [seen.setdefault(w, len(seen)) for w in words.as_py().split()]
-                ids.append((np.array(index, np.int64) * buckets + bucket).tobytes())
+                index = [seen.setdefault(w, len(seen)) for w in _unpack_bytes(words.as_py()).split()]
+                ids.append(_pack(np.array(index, np.int64)))
             yield pa.record_batch([batch.column(1), batch.column(0), pa.array(ids, pa.binary())], names=["block", "bucket", "ids"])
 
     return run
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Local numbers to dictionary ids: a block's matrix comes first, then its ids by bucket."""
+def _shards(buckets: int):
+    """Local numbers to dictionary ids: a block's matrix comes first, then its indices by bucket."""
 
-    def done(head: dict, ids: list[bytes]) -> pa.RecordBatch:
-        table = np.frombuffer(b"".join(ids), np.int64)
-        wide = len(table) > 0 and int(table.max()) >= 1 << 32
-        indices = table[np.frombuffer(head["local"], np.int32)].astype(np.int64 if wide else np.uint32)
+    def done(head: dict, ids: list[np.ndarray]) -> pa.RecordBatch:
+        table = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        indices = _pack(table[unpack(head["local"]).astype(np.int64)])
         return pa.record_batch(
-            [
-                pa.array([head["block"]], pa.int64()), pa.array([head["rows"]], _ROW), pa.array([head["indptr"]], pa.binary()),
-                pa.array([8 if wide else 4], pa.int32()), pa.array([indices.tobytes()], pa.binary()), pa.array([head["counts"]], pa.binary()),
-            ],
-            names=["block", "rows", "indptr", "index_bytes", "indices", "counts"],
-        )
-
-    head, ids = None, []
-    for batch in batches:
-        for i in range(batch.num_rows):
-            if batch.column(1)[i].as_py() >= 0:
-                ids.append(batch.column(2)[i].as_py())
-                continue
-            if head is not None:
-                yield done(head, ids)
-            head = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names) if n not in ("bucket", "ids")}
-            ids = []
-    if head is not None:
-        yield done(head, ids)
+            [pa.array([head["block"]], pa.int64()), pa.array([head["rows"]], _ROW), *(pa.array([x], pa.binary()) for x in (head["indptr"], indices, head["counts"]))],
+            names=["block", "rows", "indptr", "indices", "counts"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, ids = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket = batch.column(1)[i].as_py()
+                if bucket >= 0:
+                    ids.append(unpack(batch.column(2)[i].as_py()).astype(np.int64) * buckets + bucket)
+                    continue
+                if head is not None:
+                    yield done(head, ids)
+                head = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names) if n not in ("bucket", "ids")}
+                ids = []
+        if head is not None:
+            yield done(head, ids)
+
+    return run
 
 
 def csr_shards(docs: DataFrame, part: str = "source", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The document-term matrix of ``docs(doc_id, text, part)``: one row per block with
-    ``rows`` (the documents, in row order), ``indptr`` (int64), ``indices`` (dictionary
-    ids, unsigned 32 bits or 64 as ``index_bytes`` says) and ``counts`` (int32), as
-    little-endian binaries. Written, so every later step reads the same ids."""
+    ``rows`` (the documents, in row order) and the packed columns ``indptr``, ``indices``
+    (dictionary ids) and ``counts``, read by :func:`unpack`. Written, so every later step
+    reads the same ids."""
     buckets = shuffle_partitions(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col(part).cast("string"), F.lit("")), F.col("text").cast("string"))
     blocks = own.mapInArrow(
@@ -191,20 +212,20 @@ def csr_shards(docs: DataFrame, part: str = "source", block_chars: int = BLOCK_C
     blocks = materialise(blocks, "fa-blocks")
     runs = blocks.select("block", "words", "sizes").mapInArrow(_runs, "bucket int, block bigint, words binary")
     runs = runs.repartition("bucket").sortWithinPartitions("bucket", "block")
-    ids = runs.mapInArrow(_number(buckets), "block bigint, bucket int, ids binary")
+    ids = runs.mapInArrow(_number(), "block bigint, bucket int, ids binary")
     none = F.lit(None)
     heads = blocks.select("block", F.lit(-1).alias("bucket"), none.cast("binary").alias("ids"), "rows", "indptr", "local", "counts")
     back = ids.select("block", "bucket", "ids", none.cast(_ROW_DDL).alias("rows"), *(none.cast("binary").alias(c) for c in ("indptr", "local", "counts")))
     both = heads.union(back).repartition("block").sortWithinPartitions("block", "bucket")
-    shards = both.mapInArrow(_shards, f"block bigint, rows {_ROW_DDL}, indptr binary, index_bytes int, indices binary, counts binary")
+    shards = both.mapInArrow(_shards(buckets), f"block bigint, rows {_ROW_DDL}, indptr binary, indices binary, counts binary")
     return materialise(shards, "fa-shards")
 
 
 def _row_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            indptr = np.frombuffer(batch.column(1)[i].as_py(), np.int64)
-            counts = np.frombuffer(batch.column(2)[i].as_py(), np.int32)
+            indptr = unpack(batch.column(1)[i].as_py()).astype(np.int64)
+            counts = unpack(batch.column(2)[i].as_py())
             sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
             rows = batch.column(0)[i].values
             fields = [rows.field(k) for k in range(rows.type.num_fields)]

@@ -87,8 +87,7 @@ def test_shards_hold_one_global_matrix(tables):
     docs, _ = tables
     got = {}
     for r in filter_audit.csr_shards(docs, block_chars=3000).collect():
-        indptr, counts = np.frombuffer(r.indptr, np.int64), np.frombuffer(r.counts, np.int32)
-        indices = np.frombuffer(r.indices, np.uint32 if r.index_bytes == 4 else np.int64)
+        indptr, counts, indices = (filter_audit.unpack(c) for c in (r.indptr, r.counts, r.indices))
         for k, row in enumerate(r.rows):
             at = slice(indptr[k], indptr[k + 1])
             got.setdefault((row.doc_id, row.part), []).append(sorted(zip(indices[at].tolist(), counts[at].tolist())))
@@ -101,6 +100,12 @@ def test_shards_hold_one_global_matrix(tables):
     assert sum(c for _, c in got[12, "c"][0]) == 1200 and {c for _, c in got[12, "c"][0]} == {2}
 
 
+def test_packed_numbers_keep_their_values():
+    for top in (0, 255, 256, 65536, 1 << 33):
+        assert filter_audit.unpack(filter_audit._pack(np.array([0, top]))).tolist() == [0, top]
+    assert filter_audit.unpack(filter_audit._pack(np.zeros(0, np.int64))).tolist() == []
+
+
 def test_empty_table(spark, tables):
     docs, labels = tables
     flags = filter_audit.failures(filter_audit.csr_shards(docs.where(F.lit(False))))
