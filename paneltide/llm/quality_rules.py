@@ -78,20 +78,26 @@ def _kinds() -> np.ndarray:
     return _KIND[0]
 
 
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about ``_CHUNK_CHARS`` together; a longer text is a run by itself."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t) > _CHUNK_CHARS:
+            yield lo, i
+            lo, size = i, 0
+        size += len(t)
+    if texts:
+        yield lo, len(texts)
+
+
 def class_counts(texts: list[str]) -> np.ndarray:
     """(texts x classes) characters of each class."""
     out = np.zeros((len(texts), len(CLASSES)), np.int64)
-    lo = 0
-    while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= _CHUNK_CHARS):
-            size += len(texts[hi])
-            hi += 1
+    for lo, hi in _chunks(texts):
         cp = np.frombuffer("".join(texts[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32)
         row = np.repeat(np.arange(hi - lo), [len(t) for t in texts[lo:hi]])
         width = len(CLASSES)
         out[lo:hi] = np.bincount(row * width + _kinds()[cp], minlength=(hi - lo) * width).reshape(-1, width)
-        lo = hi
     return out
 
 
@@ -124,8 +130,7 @@ def _count(min_words: int):
         classes: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            counts = class_counts(texts)
-            for lang, text, mine in zip(langs, texts, counts):
+            for lang, text, mine in zip(langs, texts, class_counts(texts)):
                 found = word_counts(text)
                 n = found.total()
                 if n < min_words:
@@ -150,9 +155,12 @@ def fit(docs: DataFrame, top_words: int = TOP_WORDS, min_words: int = MIN_WORDS)
     """References of all languages in ``docs(lang, text)``; null languages teach nothing."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counted = own.mapInArrow(_count(min_words), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    extra = F.col("word").isNull() | F.col("word").startswith(" ")
-    rank = F.row_number().over(Window.partitionBy("lang", extra).orderBy(F.desc("n"), "word"))
-    best = materialise(counted.withColumn("rank", rank).where(extra | (F.col("rank") <= top_words)), "qr-references")
+    counted = materialise(counted, "qr-counts")
+    extra = F.coalesce(F.col("word").startswith(" "), F.lit(True))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    # a plain limit on the rank: each task passes on its own top words only
+    common = counted.where(~extra).withColumn("rank", rank).where(F.col("rank") <= top_words)
+    best = materialise(common.unionByName(counted.where(extra).withColumn("rank", F.lit(0))), "qr-references")
     n_langs = best.where("word IS NULL").count()
     if n_langs * (top_words + 8) * 64 > MAX_REFERENCE_BYTES:
         raise ValueError(f"{n_langs} languages x {top_words} words exceed the bound of {MAX_REFERENCE_BYTES} bytes; lower top_words")
@@ -230,33 +238,35 @@ def judge(
         ref = sent.value
         code = {name: k for k, name in enumerate(ref.langs)}
         for batch in batches:
-            langs, texts = batch.column(1).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
-            n = len(texts)
-            base = np.array([base_counts(t) for t in texts], np.int64).reshape(n, len(_COUNTS))
-            failed = (base[:, 0] < BASE_MIN_WORDS) | (100 * base[:, 4] > BASE_MAX_REPEAT_PERCENT * base[:, 0])
-            chars, words = class_counts(texts), [word_counts(t) for t in texts]
-            best = np.full((n, 2), np.inf)  # distances to the document's reference
-            judged = np.zeros(n, dtype=bool)
-            for k, name in enumerate(ref.langs):
-                rows = np.array([i for i, g in enumerate(langs) if g == name or g not in code], np.int64)
-                counts = np.zeros((len(rows), ref.shares.shape[1]))
-                for j, i in enumerate(rows.tolist()):
-                    for w in ref.words[k].keys() & words[i].keys():
-                        counts[j, ref.words[k][w]] = words[i][w]
-                    counts[j, -1] = words[i].total() - counts[j].sum()
-                got = np.stack([js_distance(_shares(chars[rows]), ref.classes[k]), js_distance(_shares(counts), ref.shares[k])], axis=1)
-                nearer = got.sum(axis=1) < best[rows].sum(axis=1)
-                best[rows[nearer]] = got[nearer]
-                judged[rows] = True
-            by_char = judged & (np.fromiter(map(len, texts), np.int64, n) >= min_chars)
-            by_word = judged & (base[:, 0] >= min_words)
-            allowed = max_word_distance + np.sqrt(ref.shares.shape[1] / (8 * np.maximum(base[:, 0], 1) * np.log(2)))
-            kept = ~failed & ~(by_char & (best[:, 0] > max_char_distance)) & ~(by_word & (best[:, 1] > allowed))
-            distances = [pa.array(best[:, j], pa.float64(), mask=~m) for j, m in enumerate((by_char, by_word))]
-            yield pa.record_batch(
-                [batch.column(0), *(pa.array(base[:, j]) for j in range(len(_COUNTS))), pa.array(failed), *distances, pa.array(kept)],
-                names=["doc_id", *_COUNTS, "base_failed", "char_distance", "word_distance", "kept"],
-            )
+            every = [t or "" for t in batch.column(2).to_pylist()]
+            for lo, hi in _chunks(every):
+                part, texts, n = batch.slice(lo, hi - lo), every[lo:hi], hi - lo
+                langs = part.column(1).to_pylist()
+                base = np.array([base_counts(t) for t in texts], np.int64)
+                failed = (base[:, 0] < BASE_MIN_WORDS) | (100 * base[:, 4] > BASE_MAX_REPEAT_PERCENT * base[:, 0])
+                chars, words = class_counts(texts), [word_counts(t) for t in texts]
+                best = np.full((n, 2), np.inf)  # distances to the document's reference
+                judged = np.zeros(n, dtype=bool)
+                for k, name in enumerate(ref.langs):
+                    rows = np.array([i for i, g in enumerate(langs) if g == name or g not in code], np.int64)
+                    counts = np.zeros((len(rows), ref.shares.shape[1]))
+                    for j, i in enumerate(rows.tolist()):
+                        for w in ref.words[k].keys() & words[i].keys():
+                            counts[j, ref.words[k][w]] = words[i][w]
+                        counts[j, -1] = words[i].total() - counts[j].sum()
+                    got = np.stack([js_distance(_shares(chars[rows]), ref.classes[k]), js_distance(_shares(counts), ref.shares[k])], axis=1)
+                    nearer = got.sum(axis=1) < best[rows].sum(axis=1)
+                    best[rows[nearer]] = got[nearer]
+                    judged[rows] = True
+                by_char = judged & (np.fromiter(map(len, texts), np.int64, n) >= min_chars)
+                by_word = judged & (base[:, 0] >= min_words)
+                allowed = max_word_distance + np.sqrt(ref.shares.shape[1] / (8 * np.maximum(base[:, 0], 1) * np.log(2)))
+                kept = ~failed & ~(by_char & (best[:, 0] > max_char_distance)) & ~(by_word & (best[:, 1] > allowed))
+                distances = [pa.array(best[:, j], pa.float64(), mask=~m) for j, m in enumerate((by_char, by_word))]
+                yield pa.record_batch(
+                    [part.column(0), *(pa.array(base[:, j]) for j in range(len(_COUNTS))), pa.array(failed), *distances, pa.array(kept)],
+                    names=["doc_id", *_COUNTS, "base_failed", "char_distance", "word_distance", "kept"],
+                )
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string"), F.col("text").cast("string"))
     counts = ", ".join(f"{c} bigint" for c in _COUNTS)

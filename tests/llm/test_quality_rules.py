@@ -63,7 +63,7 @@ def corpus(spark):
     rng = random.Random(1)
     rows = [(i, prose(rng, EN, 300), "en") for i in range(30)] + [(30 + i, prose(rng, DE, 300), "de") for i in range(30)]
     rows += [
-        (100, prose(rng, EN, 300).upper(), "en"), (101, " | ".join(prose(rng, ["x"], 300).split()), "en"), (102, prose(rng, DE, 300), "en"),
+        (100, prose(rng, EN, 300).upper(), "en"), (101, " | ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(300)), "en"), (102, prose(rng, DE, 300), "en"),
         (103, prose(rng, DE, 300), None), (104, prose(rng, EN, 300), "xx"), (105, prose(rng, EN, 49), "en"), (106, None, "en"), (107, "", None),
         (108, "word " * 300, "en"), (None, prose(rng, EN, 300), "en"), (109, prose(rng, EN, 60), "en"), (110, prose(rng, EN, 30_000), "en"), (111, "的 " * 3 + "字" * 300_000, "zz"),
     ]
