@@ -42,6 +42,9 @@ TABLES = BITS // 16
 THRESHOLD = 0.98
 SIGMAS = 4.0
 BLOCK = 1024
+ROWS = 4096  # rows of whole groups that a task compares together
+DENSE = 64  # a group with more rows is compared by matrix products
+PAIRS = 1 << 18
 _ROTATIONS: dict[int, np.ndarray] = {}
 
 
@@ -129,33 +132,118 @@ def _slices(n: int, step: int) -> list[slice]:
     return [slice(a, min(a + step, n)) for a in range(0, n, step)]
 
 
-def _bucket(threshold: float):
-    def run(group: pa.Table) -> pa.Table:
-        cls, side = group.column("class").to_numpy(), group.column("side").to_numpy()
-        table, weight = group.column("table")[0].as_py(), group.column("m").to_numpy()
-        x = np.stack([np.frombuffer(v.as_py(), dtype=np.float64) for v in group.column("vector")])
-        blocks = np.array(group.column("blocks").to_pylist(), dtype=np.int32)
-        same = (side == 2).all()  # one block with itself
-        left, right = (np.arange(len(cls)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+def pairs_listed(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the listed pairs of rows of ``x`` that have cosine >= threshold; decided as
+    in :func:`pairs_of`, codes are made once a row."""
+    used, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    unit = x[used]
+    with np.errstate(over="ignore"):
+        unit = unit / np.abs(unit).max(axis=1, keepdims=True)
+    unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    turned, signs, factor = codes(unit)
+    bits = turned.shape[1]
+    error = np.sqrt(np.maximum(0, 1 - factor**2) / factor**2 / (bits - 1))
+    least = (threshold - SIGMAS * error - 1e-4) * np.sqrt(bits) * factor
+    i, j = at[: len(left)], at[len(left) :]
+    hit = np.zeros(len(i), dtype=bool)
+    for s in _slices(len(i), 1 << 13):
+        near = np.flatnonzero(np.einsum("ij,ij->i", turned[i[s]], signs[j[s]]) >= least[j[s]]) + s.start
+        hit[near] = np.einsum("ij,ij->i", unit[i[near]], unit[j[near]]) >= threshold
+    return left[hit], right[hit]
+
+
+def _small_pairs(first: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, partner) lists where row r pairs with rows first[r] .. end[r] - 1, some
+    hundred thousand pairs at a time."""
+    many = np.maximum(end - first, 0)
+    lo = 0
+    while lo < len(many):
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(many[lo:]), PAIRS, side="right")) + lo)
+        n = many[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        yield i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[i]
+        lo = hi
+
+
+def _links(rows: pa.Table, threshold: float) -> pa.RecordBatch:
+    """(class, root, links) of whole groups that lie one after the other. Large groups are
+    compared by matrix products, all small ones together pair by pair."""
+    cls, side, weight = (rows.column(c).to_numpy() for c in ("class", "side", "m"))
+    table = rows.column("table").to_numpy()
+    blocks = np.array(rows.column("blocks").to_pylist(), dtype=np.int32)
+    vectors = rows.column("vector").to_pylist()
+    sizes = np.fromiter(map(len, vectors), np.int64, len(vectors)) // 8
+    flat = np.frombuffer(b"".join(vectors), dtype=np.float64)
+    begin = np.cumsum(sizes) - sizes
+    edges = np.append(np.flatnonzero(rows.column("new").to_numpy()), len(cls))
+    size = np.diff(edges)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for a, z in zip(edges[:-1][size > DENSE].tolist(), edges[1:][size > DENSE].tolist()):
+        x, own, t = flat[begin[a] : begin[z - 1] + sizes[z - 1]].reshape(z - a, -1), blocks[a:z], table[a]
+        same = (side[a:z] == 2).all()  # one block with itself
+        left, right = (np.arange(z - a),) * 2 if same else (np.flatnonzero(side[a:z] == 0), np.flatnonzero(side[a:z] == 1))
         if len(left) and len(right):
             # pairs that share an earlier block are handled there
             fresh = left[:, None] < right[None, :] if same else np.ones((len(left), len(right)), dtype=bool)
-            for t in range(table):
-                fresh &= blocks[left, t][:, None] != blocks[right, t][None, :]
+            for k in range(t):
+                fresh &= own[left, k][:, None] != own[right, k][None, :]
             i, j, _ = pairs_of(x, left, right, threshold, fresh)
-        else:
-            i = j = np.zeros(0, np.int64)
-        links = np.bincount(i, weights=weight[j], minlength=len(cls)) + np.bincount(j, weights=weight[i], minlength=len(cls))
-        root = np.arange(len(cls))
-        while len(i):  # smallest reachable row, by repeated minimum and pointer jumps
-            before = root.copy()
-            np.minimum.at(root, i, root[j])
-            np.minimum.at(root, j, root[i])
-            root = root[root]
-            if (root == before).all():
-                break
-        at = np.flatnonzero(links > 0)
-        return pa.table({"class": pa.array(cls[at]), "root": pa.array(cls[root[at]]), "links": pa.array(links[at].astype(np.int64))})
+            found.append((i + a, j + a))
+    # in a small group a row meets the rows after it, or of side 0 those of side 1 (sorted behind)
+    group = np.repeat(np.arange(len(size)), size)
+    zeros = np.bincount(group, weights=side == 0, minlength=len(size)).astype(np.int64)
+    here = np.arange(len(cls))
+    first = np.where(side == 2, here + 1, np.where(side == 0, edges[:-1][group] + zeros[group], len(cls)))
+    end = np.where(size[group] > DENSE, 0, edges[1:][group])
+    for i, j in _small_pairs(first, end):
+        earlier = ((blocks[i] == blocks[j]) & (np.arange(TABLES) < table[i][:, None])).any(axis=1)
+        i, j = i[~earlier], j[~earlier]
+        for dim in np.unique(sizes[i]).tolist():  # the rows of a group have one length
+            own = sizes[i] == dim
+            used, at = np.unique(np.concatenate([i[own], j[own]]), return_inverse=True)
+            x = flat[begin[used][:, None] + np.arange(dim)]
+            li, lj = pairs_listed(x, at[: own.sum()], at[own.sum() :], threshold)
+            found.append((used[li], used[lj]))
+    i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    links = np.bincount(i, weights=weight[j], minlength=len(cls)) + np.bincount(j, weights=weight[i], minlength=len(cls))
+    root = here.copy()
+    while len(i):  # smallest reachable row, by repeated minimum and pointer jumps
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        root = root[root]
+        if (root == before).all():
+            break
+    at = np.flatnonzero(links > 0)
+    return pa.record_batch([pa.array(cls[at]), pa.array(cls[root[at]]), pa.array(links[at].astype(np.int64))], names=["class", "root", "links"])
+
+
+def _buckets(threshold: float):
+    """Links from rows sorted by group; whole groups of about ``ROWS`` rows at a time."""
+    key = ["label", "width", "table", "value", "a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        last, n = None, 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in key)))
+            new = np.fromiter((x != y for x, y in zip(keys, [last, *keys])), bool, len(keys))
+            rows = pa.Table.from_batches([batch]).append_column("new", pa.array(new))
+            at, borders = 0, np.flatnonzero(new)
+            while True:  # cut at the first border where enough rows are held
+                later = borders[(borders > at) | ((borders == at) & (n > 0))]
+                later = later[later - at + n >= ROWS]
+                if not len(later):
+                    break
+                cut = int(later[0])
+                held.append(rows.slice(at, cut - at))
+                yield _links(pa.concat_tables(held).combine_chunks(), threshold)
+                held, n, at = [], 0, cut
+            held.append(rows.slice(at))
+            n += len(rows) - at
+            last = keys[-1] if keys else last
+        if n:
+            yield _links(pa.concat_tables(held).combine_chunks(), threshold)
 
     return run
 
@@ -181,9 +269,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.expr("case when own = other then 2 when own < other then 0 else 1 end").alias("side"),
     )
     full = member.join(whole.select("class", "m", "vector", "blocks"), "class")
-    found = materialise(
-        full.groupBy(*bucket, "a", "b").applyInArrow(_bucket(threshold), "class bigint, root bigint, links bigint"), "emb-links"
-    )
+    full = full.repartition(*bucket, "a", "b").sortWithinPartitions(*bucket, "a", "b", "side")
+    found = materialise(full.mapInArrow(_buckets(threshold), "class bigint, root bigint, links bigint"), "emb-links")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select(F.col("class").alias("src"), F.col("root").alias("dst")).distinct())
     known = classes.join(links, "class", "left").join(comp.withColumnRenamed("node", "class"), "class", "left").select(

@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from llm_data import SF_SMALL
 from pyspark.sql import functions as F
 
@@ -162,3 +164,39 @@ def test_names_that_only_mention_a_role_do_not_remove_a_page():
         assert not any(html_text.Page(html).noise), html
     for html in ('<div class="site-footer">x</div>', '<div class="box ad">x</div>', '<div id="left-sidebar-2">x</div>', "<div hidden>x</div>", "<nav>x</nav>"):
         assert html_text.Page(f"<body>{html}</body>").noise[-1], html
+
+
+@pytest.mark.parametrize("dense,rows,pairs", [(64, 4096, 1 << 18), (1, 1, 3), (1000, 40, 7)])
+def test_streamed_buckets_equal_brute_force(monkeypatch, dense, rows, pairs):
+    """Groups of all sizes and both shapes, cut over batches in any way."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((6, 16))
+    members = []
+    for g, size in enumerate([1, 2, 3, 2, 90, 4, 1, 2, 30]):
+        cross = g in (3, 5, 8)
+        dim = 16 if g != 7 else 8
+        for k in range(size):
+            v = base[k % 2, :dim] + rng.standard_normal(dim) * 0.02
+            blocks = [7] * embedding_dedup.TABLES if (g, k) == (2, 1) else rng.integers(0, 3, embedding_dedup.TABLES).tolist()
+            members.append((g, (k * 2 // size) if cross else 2, 1000 * g + k, v, blocks, int(rng.integers(1, 4))))
+    table, want = 2, {}
+    for x in members:
+        for y in members:
+            sides = (x[1], y[1]) == (0, 1) or x[1] == y[1] == 2 and x[2] < y[2]
+            if x[0] == y[0] and sides and not any(p == q for p, q in zip(x[4][:table], y[4][:table])):
+                if x[3] @ y[3] / np.linalg.norm(x[3]) / np.linalg.norm(y[3]) >= 0.98:
+                    want[x[2]] = want.get(x[2], 0) + y[5]
+                    want[y[2]] = want.get(y[2], 0) + x[5]
+    for name, value in (("DENSE", dense), ("ROWS", rows), ("PAIRS", pairs)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    whole = pa.table({
+        "class": [m[2] for m in members], "label": ["l"] * len(members), "width": [len(m[3]) * 8 for m in members], "table": [table] * len(members),
+        "value": [m[0] for m in members], "a": [0] * len(members), "b": [0 if m[1] == 2 else 1 for m in members], "side": [m[1] for m in members],
+        "m": [m[5] for m in members], "vector": [m[3].tobytes() for m in members], "blocks": [m[4] for m in members],
+    })
+    got = {}
+    for batch in embedding_dedup._buckets(0.98)(iter(whole.to_batches(max_chunksize=7))):
+        for c, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            assert c not in got
+            got[c] = n
+    assert got == want and len(want) > 60
