@@ -14,12 +14,19 @@ part then has to recur by itself. Besides, every masked line is a template of it
 ``min_docs`` different documents; its lines are dropped but for the earliest one
 (smallest doc_id, then line number), so no content leaves the corpus entirely.
 
+A masked line of ``long_tokens`` tokens or more hardly stands twice by chance: it is
+dropped from its second document on, the first document keeps it. A document that has
+``copy_percent`` of its tokens or more in several lines of earlier documents (or
+``SINGLE_PERCENT`` in one) is a copy as a whole; it keeps its long lines, since half a
+copy is worse than one that document-level dedup can still find.
+
 Only hashes, ids and offsets of lines are shuffled; tokens are read again for one
 representative of each distinct line in leaves that can recur and hold several lines.
 Counts are combined before each shuffle, and hot lines meet joins that AQE splits.
 
-Defined cases: null text: no line, text stays null. Empty text and lines of fewer than
-``min_tokens`` tokens: never dropped. Null doc_id: such rows count as one document that
+Defined cases: null text: no line, text stays null. Empty text, lines of fewer than
+``min_tokens`` tokens (1 takes every line) and lines whose tokens are all fields (numbers
+alone): never dropped. Null doc_id: such rows count as one document that
 ranks last. Rows repeated under a doc_id count as one document; equal line numbers tie
 and both stay. Extra columns are kept by :func:`drop_templates`; the helper columns are
 prefixed ``__lt_``.
@@ -42,6 +49,9 @@ DEPTH = 4
 SIMILAR = 70
 MIN_DOCS = 10
 MIN_TOKENS = 4
+LONG_TOKENS = 50
+COPY_PERCENT = 35
+SINGLE_PERCENT = 80
 FIELD = "<*>"
 _TOKEN = re.compile(r"[^ \t\n\r\f\v]+")
 _DIGIT = re.compile(r"[0-9]")
@@ -66,7 +76,7 @@ def _lines(depth: int, min_tokens: int):
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for k, raw in enumerate(text.split("\n") if text else ()):
                     tokens = parse(raw)
-                    if len(tokens) >= min_tokens:
+                    if len(tokens) >= min_tokens and any(t != FIELD for t in tokens):
                         at.append(i)
                         idx.append(k)
                         leaf.append(_hash("\n".join([str(len(tokens)), *tokens[:depth]])))
@@ -133,19 +143,38 @@ def _round(lines: DataFrame, rest: DataFrame, depth: int, similar: int, min_docs
     return found.select("leaf", "line", "first"), materialise(left, "lt-rest")
 
 
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, similar: int = SIMILAR, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def _second_documents(lines: DataFrame, per_line: DataFrame, long_tokens: int, copy_percent: int) -> DataFrame:
+    """(doc_id, key, idx) of long lines that an earlier document has, but for copies."""
+    known = per_line.where("n_docs > 1").select("leaf", "line", F.struct("first.no", "first.doc_id").alias("origin"))
+    own = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")
+    again = F.col("origin").isNotNull() & ~own.eqNullSafe(F.col("origin"))
+    docs = lines.join(known, ["leaf", "line"], "left").groupBy("doc_id", "key").agg(
+        F.sum("width").alias("tokens"), F.sum(F.when(again, F.col("width")).otherwise(0)).alias("old"), F.count_if(again).alias("n_old"),
+        F.collect_set(F.when(again & (F.col("width") >= long_tokens), F.col("idx"))).alias("long"),
+    )
+    least = F.when(F.col("n_old") > 1, F.lit(copy_percent)).otherwise(F.lit(max(SINGLE_PERCENT, copy_percent)))
+    docs = docs.where((F.size("long") > 0) & (F.col("old") * 100 < F.col("tokens") * least))
+    return docs.select("doc_id", "key", F.explode("long").alias("idx"))
+
+
+def recurring_lines(
+    docs: DataFrame, depth: int = DEPTH, similar: int = SIMILAR, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS,
+    long_tokens: int = LONG_TOKENS, copy_percent: int = COPY_PERCENT,
+) -> DataFrame:
     """(doc_id, key, idx) of the lines to drop; ``key`` is the hash of the text."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
-    lines = materialise(
-        own.mapInArrow(_lines(depth, min_tokens), "doc_id bigint, key bigint, idx bigint, leaf bigint, line bigint, width bigint"), "lt-lines"
-    )
+    lines = materialise(own.mapInArrow(_lines(depth, min_tokens), "doc_id bigint, key bigint, idx bigint, leaf bigint, line bigint, width bigint"), "lt-lines")
     # distinct documents of each line and of each leaf
     per_doc = lines.groupBy("leaf", "line", "doc_id").agg(F.min(F.struct("idx", "key")).alias("f"))
     per_line = per_doc.groupBy("leaf", "line").agg(
         F.count("*").alias("n_docs"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("f.idx").alias("idx"), F.col("f.key").alias("key"))).alias("first")
     )
-    leaves = lines.select("leaf", "doc_id").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    per_line = materialise(per_line.join(leaves, "leaf"), "lt-distinct")
+    leaves = lines.select("leaf", "doc_id").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf", F.lit(True).alias("shared"))
+    # lines that only one document has, in a leaf of few, play no part
+    per_line = per_line.join(leaves, "leaf", "left").where("shared OR n_docs > 1")
+    every = materialise(per_line.withColumn("shared", F.coalesce("shared", F.lit(False))), "lt-distinct")
+    twice = _second_documents(lines, every, long_tokens, copy_percent)
+    per_line = every.where("shared").drop("shared")
     exact = per_line.where(F.col("n_docs") >= min_docs).select("leaf", "line", "first")
     # leaves with several lines: tokens of one occurrence of each
     several = per_line.groupBy("leaf").agg(F.count("*").alias("m")).where("m > 1").select("leaf")
@@ -168,7 +197,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similar: int = SIMILAR,
     by_leaf = lines.join(general, ["leaf", "line"]).where(~here.eqNullSafe(F.col("first"))).select("doc_id", "key", "idx")
     exact = exact.select("leaf", "line", F.struct(F.col("first.no").alias("no"), F.col("first.doc_id").alias("doc_id"), F.col("first.idx").alias("idx")).alias("first"))
     by_line = lines.join(exact, ["leaf", "line"]).where(~here.eqNullSafe(F.col("first"))).select("doc_id", "key", "idx")
-    return by_leaf.union(by_line).distinct()
+    return by_leaf.union(by_line).union(twice).distinct()
 
 
 def drop_templates(docs: DataFrame, found: DataFrame, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:

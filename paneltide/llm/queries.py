@@ -102,7 +102,7 @@ OP3_SQL = """
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> ''),
 raw AS (SELECT doc_id, unnest(p) AS line, unnest(range(1, len(p) + 1)) - 1 AS idx FROM parts),
 toks AS (SELECT doc_id, idx, list_transform(regexp_extract_all(line, '[^ \t\n\r\f\v]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM raw),
-lines AS (SELECT doc_id, idx, t, len(t) AS width, (len(t), list_slice(t, 1, 4)) AS leaf, array_to_string(t, ' ') AS line FROM toks WHERE len(t) >= 4),
+lines AS (SELECT doc_id, idx, t, len(t) AS width, (len(t), list_slice(t, 1, 4)) AS leaf, array_to_string(t, ' ') AS line FROM toks WHERE len(list_filter(t, lambda x: x <> '<*>')) > 0),
 distinct_lines AS (SELECT leaf, line, any_value(t) AS t, any_value(width) AS width, count(DISTINCT doc_id) AS n_docs FROM lines GROUP BY leaf, line),
 leaves AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
 several AS (SELECT leaf FROM distinct_lines SEMI JOIN leaves USING (leaf) GROUP BY leaf HAVING count(*) > 1),
@@ -118,7 +118,11 @@ general AS (SELECT leaf FROM members GROUP BY leaf HAVING count(DISTINCT doc_id)
 by_leaf AS (SELECT doc_id, idx FROM members SEMI JOIN general USING (leaf) QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY doc_id, idx) > 1),
 exact AS (SELECT leaf, line FROM distinct_lines WHERE n_docs >= 10),
 by_line AS (SELECT doc_id, idx FROM lines SEMI JOIN exact USING (leaf, line) QUALIFY row_number() OVER (PARTITION BY leaf, line ORDER BY doc_id, idx) > 1),
-gone AS (SELECT doc_id, idx, true AS gone FROM (SELECT * FROM by_leaf UNION SELECT * FROM by_line)),
+origins AS (SELECT leaf, line, min(doc_id) AS origin FROM lines GROUP BY leaf, line),
+old AS (SELECT doc_id, idx, width, doc_id > origin AS again FROM lines JOIN origins USING (leaf, line)),
+copies AS (SELECT doc_id FROM old GROUP BY doc_id HAVING coalesce(sum(width) FILTER (WHERE again), 0) * 100 >= CASE WHEN count(*) FILTER (WHERE again) > 1 THEN 35 ELSE 80 END * sum(width)),
+by_length AS (SELECT doc_id, idx FROM old ANTI JOIN copies USING (doc_id) WHERE again AND width >= 50),
+gone AS (SELECT doc_id, idx, true AS gone FROM (SELECT * FROM by_leaf UNION SELECT * FROM by_line UNION SELECT * FROM by_length)),
 out AS (
   SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
          coalesce(string_agg(line, chr(10) ORDER BY idx) FILTER (WHERE gone IS NULL), '') AS kept
@@ -131,7 +135,7 @@ FROM documents d LEFT JOIN out USING (doc_id)
 @_query("op3_line_templates", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_templates.drop_templates(docs, line_templates.recurring_lines(docs), "n_lines", "n_dropped")
+    out = line_templates.drop_templates(docs, line_templates.recurring_lines(docs, min_tokens=1), "n_lines", "n_dropped")
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

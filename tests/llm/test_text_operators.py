@@ -101,6 +101,29 @@ def test_a_leaf_keeps_all_its_templates(spark):
         assert gone == set(range(len(rows))) - firsts - few
 
 
+def test_long_lines_go_from_their_second_document_on(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage, short, own = words(60), words(49), [words(80) for _ in range(9)]
+    rows = [
+        (1, f"{own[0]}\n{passage}\n{passage}"), (2, f"{own[1]}\n{passage}"), (3, f"{passage}\n{own[2]}\n{short}"), (4, f"{own[3]}\n{short}"),
+        (5, f"{passage}\n{own[4]}\nand {passage}"),  # one of them stands in a longer line of its own
+        (6, passage), (7, f"{own[0]}\n{passage}\nend"),  # copies as a whole
+        (8, f"{own[5]}\n{passage} 17"), (9, f"{own[6]}\n{passage} 3x"),  # fields may differ
+    ]
+    docs = documents(spark, rows)
+    got = {(r.doc_id, r.idx) for r in line_templates.recurring_lines(docs).collect()}
+    assert got == {(2, 1), (3, 0), (5, 0), (9, 1)}
+    assert {(r.doc_id, r.idx) for r in line_templates.recurring_lines(docs, copy_percent=101).collect()} == got | {(6, 0), (7, 0), (7, 1)}
+
+
+def test_short_lines_recur_but_numbers_do_not(spark):
+    rows = [(i, f"words of document {chr(97 + i)} {i * 'x'} alone\nRead more\n{i}\nHaanth.\npage {i}") for i in range(12)]
+    docs = documents(spark, rows)
+    got = {(r.doc_id, r.idx) for r in line_templates.recurring_lines(docs, min_tokens=1).collect()}
+    assert got == {(i, k) for i in range(1, 12) for k in (1, 3, 4)}
+
+
 def test_templates_with_null_ids_and_repeated_rows(spark):
     line = "this very same line stands in all of the documents"
     rows = [(i, line) for i in range(10)] + [(0, line), (None, line), (None, line)]
