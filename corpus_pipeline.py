@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3. Recurring template lines go, but for their earliest occurrence; a
     document that loses every line that is not blank goes as a whole."""
-    out = line_templates.drop_templates(docs, line_templates.recurring_lines(docs), n_dropped="__dropped")
+    out = line_templates.drop_templates(docs, line_templates.recurring_lines(docs, min_tokens=1), n_dropped="__dropped")
     out = out.where((F.col("__dropped") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
