@@ -8,7 +8,7 @@ pairs; positions where a line differs from it are that line's fields, and a line
 to the template if at least ``similar`` percent of its tokens equal it. The lines of a
 leaf that did not match vote again, round by round, so a leaf keeps all the templates its
 votes find; a group of lines whose template does not recur (the votes of several templates
-can mix) is split by the most frequent tokens that only some of its lines have. A template
+can mix) is split by the most frequent tokens with at most half of its votes. A template
 whose field values are more frequent than its fixed tokens can be split with them, and each
 part then has to recur by itself. Besides, every masked line is a template of its own. A template recurs if it is found in at least
 ``min_docs`` different documents; its lines are dropped but for the earliest one
@@ -113,7 +113,7 @@ def _tokens(depth: int):
 def _round(lines: DataFrame, rest: DataFrame, depth: int, similar: int, min_docs: int) -> tuple[DataFrame, DataFrame]:
     """One vote in each group of ``rest``: (leaf, line, first) of the lines whose template
     recurs, and the tokens of the other lines in the groups of the next round."""
-    votes = rest.groupBy("grp", "pos", "token").agg(F.sum("n_docs").alias("votes"), F.count("*").alias("n_lines"))
+    votes = rest.groupBy("grp", "pos", "token").agg(F.sum("n_docs").alias("votes"))
     modal = votes.groupBy("grp", "pos").agg(F.min(F.struct((-F.col("votes")).alias("v"), "token")).getField("token").alias("token"))
     # the leading tokens are equal by construction: min(depth, width - 1) of them
     equal = rest.join(modal, ["grp", "pos", "token"]).groupBy("grp", "leaf", "line").agg(F.count("*").alias("same"), F.max("width").alias("width"))
@@ -125,10 +125,11 @@ def _round(lines: DataFrame, rest: DataFrame, depth: int, similar: int, min_docs
     ).where(F.col("n") >= min_docs).drop("n")
     found = materialise(matched.join(general, "grp"), "lt-found")
     # groups that gave a template vote again without its lines; in the others each line
-    # follows its most frequent token that not all lines of the group have
+    # follows its most frequent token with at most half of the votes (a template with more
+    # than half would have been the vote), so the rounds grow with the logarithm of a group
     left = rest.join(found.select("leaf", "line"), ["leaf", "line"], "left_anti")
-    size = rest.groupBy("grp").agg(F.countDistinct("leaf", "line").alias("m")).join(found.select("grp").distinct(), "grp", "left_anti")
-    apart = votes.join(size, "grp").where(F.col("n_lines") < F.col("m")).select("grp", "pos", "token", "votes")
+    total = votes.groupBy("grp", "pos").agg(F.sum("votes").alias("t")).groupBy("grp").agg(F.max("t").alias("t")).join(found.select("grp").distinct(), "grp", "left_anti")
+    apart = votes.join(total, "grp").where(F.col("votes") * 2 <= F.col("t")).select("grp", "pos", "token", "votes")
     dealt = left.join(apart, ["grp", "pos", "token"]).groupBy("grp", "leaf", "line").agg(
         F.max("n_docs").alias("n_docs"), F.min(F.struct((-F.col("votes")).alias("v"), "pos", "token")).alias("by")
     ).select(F.xxhash64("grp", "by.pos", "by.token").alias("to"), "leaf", "line", "n_docs")
