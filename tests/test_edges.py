@@ -219,6 +219,26 @@ def test_clusters_of_many_starts(spark):
     assert abs(best[0, 3][0] - near) < 1e-6 and best[1, 2][0] > best[1, 3][0]
 
 
+def test_cluster_starts_cover_all_rows(spark):
+    """Two of 12,000 rows lie far from the rest: they get a centre of their own from every seed. Sets with
+    fewer distinct vectors than k repeat centres, missing vectors are left out, the order of rows is no matter."""
+    from paneltide.operators.learning import _candidates, kmeans, kmeans_many
+
+    far = F.when(F.col("id").isin(5_001, 11_003), F.lit(100_000.0)).otherwise(0.0)
+    df = spark.range(12_000).select("id", F.array(far + F.col("id") % 7, far + F.col("id") % 11).alias("v"))
+    for seed in (1, 2, 3):
+        centres = kmeans(df, "id", "v", 2, seed=seed, n_init=1)
+        assert np.allclose(max(centres.tolist()), [100_000 + (5_001 % 7 + 11_003 % 7) / 2, 100_000 + (5_001 % 11 + 11_003 % 11) / 2])
+    rows = df.select(F.lit(-1).alias("s"), F.col("id").alias("i"), "v")
+    (x, n), (y, m) = _candidates(rows, {-1: 4}, 7)[-1], _candidates(rows.repartition(5, F.rand(3)), {-1: 4}, 7)[-1]
+    assert np.array_equal(x, y) and np.array_equal(n, m) and n.sum() == 12_000 and len(set(map(tuple, x))) == len(x) < 100
+    few = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(50)] + [(50, None)], "id long, v array<double>")
+    cost, centres = kmeans_many(few, "id", "v", [(-1, 4)])[0]
+    assert cost == 0 and {tuple(c) for c in centres} == {(0.0, 1.0), (1.0, 1.0)}
+    with pytest.raises(ValueError):
+        kmeans(few.where("id > 49"), "id", "v", 2)
+
+
 def test_club_leftover_unlabelled(spark):
     """Ranked by last value, the top pair passes the log-t test (t > -1.65) and the
     full set does not: a two-member club forms and the single leftover stays
