@@ -10,7 +10,7 @@
    an error, never a wrong result.
 2. The distinct words of all blocks are shuffled by word hash, packed by (block, hash
    part), so each distinct word of the corpus meets in one place and is merged by BPE
-   exactly once; its ids go back to each block that holds it.
+   exactly once (:func:`merge_word`); its ids go back to each block that holds it.
 3. Positions and ids meet again by block: the ids of each text are assembled in position
    order. Decoding looks up every id in the token-byte table (one entry a rank; its size
    is fixed by the vocabulary) and joins the bytes.
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import struct
 from collections.abc import Iterator
 
@@ -154,13 +155,43 @@ def _blocks(pattern: str, parts: int, want: str):
     return run
 
 
-def _encode_words(pattern: str, sent):
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one pre-token: the neighbouring parts whose joint bytes have the lowest rank
+    (the leftmost of equal ones) are joined until no two neighbours are a token.
+
+    Candidates wait in a heap, so a pre-token of n bytes takes n log n steps: a text
+    without blanks can be a single pre-token."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    n = len(word)
+    end = list(range(1, n + 1))  # where the part that starts here ends; 0 inside a part
+    before = list(range(-1, n))  # start of the part left of the one that starts here
+    heap = [(ranks[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, start, stop = heapq.heappop(heap)
+        middle = end[start]
+        if middle in (0, n) or end[middle] != stop:
+            continue  # one of the two parts has been joined with another since
+        end[start], end[middle], before[stop] = stop, 0, start
+        left = before[start]
+        if left >= 0 and (rank := ranks.get(word[left:stop])) is not None:
+            heapq.heappush(heap, (rank, left, stop))
+        if stop < n and (rank := ranks.get(word[start : end[stop]])) is not None:
+            heapq.heappush(heap, (rank, start, end[stop]))
+    ids, at = [], 0
+    while at < n:
+        ids.append(ranks[word[at : end[at]]])
+        at = end[at]
+    return ids
+
+
+def _encode_words(sent):
     """Every distinct word of one hash part, encoded once; ids packed for each block."""
 
     def run(group: pa.Table) -> pa.Table:
-        import tiktoken
-
-        merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})._core_bpe.encode_single_piece
+        ranks = sent.value
         known: dict[bytes, list[int]] = {}
         sizes, ids = [], []
         for packed in group.column("words"):
@@ -168,7 +199,7 @@ def _encode_words(pattern: str, sent):
             for w in _unpack_words(packed.as_py()):
                 got = known.get(w)
                 if got is None:
-                    got = known[w] = merge(w)
+                    got = known[w] = merge_word(w, ranks)
                 n.append(len(got))
                 out.extend(got)
             sizes.append(_pack(np.array(n, dtype=np.uint32)))
@@ -235,7 +266,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     sent = spark.sparkContext.broadcast(ranks)
     schema = "block bigint, locals binary, sizes binary, ids binary, docs binary, positions binary"
     words = own.mapInArrow(_blocks(pattern, parts, "words"), _ROW).select("part", "block", "locals", "words")
-    encoded = words.groupBy("part").applyInArrow(_encode_words(pattern, sent), schema)
+    encoded = words.groupBy("part").applyInArrow(_encode_words(sent), schema)
     none = F.lit(None).cast("binary")
     texts = own.mapInArrow(_blocks(pattern, parts, "texts"), _ROW).select("block", none.alias("locals"), none.alias("sizes"), none.alias("ids"), "docs", "positions")
     by_rank = [b""] * (max(ranks.values(), default=-1) + 1)

@@ -263,6 +263,29 @@ def test_bpe_equals_the_library(spark, ranks, monkeypatch):
     assert byte_bpe.encode(documents(spark, rows).limit(0), ranks, public_tokenizers.PATTERN).collect() == []
 
 
+def test_merge_equals_the_rule_and_the_library(ranks):
+    import random
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(3)
+
+    def by_rule(word):
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while word not in ranks:
+            best = min(((ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks), default=None)
+            if best is None:
+                break
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        return [ranks[word]] if word in ranks else [ranks[p] for p in parts]
+
+    words = [bytes(rnd.choice(b"abeinorst \xc3\xa9\xe6\x97") for _ in range(rnd.randrange(1, 30))) for _ in range(3000)]
+    words += [b"a" * n for n in range(1, 70)] + [b"ab" * 40, "éé".encode() * 30, bytes(range(256))]
+    for w in words:
+        assert byte_bpe.merge_word(w, ranks) == by_rule(w) == enc._core_bpe.encode_single_piece(w)
+    long = bytes(rnd.choice(b"abcdefgh") for _ in range(200_000))
+    assert byte_bpe.merge_word(long, ranks) == enc._core_bpe.encode_single_piece(long)
+
+
 def test_many_small_blocks_give_the_same(ranks, monkeypatch):
     """Blocks cut by size and by distinct words hold every text once."""
     import pyarrow as pa
