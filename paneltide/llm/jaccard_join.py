@@ -25,10 +25,12 @@ gives each document the smallest doc_id it can reach.
    pivots are taken until every untested pair is already connected.
 4. **Recursion.** A larger region is split: each member's distances to 16 document pivots
    are taken; members linked to pivots are connected through them. The members that are
-   not yet connected with the region's main component form Voronoi cells (nearest pivot,
-   cut again while too large for a task); every other member is copied into the cells
-   whose windows of pivot distances, widened by r, it falls in, and each cell is joined
-   block by block.
+   not yet connected with the region's main component lead Voronoi cells (nearest pivot);
+   every member is copied into the cells whose windows of pivot distances, widened by r,
+   it falls in. A cell that fits a task is joined there, its leads against its members; a
+   larger one is a region of the next level, split by pivots taken from its own leads,
+   until it fits. A cell that pivots no longer make smaller by a quarter (all its texts
+   about equally far from each other) is cut by a hash and joined block by block.
 
 Defined cases: null or empty text, or text without words: empty set, linked with
 nothing, its own component. Fewer words than the shingle width: one shingle. Rows that
@@ -54,6 +56,7 @@ SKETCH_BITS = 20
 SKETCH_PART = 1 << 16
 REGION_SHINGLES = 1_000_000  # largest region (in shingles) that one task joins
 PIVOTS = 16
+SHRINK = 0.75  # share of a large region that a cell may hold to be split by pivots again
 SMALL_REGION = 64  # rows of a pivot's region that are paired; more are chained
 CELL_SHINGLES = 16  # shingles a cell; the counts in fixed cells bound the difference of sets
 
@@ -383,41 +386,92 @@ def _join_blocks(percent: int):
     return run
 
 
-def _large_regions(members: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Links (up to connectivity) of the regions that no single task should hold."""
-    sizes = members.groupBy("region").agg(F.sum("n").alias("total"), F.count("*").alias("m"))
-    sizes = sizes.select("region", F.ceil(F.col("total") / F.lit(limit // 2)).cast("int").alias("blocks"))
-    members = materialise(members.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "jj-large")
-    pivots = members.groupBy("region", F.pmod(F.xxhash64("class", F.lit(1)), F.lit(PIVOTS)).alias("k")).agg(F.min("class").alias("class"))
-    pivots = members.join(pivots.select("region", "class"), ["region", "class"])
+def _pivot_distances(members: DataFrame, percent: int, level: int) -> DataFrame:
+    """Links of ``members(region, class, set, lead, block, blocks)`` to up to PIVOTS leads of
+    their region, and, once a member, its distances to them."""
+    pivots = members.where("lead").groupBy("region", F.pmod(F.xxhash64("class", F.lit(level + 1)), F.lit(PIVOTS)).alias("k"))
+    pivots = members.join(pivots.agg(F.min("class").alias("class")).select("region", "class"), ["region", "class"])
     spread = pivots.select("region", "class", "set", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("pivot"))
-    rows = members.select("region", "class", "set", "block", F.lit(False).alias("pivot")).union(spread.select("region", "class", "set", "block", "pivot"))
-    near = materialise(
-        rows.groupBy("region", "block").applyInArrow(_to_pivots(percent), "region bigint, src bigint, dst bigint, dist array<double>"), "jj-pivots"
-    )
+    rows = members.select("region", "class", "set", "block", F.lit(False).alias("pivot")).union(spread)
+    return rows.groupBy("region", "block").applyInArrow(_to_pivots(percent), "region bigint, src bigint, dst bigint, dist array<double>")
+
+
+def _open_members(near: DataFrame) -> DataFrame:
+    """(region, class, dist, lead): a lead is not connected with its region's main component."""
     linked = connected_components(near.select("src", "dst"))
     comp = near.where("dist is not null").join(linked, F.col("src") == F.col("node")).select("region", F.col("src").alias("class"), "dist", "root")
     main = comp.groupBy("region", "root").count().groupBy("region").agg(F.max(F.struct("count", "root")).getField("root").alias("main"))
-    comp = comp.join(main, "region").select("region", "class", "dist", (F.col("root") != F.col("main")).alias("open"))
-    comp = materialise(members.select("region", "class", "n", "block", "blocks", "set").join(comp, ["region", "class"]), "jj-cells")
-    # Voronoi cells of the open members: as many pivots as their sets fill tasks, cells
-    # that are still too large are cut again
-    open_ = comp.where("open")
-    cells = open_.groupBy("region").agg(F.least(F.lit(PIVOTS), F.ceil(F.sum("n") / F.lit(limit // 2))).cast("int").alias("k"))
-    open_ = open_.join(cells, "region").withColumn("cell", F.expr("array_position(slice(dist, 1, k), array_min(slice(dist, 1, k)))").cast("int"))
-    cut = open_.groupBy("region", "cell").agg(F.ceil(F.sum("n") / F.lit(limit // 2)).cast("int").alias("cuts"))
-    open_ = open_.join(cut, ["region", "cell"]).withColumn("part", F.pmod(F.xxhash64("class", F.lit(2)), F.col("cuts")).cast("int"))
-    open_ = materialise(open_.select("region", "cell", "part", "class", "set", "dist", "blocks"), "jj-open")
+    return comp.join(main, "region").select("region", "class", "dist", (F.col("root") != F.col("main")).alias("lead"))
+
+
+def _voronoi(members: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(region, cell, class, n, lead): the Voronoi cells of the leads (as many pivots as
+    their sets fill tasks). Every member is copied into each cell whose window of pivot
+    distances, widened by r, it falls in; a lead leads in its own cell only."""
+    k = members.where("lead").groupBy("region").agg(F.least(F.lit(PIVOTS), F.ceil(F.sum("n") / F.lit(limit // 2))).cast("int").alias("k"))
+    own = F.expr("array_position(slice(dist, 1, k), array_min(slice(dist, 1, k)))").cast("int")
+    members = members.join(k, "region").withColumn("own", own)
     bounds = lambda f: F.expr(f"array({', '.join(f'{f}(get(dist, {i}))' for i in range(PIVOTS))})")
-    windows = open_.groupBy("region", "cell", "part").agg(bounds("min").alias("low"), bounds("max").alias("high"))
-    # a member is copied into each cell whose window of pivot distances it falls in
+    windows = members.where("lead").groupBy("region", F.col("own").alias("cell")).agg(bounds("min").alias("low"), bounds("max").alias("high"))
     r = 1 - percent / 100 + 1e-9
     inside = F.expr(f"forall(sequence(0, size(dist) - 1), i -> dist[i] between low[i] - {r} and high[i] + {r})")
+    placed = members.join(windows, "region").where(inside)
+    return placed.select("region", "cell", "class", "n", (F.col("lead") & (F.col("own") == F.col("cell"))).alias("lead"))
+
+
+def _join_cells(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the leads of each cell to its members, block by block."""
+    full = placed.join(sets, ["region", "class"])
     cols = ["region", "cell", "part", "block", "class", "set"]
-    rest = comp.select("region", "block", "class", "set", "dist").join(windows, "region").where(inside).select(*cols, F.lit(1).alias("side"))
-    lead = open_.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(*cols, F.lit(0).alias("side"))
-    found = lead.union(rest).groupBy(*cols[:4]).applyInArrow(_join_blocks(percent), "src bigint, dst bigint")
-    return near.select("src", "dst").union(found)
+    part = F.pmod(F.xxhash64("class", F.lit(0)), F.col("parts")).cast("int")
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    every = lambda c: F.explode(F.expr(f"sequence(0, {c} - 1)"))
+    leads = full.where("lead").withColumn("part", part).withColumn("block", every("blocks")).select(*cols, F.lit(0).alias("side"))
+    rest = full.withColumn("block", block).withColumn("part", every("parts")).select(*cols, F.lit(1).alias("side"))
+    return leads.union(rest).groupBy(*cols[:4]).applyInArrow(_join_blocks(percent), "src bigint, dst bigint")
+
+
+def _large_regions(members: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Links (up to connectivity) of the regions that no single task should hold.
+
+    A region is split into cells; a cell that is still too large, but smaller than its
+    region by ``SHRINK`` at least, is a region of the next level, with pivots of its own. A
+    cell that pivots do not make smaller is joined block by block, every lead against all."""
+    half = F.lit(limit // 2)
+    members = members.join(members.groupBy("region").agg(F.sum("n").alias("whole")), "region").withColumn("lead", F.lit(True))
+    found, level = [], 0
+    while True:
+        members = members.withColumn("blocks", F.ceil(F.col("whole") / half).cast("int"))
+        members = materialise(members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "jj-large")
+        near = materialise(_pivot_distances(members, percent, level), "jj-pivots")
+        found.append(near.select("src", "dst"))
+        if level == 0:
+            known = _open_members(near)
+            slim = members.select("region", "class", "n").join(known, ["region", "class"])
+        else:  # what leads in a cell was settled on the first level
+            known = near.where("dist is not null").select("region", F.col("src").alias("class"), "dist")
+            slim = members.select("region", "class", "n", "lead").join(known, ["region", "class"])
+        placed = materialise(_voronoi(materialise(slim, "jj-slim"), percent, limit), "jj-cells")
+        load = placed.groupBy("region", "cell").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("lead"), F.col("n"))).alias("leads"))
+        load = load.join(members.select("region", "whole").distinct(), "region")
+        again = (F.col("total") > limit) & (F.col("total") <= F.lit(SHRINK) * F.col("whole"))
+        load = load.select(
+            "region", "cell", "total", again.alias("again"), F.ceil(F.col("leads") / half).cast("int").alias("parts"),
+            F.ceil(F.col("total") / half).cast("int").alias("blocks"),
+        )
+        load = materialise(load, "jj-load")
+        sets = members.select("region", "class", "set")
+        placed = placed.join(load, ["region", "cell"])
+        found.append(_join_cells(placed.where("not again"), sets, percent))
+        if load.where("again").isEmpty():
+            break
+        below = placed.where("again").join(sets, ["region", "class"])
+        members = below.select(F.xxhash64("region", "cell").alias("region"), "class", "n", "set", "lead", F.col("total").alias("whole"))
+        level += 1
+    out = found[0]
+    for links in found[1:]:
+        out = out.union(links)
+    return out
 
 
 def _with_sets(width: int):

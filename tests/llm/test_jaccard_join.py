@@ -62,11 +62,37 @@ def test_equals_brute_force(spark, width, percent):
     assert ours(documents(spark, rows), width, percent) == brute(rows, width, percent)
 
 
-def test_large_regions_take_the_recursive_way(spark):
+def test_large_regions(spark):
     rows = near_copies(seed=9, groups=2, size=60)
     assert ours(documents(spark, rows), 3, 90, region_shingles=400) == brute(rows, 3, 90)
 
 
+def sliding(seed=4, n=260):
+    """Windows of one long text, shifted by 2 to 9 words: near neighbours link up to a shift
+    of 5, far ones share nothing, so pivots cut the region smaller level by level."""
+    rnd, at, rows = random.Random(seed), 0, []
+    for i in range(n):
+        rows.append((i * 7 % 1009, " ".join(f"t{k}" for k in range(at, at + 102))))
+        at += rnd.randrange(2, 10)
+    return rows
+
+
+@pytest.mark.parametrize("limit,shrink", [(2500, 0.75), (2500, 0.0)])
+def test_cells_too_large_are_split_again(spark, monkeypatch, limit, shrink):
+    """With a shrink of 0 nothing is split again and the cells are cut by a hash."""
+    levels, write = [], J.materialise
+
+    def counted(df, name="table"):
+        levels.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(J, "materialise", counted)
+    monkeypatch.setattr(J, "SHRINK", shrink)
+    rows = sliding()
+    assert ours(documents(spark, rows), 3, 90, region_shingles=limit, small_region=2) == brute(rows, 3, 90)
+    assert (levels.count("jj-large") > 1) == (shrink > 0)
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
