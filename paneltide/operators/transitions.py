@@ -258,6 +258,16 @@ def leave_one_out(panel: DataFrame, excluded: DataFrame) -> DataFrame:
     )
 
 
+def bootstrap_picks(spark: SparkSession, n_boot: int, n: int, salt: str) -> DataFrame:
+    """(rep, idx): ``n`` picks of 0 .. n - 1 with replacement for each of ``n_boot``
+    replicates; slot s of replicate b picks floor(u * n), u the md5 uniform of (b, s).
+
+    One range over all slots: the planner sees how many rows it has. An exploded sequence is
+    taken for a few kilobytes and broadcast, however many entities there are."""
+    slots = spark.range(n_boot * n).select(F.expr(f"id div {max(n, 1)}").alias("rep"), (F.col("id") % F.lit(max(n, 1))).alias("slot"))
+    return slots.select("rep", F.floor(md5_uniform(F.col("rep"), F.col("slot"), salt=salt) * F.lit(n)).cast("bigint").alias("idx"))
+
+
 def bootstrap_matrices(panel: DataFrame, n_boot: int = 500, salt: str = "boot") -> DataFrame:
     """Entity-cluster bootstrap of the transition matrix.
 
@@ -271,10 +281,13 @@ def bootstrap_matrices(panel: DataFrame, n_boot: int = 500, salt: str = "boot")
     ents = panel.where(F.col("state") >= 0).select("entity").distinct()
     idx = row_number_rank(ents.withColumn("_k", F.col("entity").cast("double")), "_k", "entity", "_pos")
     idx = idx.select("entity", (F.col("_pos") - 1).alias("idx"))
-    N = ents.agg(F.count(F.lit(1)).alias("N")).select("N").scalar()
-    slots = spark.range(n_boot).select(F.col("id").alias("rep")).select("rep", F.explode(F.sequence(F.lit(0).cast("bigint"), (N - 1).cast("bigint"))).alias("slot"))
-    picks = slots.select("rep", F.floor(md5_uniform(F.col("rep"), F.col("slot"), salt=salt) * N).cast("bigint").alias("idx"))
-    counts = picks.join(idx, "idx").join(ec, "entity").groupBy("rep", "s_from", "s_to").agg(F.sum("n").alias("n"))
+    picks = bootstrap_picks(spark, n_boot, ents.count(), salt)
+    # one row an entity with its cells in an array, so a pick meets one row; the built side of
+    # the join is the entities, and no side is broadcast
+    cells = F.struct("s_from", "s_to", "n")
+    own = idx.join(ec.groupBy("entity").agg(F.collect_list(cells).alias("cells")), "entity").select("idx", "cells")  # at most 9 a row
+    drawn = picks.join(own.hint("shuffle_hash"), "idx").select("rep", F.explode("cells").alias("c"))
+    counts = drawn.groupBy("rep", "c.s_from", "c.s_to").agg(F.sum("c.n").alias("n"))
     reps_present = spark.range(n_boot).select(F.col("id").alias("rep"))
     grid = _grid_per_group(reps_present, ["rep"])
     full = grid.join(counts, ["rep", "s_from", "s_to"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

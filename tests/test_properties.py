@@ -66,3 +66,19 @@ def test_determinism_across_partitions(spark, name):
         results.append(sorted(tuple(r) for r in q(spark, SF_SMALL).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1] == results[2]
+
+
+def test_bootstrap_picks_are_not_taken_for_a_small_table(spark):
+    picks = TR.bootstrap_picks(spark, 5, 200_000, "boot")
+    size = picks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    assert size >= 8 * 5 * 200_000  # an exploded sequence counted as a few rows, and was broadcast
+    got = TR.bootstrap_picks(spark, 3, 7, "boot").groupBy("rep").agg(F.count("idx").alias("n"), F.min("idx").alias("lo"), F.max("idx").alias("hi")).collect()
+    assert sorted(r.rep for r in got) == [0, 1, 2] and all(r.n == 7 and 0 <= r.lo <= r.hi <= 6 for r in got)
+    assert TR.bootstrap_picks(spark, 3, 0, "boot").count() == 0
+
+
+def test_bootstrap_of_one_entity_repeats_its_matrix(spark):
+    p = spark.createDataFrame([(1, 2000, 0), (1, 2001, 1), (1, 2002, 1)], "entity long, year int, state int")
+    boot = TR.bootstrap_matrices(p, n_boot=4).where("n > 0").collect()
+    assert sorted((r.rep, r.s_from, r.s_to, r.n) for r in boot) == sorted((b, i, 1, 1) for b in range(4) for i in (0, 1))
+    assert "Broadcast" not in TR.bootstrap_picks(spark, 4, 1, "boot").join(p.hint("shuffle_hash"), F.col("idx") == F.col("entity"))._jdf.queryExecution().executedPlan().toString()
