@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
-BLOCK_BYTES = 64 << 20
-BLOCK_WORDS = 600_000
+BLOCK_BYTES = 24 << 20
+BLOCK_WORDS = 250_000
 PIECE_BYTES = 1 << 20  # text whose positions are stored as one row
 MAX_VOCABULARY = 1_000_000
 LEVEL = 3  # of compression
