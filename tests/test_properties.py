@@ -70,7 +70,7 @@ def test_determinism_across_partitions(spark, name):
 
 def test_bootstrap_picks_are_not_taken_for_a_small_table(spark):
     picks = TR.bootstrap_picks(spark, 5, 200_000, "boot")
-    size = picks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(str(picks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert size >= 8 * 5 * 200_000  # an exploded sequence counted as a few rows, and was broadcast
     got = TR.bootstrap_picks(spark, 3, 7, "boot").groupBy("rep").agg(F.count("idx").alias("n"), F.min("idx").alias("lo"), F.max("idx").alias("hi")).collect()
     assert sorted(r.rep for r in got) == [0, 1, 2] and all(r.n == 7 and 0 <= r.lo <= r.hi <= 6 for r in got)
