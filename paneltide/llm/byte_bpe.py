@@ -16,7 +16,9 @@
    is fixed by the vocabulary) and joins the bytes.
 
 A block holds at most a few times ``BLOCK_BYTES`` in memory, a hash part the distinct
-words of one shuffle partition; a hot word is one row a block at most.
+words of one shuffle partition; a hot word is one row a block at most. Texts come out of a
+block in batches of ``OUT_BYTES``: a block handed over as one table was held by the worker
+twice, and by the JVM once more.
 
 Defined cases: null or empty text: no ids, empty bytes. Repeated rows and null ids are
 encoded row by row. An empty table gives an empty result. Extra columns are ignored by
@@ -43,6 +45,7 @@ from .common import shuffle_partitions
 BLOCK_BYTES = 24 << 20
 BLOCK_WORDS = 250_000
 PIECE_BYTES = 1 << 20  # text whose positions are stored as one row
+OUT_BYTES = 2 << 20  # ids and decoded bytes that leave a block as one batch
 MAX_VOCABULARY = 1_000_000
 LEVEL = 3  # of compression
 
@@ -134,7 +137,8 @@ def _blocks(pattern: str, parts: int, want: str):
             number, pieces, held, name = {}, [], 0, hashlib.blake2b(digest_size=8)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            # one text at a time: a batch has 10,000
+            for doc_id, text in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1))):
                 got = find(text) if text else []
                 add = number.setdefault
                 flat.append(np.array([add(w, len(number)) for w in got], dtype=np.uint32))
@@ -221,37 +225,48 @@ def _gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _assemble(sent):
     """Texts of one block: ids by position, and the bytes that they decode to."""
 
-    def run(group: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_bytes, token_size = sent.value
         token_start = np.concatenate([[0], np.cumsum(token_size)])[:-1]
-        locals_, sizes, ids = [], [], []
-        for loc, n, out in zip(group.column("locals"), group.column("sizes"), group.column("ids")):
-            if loc.as_py() is not None:
-                locals_.append(_unpack(loc.as_py()))
-                sizes.append(_unpack(n.as_py()).astype(np.int64))
-                ids.append(_unpack(out.as_py()))
+        locals_, sizes, ids, texts = [], [], [], []
+        for batch in batches:
+            for loc, n, out, docs, packed in zip(*(batch.column(c) for c in ("locals", "sizes", "ids", "docs", "positions"))):
+                if loc.as_py() is not None:
+                    locals_.append(_unpack(loc.as_py()))
+                    sizes.append(_unpack(n.as_py()))
+                    ids.append(_unpack(out.as_py()))
+                if docs.as_py() is not None:
+                    texts.append((docs.as_py(), packed.as_py()))
         if locals_:
-            local, size, flat = np.concatenate(locals_), np.concatenate(sizes), np.concatenate(ids)
+            local, size, flat = np.concatenate(locals_), np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
             start_of, size_of = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
             start_of[local], size_of[local] = np.concatenate([[0], np.cumsum(size)])[:-1], size
         else:
             size_of = np.zeros(0, np.int64)
+        del locals_, sizes, ids
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
         cols: list[list] = [[], [], [], []]
-        for docs, packed in zip(group.column("docs"), group.column("positions")):
-            if docs.as_py() is None:
-                continue
-            position, at = _unpack(packed.as_py()), 0
+        held = 0
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+        for docs, packed in texts:
+            position, at = _unpack(packed), 0
             if len(position) and position.max() >= len(size_of):
                 raise RuntimeError("a block was cut differently by the two passes: its rows did not come in the same order")
-            for has_id, doc_id, n in struct.iter_unpack("<?qI", docs.as_py()):
+            for has_id, doc_id, n in struct.iter_unpack("<?qI", docs):
                 own = position[at : at + n]
                 at += n
                 tokens = flat[_gather(start_of[own], size_of[own])] if n else np.zeros(0, np.uint32)
                 text = token_bytes[_gather(token_start[tokens], token_size[tokens])] if n else np.zeros(0, np.uint8)
                 for c, v in zip(cols, (doc_id if has_id else None, len(tokens), tokens.astype("<u4").tobytes(), text.tobytes())):
                     c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_tokens", "ids", "decoded"])
+                held += 4 * len(tokens) + len(text)
+                if held >= OUT_BYTES:
+                    yield batch_of()
+                    cols, held = [[], [], [], []], 0
+        yield batch_of()
 
     return run
 

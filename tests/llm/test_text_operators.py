@@ -313,6 +313,27 @@ def test_many_small_blocks_give_the_same(ranks, monkeypatch):
     assert [back[i] for i in range(30)] == texts
 
 
+def test_texts_leave_a_block_in_small_batches(ranks, monkeypatch):
+    import struct
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(byte_bpe, "OUT_BYTES", 60)
+    docs, none = 9, pa.nulls(1, pa.binary())
+    words = pa.record_batch(
+        [pa.array([byte_bpe._pack(np.array([1, 0]))]), pa.array([byte_bpe._pack(np.array([1, 2]))]), pa.array([byte_bpe._pack(np.array([5, 6, 7]))]), none, none],
+        names=["locals", "sizes", "ids", "docs", "positions"],
+    )
+    packed = [b"".join(struct.pack("<?qI", True, i, 3) for i in range(docs)), byte_bpe._pack(np.array([0, 1, 0] * docs))]
+    texts = pa.record_batch([none, none, none, pa.array(packed[:1]), pa.array(packed[1:])], names=words.schema.names)
+    table = SimpleNamespace(value=(np.frombuffer(b"abcdefgh", dtype=np.uint8), np.ones(8, dtype=np.int64)))
+    got = list(byte_bpe._assemble(table)(iter([texts, words])))
+    assert [b.num_rows for b in got] == [3, 3, 3, 0]
+    rows = [r for b in got for r in b.to_pylist()]
+    assert rows == [{"doc_id": i, "n_tokens": 5, "ids": np.array([6, 7, 5, 6, 7], dtype="<u4").tobytes(), "decoded": b"ghfgh"} for i in range(docs)]
+
+
 def test_query_digests(spark, ranks):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = {r.doc_id: r for r in Q.op2(spark, SF_SMALL).collect()}
