@@ -154,6 +154,9 @@ def walkforward(spark, sf, features: list[str], demean_scale: bool):
     tagged = V.tag_folds(df, folds)
     if demean_scale:
         tagged = V.train_standardise(V.train_demean(tagged, features, by=["fold"]), features, by=["fold"])
+    # written once: each of the thousands of tasks of a fit would send back the counters of every
+    # operator of the panel's plan, joins and folds included; now those of a scan
+    tagged = materialise(tagged, "walkforward")
     plan = folds.collect()
     sizes = {(r["fold"], r["role"]): r["n"] for r in tagged.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n")).collect()}
 
