@@ -1,5 +1,6 @@
 """Hand cases, one per rule (FIXTURES section 4)."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -254,3 +255,48 @@ def test_club_leftover_unlabelled(spark):
     bal = spark.createDataFrame(rows, "entity long, year int, y double")
     clubs = {r.entity: (r.club, r.converging) for r in form_clubs(bal).collect()}
     assert clubs == {1: (1, True), 2: (1, True)}
+
+
+def test_document_vectors_by_small_blocks(spark, monkeypatch):
+    """Many blocks and pieces, a document without an id (it gets a vector but adds nothing to terms), a document with
+    no term but null (it only counts): as numpy has it. A round sends a vector a block and term, not one a weight."""
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    from paneltide.operators import blocks
+    from paneltide.operators.learning import tfidf_svd
+
+    rng = np.random.default_rng(3)
+    rows = [(f"d{d}", f"t{t}", int(rng.integers(1, 5))) for d in range(60) for t in rng.choice(30, 8, replace=False) if t % 3 == d % 3 or rng.random() < 0.2]
+    rows += [(None, "t1", 2), (None, "t2", 1), ("none", None, 3)]
+    kinds = StructType([StructField("d", StringType()), StructField("term", StringType()), StructField("n", IntegerType())])
+    df = spark.createDataFrame(rows, kinds).repartition(5)
+    few = blocks.TfidfBlocks(df, "d", 4, "svd")
+    sent = few.state.where("block IS NOT NULL").select("locals").collect()
+    pairs = sum(len(blocks._unpack(r.locals)) for r in sent)
+    assert few.n_docs == 62 and pairs <= 30 * spark.sparkContext.defaultParallelism < len(rows) * 4
+    monkeypatch.setattr(blocks, "BLOCK_TERMS", 5)
+    monkeypatch.setattr(blocks, "PIECE_WEIGHTS", 7)
+    got = {r.d: r.doc_vector for r in tfidf_svd(df, "d", 3, rounds=20).collect()}
+    docs, terms = sorted({r[0] for r in rows if r[0] and r[1]}) + [None], sorted({r[1] for r in rows if r[1]})
+    tf = np.zeros((len(docs), len(terms)))
+    for d, t, n in rows:
+        if t:
+            tf[docs.index(d), terms.index(t)] = n
+    w = tf * (np.log((1 + 62) / (1 + (tf > 0).sum(axis=0))) + 1)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    v = np.array([[int(hashlib.md5(f"svd|{t}|{j}".encode()).hexdigest()[:8], 16) / 2**32 - 0.5 for j in range(11)] for t in terms])
+    for _ in range(20):
+        u = w @ np.linalg.qr(v)[0]
+        v = w[:-1].T @ u[:-1]
+    left, s, _ = np.linalg.svd(u, full_matrices=False)
+    assert set(got) == set(docs)
+    assert np.allclose(np.abs([got[d] for d in docs]), np.abs(left[:, :3] * s[:3]), atol=1e-6)
+
+
+def test_packed_vectors():
+    from paneltide.operators import blocks
+
+    x = np.random.default_rng(1).normal(size=(50, 3)) * 10.0 ** np.arange(-20, 30)[:, None]
+    y = blocks._unpack(blocks._pack(blocks._rounded(x)), np.float64).reshape(-1, 3)
+    assert np.all(np.abs(x - y) <= 1e-12 * np.abs(x)) and len(blocks._unpack(blocks._pack(np.zeros(0, np.int64)))) == 0
+    assert np.array_equal(blocks._unpack(blocks._pack(np.arange(-3, 5))), np.arange(-3, 5))
