@@ -8,8 +8,9 @@ gives each document the smallest doc_id it can reach.
 1. **Classes.** Documents with the same set are one class (copies never form pairs).
 2. **Pivots and regions.** Almost all texts lie at distance 1 from any other text, so
    text pivots would put everything on every border. The outer pivots are the shingles
-   themselves, ranked by rarity (a fixed-size count sketch over all documents, ties by
-   hash; any fixed rank gives the same result). With ``P_s`` the shingles ranked before
+   themselves, ranked by rarity (a fixed-size count sketch over all documents, then exact
+   counts of the most common shingles of the windows that it gives; ties by hash; any fixed
+   rank gives the same result). With ``P_s`` the shingles ranked before
    ``s``, the triangle inequality of the symmetric difference gives
    ``|x n P_s| <= |x - y|`` for the first common shingle ``s`` of a linked pair, so x
    belongs to the regions of its first ``n - ceil(t n) + 1`` shingles: its *window*,
@@ -54,10 +55,15 @@ from .common import connected_components
 
 SKETCH_BITS = 20
 SKETCH_PART = 1 << 16
+COMMON_BITS = 23
+COMMON_MOST = 1 << 20  # shingles whose counts in the first windows are ranked by
+COMMON_LEAST = 4
+WINDOW_LEVELS = 2  # the counted windows have about a quarter of a text's shingles
 REGION_SHINGLES = 1_000_000  # largest region (in shingles) that one task joins
 PIVOTS = 16
 SHRINK = 0.75  # share of a large region that a cell may hold to be split by pivots again
 SMALL_REGION = 64  # rows of a pivot's region that are paired; more are chained
+TIMES_SHINGLES = 128  # shingles of a set for one more common shingle in the windows
 CELL_SHINGLES = 16  # shingles a cell; the counts in fixed cells bound the difference of sets
 
 _SUMMARY = "doc_id bigint, n bigint, class bigint, cells binary, part int, counts binary"
@@ -122,35 +128,69 @@ def _add_counts(group: pa.Table) -> pa.Table:
     total = np.zeros(SKETCH_PART, dtype=np.int64)
     for c in group.column("counts"):
         total += np.frombuffer(c.as_py(), dtype="<u4")
-    # only the order of magnitude is used, so one byte a bucket is enough
-    mag = np.ceil(np.log2(total + 1)).astype(np.uint8)
-    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "counts": pa.array([mag.tobytes()], pa.binary())})
+    total = np.minimum(total, 2**32 - 1).astype("<u4")
+    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def _rarity(summary: DataFrame) -> np.ndarray:
-    """Bit length of every sketch bucket's count (1 MB, whatever the input)."""
+    """Level of every sketch bucket: the bit length of what its count has beyond one and a
+    half times the median (4 MB reach the driver, whatever the input). On large tables the
+    median is what the rare shingles of a bucket add up to, so only common ones show."""
     rows = (
         summary.where("part is not null").select("part", "counts")
         .groupBy("part").applyInArrow(_add_counts, "part int, counts binary").collect()
     )
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for r in rows:
-        out[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = np.frombuffer(bytes(r["counts"]), dtype=np.uint8)
+        out[r["part"] * SKETCH_PART : (r["part"] + 1) * SKETCH_PART] = np.frombuffer(bytes(r["counts"]), dtype="<u4")
+    return np.ceil(np.log2(np.maximum(out - 3 * int(np.median(out)) // 2, 0) + 1)).astype(np.uint8)
+
+
+def _common(windows: DataFrame) -> np.ndarray:
+    """Level of every bucket of the shingles that most windows have: up to about COMMON_MOST
+    of them, counted exactly by class, in a table of fixed size.
+
+    A sketch of all shingles can't tell a shingle of a thousand texts from a bucket of a
+    thousand rare ones; the regions of such shingles would grow with the table and be merged
+    to ones that hold unlike texts."""
+    counts = windows.select("s", "class").repartition("s").groupBy("s", "class").agg(F.lit(1).alias("one"))
+    counts = counts.groupBy("s").count().where(F.col("count") >= COMMON_LEAST)
+    level = F.ceil(F.log2(F.col("count") + 1)).cast("int")
+    counts = materialise(counts.select("s", level.alias("level")), "jj-common")
+    out, total, least = np.zeros(1 << COMMON_BITS, dtype=np.uint8), 0, 64
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
+        total += r["count"]
+        if total > COMMON_MOST:
+            break
+        least = r["level"]
+    found = counts.where(F.col("level") >= least).toArrow()
+    at = found.column("s").to_numpy().view(np.uint64) & np.uint64((1 << COMMON_BITS) - 1)
+    np.maximum.at(out, at.astype(np.int64), found.column("level").to_numpy().astype(np.uint8) + np.uint8(WINDOW_LEVELS))
     return out
 
 
-def _windows(width: int, percent: int, rarity):
+def _times(n: np.ndarray) -> np.ndarray:
+    """How many shingles the windows of linked sets have in common: the one that the triangle
+    inequality gives, and as many more as the windows are longer for it. Unlike texts that
+    share a rare phrase hardly share so many."""
+    return 2 + n // TIMES_SHINGLES
+
+
+def _windows(width: int, percent: int, rarity, common=None, longer: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        rare = rarity.value
+        rare, more = rarity.value, common.value if common else None
         for batch in batches:
             for lo, hi, n, row, h in _sets(batch, width):
                 cls = _classes(row, h, hi - lo, n)
-                key = (rare[(h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+                level = rare[(h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+                if more is not None:
+                    level = np.maximum(level, more[(h & np.uint64((1 << COMMON_BITS) - 1)).astype(np.int64)])
+                key = (level.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
                 order = np.lexsort((h, key, row))
                 row, h = row[order], h[order]
                 at = np.arange(len(row)) - np.concatenate([[0], np.cumsum(n)])[row]
-                keep = at < (n - (n * percent + 99) // 100 + 1)[row]
+                keep = at < (longer * (n - (n * percent + 99) // 100 + _times(n)))[row]
                 row, h, at = row[keep], h[keep], at[keep]
                 yield pa.record_batch(
                     [pa.array(h.view(np.int64)), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(cls[row])], names=["s", "n", "at", "class"]
@@ -162,8 +202,9 @@ def _windows(width: int, percent: int, rarity):
 def _meet(percent: int, small: int = SMALL_REGION, held: int = 1 << 16):
     """Members of each pivot's region (rows sorted by pivot and size) that may link.
 
-    Regions of up to ``small`` rows give their pairs of compatible size and place: if the
-    pivot is a pair's first common shingle, all shingles before it differ. Larger regions
+    Regions of up to ``small`` rows give their pairs of compatible size and place (before a
+    pair's common shingle number j all shingles but j - 1 differ), how often they meet and how
+    often linked ones do. Larger regions
     are chained by size, which connects all compatible members; so is the part of a
     region that would outgrow ``held`` rows of memory."""
 
@@ -175,7 +216,7 @@ def _meet(percent: int, small: int = SMALL_REGION, held: int = 1 << 16):
         pick = np.flatnonzero(many)
         a, b = pick[:-1], pick[1:]
         ok = (s[a] == s[b]) & (c[a] != c[b]) & (100 * n[a] >= percent * n[b])
-        out.append((c[a[ok]], c[b[ok]], True))
+        out.append((c[a[ok]], c[b[ok]], np.zeros(ok.sum(), np.int64), True))
         pick = np.flatnonzero((count > 1) & ~many)
         for d in range(1, small):
             a, b = pick[:-d], pick[d:]
@@ -183,14 +224,16 @@ def _meet(percent: int, small: int = SMALL_REGION, held: int = 1 << 16):
             if not ok.any():
                 break
             ok &= (c[a] != c[b]) & (100 * n[a] >= percent * n[b])
-            ok &= (at[a] + at[b]) * (100 + percent) <= (100 - percent) * (n[a] + n[b])
-            out.append((c[a[ok]], c[b[ok]], False))
+            need = np.minimum(_times(n[a]), (n[b] * percent + 99) // 100)
+            ok &= (at[a] + at[b] - 2 * (need - 1)) * (100 + percent) <= (100 - percent) * (n[a] + n[b])
+            out.append((c[a[ok]], c[b[ok]], need[ok], False))
         for kind in (True, False):
-            e = [np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1) for x, y, k in out if k is kind and len(x)]
+            e = [np.stack([np.minimum(x, y), np.maximum(x, y), m], axis=1) for x, y, m, k in out if k is kind and len(x)]
             if e:
-                e = np.unique(np.concatenate(e), axis=0)
+                e, times = np.unique(np.concatenate(e), axis=0, return_counts=True)
                 yield pa.record_batch(
-                    [pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1])), pa.array([kind] * len(e))], names=["src", "dst", "chain"]
+                    [pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1])), pa.array([kind] * len(e)),
+                     pa.array(times.astype(np.int32)), pa.array(e[:, 2].astype(np.int32))], names=["src", "dst", "chain", "times", "need"]
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +243,10 @@ def _meet(percent: int, small: int = SMALL_REGION, held: int = 1 << 16):
             s = rows[0]
             if len(s) == 0:
                 continue
+            # copies of a text are one member
+            own = np.concatenate([[True], (s[1:] != s[:-1]) | (rows[3][1:] != rows[3][:-1])])
+            rows = [x[own] for x in rows]
+            s = rows[0]
             last = int(np.searchsorted(s, s[-1]))  # the last region may go on
             if hot and s[0] != s[-1]:  # the chained region ends here
                 end = int(np.searchsorted(s, s[0], side="right"))
@@ -239,6 +286,16 @@ def _near_cells(percent: int):
     return run
 
 
+def _wanted_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """(classes, sets, rows) of the texts whose class is the one wanted, by chunk."""
+    want = batch.column(batch.schema.get_field_index("want")).to_numpy()
+    for lo, hi, n, row, h in _sets(batch, width):
+        cls = _classes(row, h, hi - lo, n)
+        starts = np.concatenate([[0], np.cumsum(n)])
+        keep = np.flatnonzero(cls == want[lo:hi])
+        yield cls[keep], [h[starts[k] : starts[k + 1]].astype("<u8").tobytes() for k in keep], keep + lo
+
+
 class _Union:
     def __init__(self, m: int):
         self.root = np.arange(m)
@@ -323,10 +380,18 @@ def join_region(sets: list[bytes], percent: int) -> np.ndarray:
                 seen.append(1 - inter / union)
 
 
-def _join_small(percent: int):
+def _join_small(width: int, percent: int):
+    """A region's texts reach its task as they are; a set of hashes is about twice as long."""
+
     def run(group: pa.Table) -> pa.Table:
-        cls = group.column("class").to_numpy()
-        lab = join_region([v.as_py() for v in group.column("set")], percent)
+        np.seterr(over="ignore")
+        classes, sets = [np.zeros(0, np.int64)], []
+        for batch in group.to_batches():
+            for cls, h, _ in _wanted_sets(batch, width):
+                classes.append(cls)
+                sets.extend(h)
+        cls = np.concatenate(classes)
+        lab = join_region(sets, percent) if sets else np.zeros(0, np.int64)
         return pa.table({"src": pa.array(cls), "dst": pa.array(cls[lab])})
 
     return run
@@ -478,16 +543,11 @@ def _with_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            region, total = (batch.column(batch.schema.get_field_index(c)) for c in ("region", "total"))
-            want = batch.column(batch.schema.get_field_index("want")).to_numpy()
-            for lo, hi, n, row, h in _sets(batch, width):
-                cls = _classes(row, h, hi - lo, n)
-                starts = np.concatenate([[0], np.cumsum(n)])
-                keep = np.flatnonzero(cls == want[lo:hi])
+            region = batch.column(batch.schema.get_field_index("region"))
+            for cls, sets, at in _wanted_sets(batch, width):
                 yield pa.record_batch(
-                    [region.take(pa.array(keep + lo)), total.take(pa.array(keep + lo)), pa.array(cls[keep]), pa.array(n[keep].astype(np.int64)),
-                     pa.array([h[starts[k] : starts[k + 1]].astype("<u8").tobytes() for k in keep], pa.binary())],
-                    names=["region", "total", "class", "n", "set"],
+                    [region.take(pa.array(at)), pa.array(cls), pa.array([len(h) // 8 for h in sets], pa.int64()), pa.array(sets, pa.binary())],
+                    names=["region", "class", "n", "set"],
                 )
 
     return run
@@ -502,28 +562,35 @@ def jaccard_components(
     summary = materialise(own.mapInArrow(_summarise(width), _SUMMARY), "jj-summary")
     rows = summary.where("class is not null").select("doc_id", "n", "class")
     rarity = spark.sparkContext.broadcast(_rarity(summary))
-    windows = own.select("text").mapInArrow(_windows(width, percent, rarity), "s bigint, n int, at int, class bigint")
-    met = windows.repartition("s").sortWithinPartitions("s", "n", "class").mapInArrow(_meet(percent, small_region), "src bigint, dst bigint, chain boolean")
+    kinds = "s bigint, n int, at int, class bigint"
+    # windows twice as long are counted, so those of texts that are common by half are known
+    counted = own.select("text").mapInArrow(_windows(width, percent, rarity, longer=2), kinds)
+    common = spark.sparkContext.broadcast(_common(counted))
+    windows = own.select("text").mapInArrow(_windows(width, percent, rarity, common), kinds)
+    met = windows.repartition("s").sortWithinPartitions("s", "n", "class").mapInArrow(_meet(percent, small_region), "src bigint, dst bigint, chain boolean, times int, need int")
     met = materialise(met, "jj-met")
     cells = summary.where("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.max("cells").alias("cells"))
     left = cells.select(F.col("class").alias("src"), F.col("n").alias("n1"), F.col("cells").alias("c1"))
     right = cells.select(F.col("class").alias("dst"), F.col("n").alias("n2"), F.col("cells").alias("c2"))
-    pairs = met.where("not chain").select("src", "dst").distinct().join(left, "src").join(right, "dst").select("src", "dst", "c1", "c2", "n1", "n2")
+    often = met.where("not chain").groupBy("src", "dst").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need")
+    pairs = often.select("src", "dst").join(left, "src").join(right, "dst").select("src", "dst", "c1", "c2", "n1", "n2")
     near = pairs.mapInArrow(_near_cells(percent), "src bigint, dst bigint")
     regions = connected_components(near.union(met.where("chain").select("src", "dst")))
     reps = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     wanted = regions.join(reps, regions["node"] == reps["class"]).select(F.col("root").alias("region"), F.col("class").alias("want"), "rep", "n")
     wanted = materialise(wanted, "jj-wanted")
     wanted = wanted.join(wanted.groupBy("region").agg(F.sum("n").alias("total")), "region").drop("n")
-    # the same sort-merge join at every size: the wanted texts grow with the corpus
-    members = own.join(wanted.hint("merge"), own["doc_id"].eqNullSafe(wanted["rep"])).select("region", "total", "want", "text")
-    members = materialise(members.mapInArrow(_with_sets(width), "region bigint, total bigint, class bigint, n bigint, set binary"), "jj-members")
-    small = members.where(F.col("total") <= region_shingles).select("region", "class", "set")
-    edges = small.groupBy("region").applyInArrow(_join_small(percent), "src bigint, dst bigint")
-    labels = edges.select(F.col("src").alias("node"), F.col("dst").alias("root")).distinct()
-    large = members.where(F.col("total") > region_shingles).select("region", "class", "n", "set").dropDuplicates(["class"])
-    if not large.isEmpty():
-        labels = labels.union(connected_components(_large_regions(large, percent, region_shingles)))
+    def texts(wanted: DataFrame) -> DataFrame:
+        # the same sort-merge join at every size: the wanted texts grow with the corpus
+        return own.join(wanted.hint("merge"), own["doc_id"].eqNullSafe(wanted["rep"])).select("region", "want", "text")
+
+    small = texts(wanted.where(F.col("total") <= region_shingles))
+    edges = small.groupBy("region").applyInArrow(_join_small(width, percent), "src bigint, dst bigint")
+    labels = materialise(edges.select(F.col("src").alias("node"), F.col("dst").alias("root")).distinct(), "jj-labels")
+    if not wanted.where(F.col("total") > region_shingles).isEmpty():
+        large = texts(wanted.where(F.col("total") > region_shingles))
+        large = materialise(large.mapInArrow(_with_sets(width), "region bigint, class bigint, n bigint, set binary"), "jj-members")
+        labels = labels.union(connected_components(_large_regions(large.dropDuplicates(["class"]), percent, region_shingles)))
     of_class = rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
     of_class = of_class.join(labels.withColumnRenamed("node", "class"), "class", "left").select(
         "class", "least", "n", F.coalesce("root", "class").alias("root")

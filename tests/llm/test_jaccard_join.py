@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from llm_data import SF_SMALL, documents
 
@@ -106,3 +107,41 @@ def test_keep_one_and_empty(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "None"]
     empty = J.jaccard_components(docs.limit(0)).collect()
     assert empty == []
+
+
+def test_common_shingles_do_not_merge_unlike_texts(spark, monkeypatch):
+    """150 unlike texts share a passage, in a table whose sketch can't tell its shingles from
+    rare ones: no text may reach a region, but for the planted near copy."""
+    monkeypatch.setattr(J, "_rarity", lambda summary: np.zeros(1 << J.SKETCH_BITS, np.uint8))
+    sizes, write = {}, J.materialise
+
+    def counted(df, name="table"):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(J, "materialise", counted)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(120)) + " " + passage) for i in range(150)]
+    rows.append((150, rows[7][1] + " end"))
+    assert ours(documents(spark, rows), 5, 80) == brute(rows, 5, 80)
+    assert sizes["jj-wanted"] == 2
+
+
+def test_texts_that_share_one_phrase_are_not_compared(spark, monkeypatch):
+    """Every two of 12 texts have a rare phrase of their own in common."""
+    sizes, write = {}, J.materialise
+
+    def kept(df, name="table"):
+        out = write(df, name)
+        sizes[name] = out
+        return out
+
+    monkeypatch.setattr(J, "materialise", kept)
+    rows = []
+    for i in range(12):
+        phrases = [f"f{min(i, j)}x{max(i, j)} " * 3 for j in range(12) if j != i]
+        rows.append((i, " ".join(f"{p} {' '.join(f'o{i}x{j}x{k}' for k in range(6))}" for j, p in enumerate(phrases))))
+    assert ours(documents(spark, rows), 3, 90) == brute(rows, 3, 90)
+    often = sizes["jj-met"].where("not chain").groupBy("src", "dst").agg({"times": "sum", "need": "max"})
+    assert often.where("`sum(times)` >= `max(need)`").count() == 0
