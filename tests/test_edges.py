@@ -300,3 +300,40 @@ def test_packed_vectors():
     y = blocks._unpack(blocks._pack(blocks._rounded(x)), np.float64).reshape(-1, 3)
     assert np.all(np.abs(x - y) <= 1e-12 * np.abs(x)) and len(blocks._unpack(blocks._pack(np.zeros(0, np.int64)))) == 0
     assert np.array_equal(blocks._unpack(blocks._pack(np.arange(-3, 5))), np.arange(-3, 5))
+
+
+@pytest.mark.parametrize("to_terms", [True, False])
+def test_block_product_holds_few_columns(to_terms):
+    """Of a block's 18 columns a few are in memory at a time; the product is that of whole matrices."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from paneltide.operators import blocks
+
+    n_terms, k, parts, rng = 40000, 18, 40, np.random.default_rng(3)
+    v, df, turn = blocks._rounded(rng.normal(size=(n_terms, k))), rng.integers(1, 9, n_terms), rng.normal(size=(k, k))
+    sizes, idx, n = np.array([30, 0, 50]), rng.permutation(n_terms)[:80], rng.integers(1, 5, 80)
+    names = ["block", "part", "locals", "slots", "df", "vectors", "ids", "sizes", "idx", "n"]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64()), *[pa.binary()] * 3]
+    rows = [[7, None, None, None, None, None, [1, 2, 3], *map(blocks._pack, (sizes, idx, n))]]
+    owns = np.array_split(rng.permutation(n_terms), parts)
+    rows += [[7, i, *map(blocks._pack, (own, np.arange(len(own)), df[own], v[own])), None, None, None, None] for i, own in enumerate(owns)]
+    batches = [pa.record_batch([pa.array([x], t) for x, t in zip(r, kinds)], names=names) for r in rows]
+    tracemalloc.start()
+    got = list(blocks._product(turn, 10, to_terms)(iter(batches)))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    w = np.zeros((2, n_terms))
+    for row, at in enumerate((slice(0, 30), slice(30, 80))):
+        w[row, idx[at]] = n[at] * (np.log(11.0 / (1.0 + df[idx[at]])) + 1.0)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    u = w @ (v @ turn)
+    if to_terms:
+        out = np.zeros((n_terms, k))
+        for b in got:
+            out[owns[b.column("part")[0].as_py()]] = blocks._unpack(b.column("vectors")[0].as_py(), np.float64).reshape(-1, k)
+        assert np.allclose(out, w.T @ u, rtol=1e-9, atol=1e-12)
+    else:
+        assert got[0].column("id").to_pylist() == [1, 3] and np.allclose(got[0].column("u").to_pylist(), u)
+    assert held < 1.2 * n_terms * k * 8
