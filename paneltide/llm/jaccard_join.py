@@ -14,7 +14,8 @@ gives each document the smallest doc_id it can reach.
    ``s``, the triangle inequality of the symmetric difference gives
    ``|x n P_s| <= |x - y|`` for the first common shingle ``s`` of a linked pair, so x
    belongs to the regions of its first ``n - ceil(t n) + 1`` shingles: its *window*,
-   which replicates it over the borders. Inside a region, members whose sizes are more
+   which replicates it over the borders. Windows are longer by m - 1 shingles, so linked
+   sets meet in m regions, and pairs that meet less often are dropped. Inside a region, members whose sizes are more
    than a factor t apart, or whose places of ``s`` add up to too many differing
    shingles, cannot link. The rest of a small region are pairs, kept only if their
    counts in fixed cells of the shingle space (distances to fixed pivots) differ
